@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..workspace import table
-from . import bpe, nearest, spans, survivors
+from . import bpe, markup, nearest, spans, survivors
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.till_slips(table(spark, sf_dir, "bank_txns"), table(spark, sf_dir, "slips"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.structure(table(spark, sf_dir, "mail_messages"))
+
+
+def p7_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_text(table(spark, sf_dir, "mail_messages"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -28,7 +36,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_characters(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p7_found": p7_found, "p7_clean_text": p7_clean_text, "p8_ids": p8_ids, "p10_found": p10_found}
 SQL: dict[str, str] = {}
 
 SQL["p4_found"] = """
