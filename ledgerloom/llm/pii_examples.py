@@ -230,10 +230,10 @@ class Filler:
         x, y, z = d(2), d(2), d(2)
         out = r.choice([f"{two}{x}{y}{z}{last}", f"{two} {x} {y} {z} {last}", f"{two}-{x}-{y}-{z}-{last}", f"{two} {x}{y}{z} {last}"])
         kind = r.random()
-        if kind < 0.6:
+        if kind < 0.5:
             return out.lower() if r.random() < 0.12 else out
         if kind < 0.8:
-            sep = r.choice(["-", "–", " "])
+            sep = r.choice(["-", "–", " ", " "])
             return f"{r.choice(['000', '666', '123'])}{sep}{x}{sep}{d(4)}"
         return r.choice([f"X{d(8)}", f"ZX{d(8)}", f"{d(9)}"]) if kind < 0.99 else f"{r.choice('ABC')}{d(7)}"
 
@@ -278,8 +278,8 @@ class Filler:
         return getattr(self, slot)()
 
 
-def labelled_table(listed_names: list[str], per_sentence: int = 16, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """(text, [(start, end, kind)]): about two thousand rows, some of several sentences."""
+def labelled_table(listed_names: list[str], per_sentence: int = 28, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(text, [(start, end, kind)]): a few thousand sentences, some of several sentences."""
     import re
 
     f = Filler(seed, listed_names)

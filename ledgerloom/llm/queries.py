@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..workspace import table
-from . import bpe, markup, nearest, spans, survivors
+from . import bpe, markup, nearest, pii, spans, survivors
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.till_slips(table(spark, sf_dir, "bank_txns"), table(spark, sf_dir, "slips"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "mail_messages"), table(spark, sf_dir, "blocklist"))
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(table(spark, sf_dir, "mail_messages"), table(spark, sf_dir, "blocklist"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.structure(table(spark, sf_dir, "mail_messages"))
 
@@ -36,7 +44,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_characters(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p7_found": p7_found, "p7_clean_text": p7_clean_text, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_clean_text": p7_clean_text, "p8_ids": p8_ids, "p10_found": p10_found}
 SQL: dict[str, str] = {}
 
 SQL["p4_found"] = """
