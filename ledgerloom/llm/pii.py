@@ -174,7 +174,7 @@ class Tagger:
         return out
 
 
-def train(listed: tuple[str, ...], epochs: int = 16, seed: int = 7) -> Tagger:
+def train(listed: tuple[str, ...], epochs: int = 20, seed: int = 7) -> Tagger:
     """Fit by Adam on the labelled table; the same weights for the same list."""
     names = Names(list(listed))
     table = pii_examples.labelled_table(list(listed), seed=seed)

@@ -278,7 +278,7 @@ class Filler:
         return getattr(self, slot)()
 
 
-def labelled_table(listed_names: list[str], per_sentence: int = 28, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_table(listed_names: list[str], per_sentence: int = 40, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """(text, [(start, end, kind)]): a few thousand sentences, some of several sentences."""
     import re
 
