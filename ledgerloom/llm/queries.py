@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..workspace import table
-from . import bpe, markup, nearest, pii, spans, survivors
+from . import bpe, linkage, markup, nearest, pii, spans, survivors
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.same_purchases(table(spark, sf_dir, "bank_txns"), table(spark, sf_dir, "slips")).select("transaction_id", "slip_id")
+
+
+def p2_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.same_purchases(table(spark, sf_dir, "bank_txns"), table(spark, sf_dir, "slips"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +52,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_characters(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_clean_text": p7_clean_text, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_confidence": p2_confidence, "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_clean_text": p7_clean_text, "p8_ids": p8_ids, "p10_found": p10_found}
 SQL: dict[str, str] = {}
 
 SQL["p4_found"] = """
