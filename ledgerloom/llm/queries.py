@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..workspace import table
-from . import bpe, linkage, markup, nearest, pii, spans, survivors
+from . import bpe, linkage, markup, mixing, nearest, pii, spans, survivors
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +48,20 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = table(spark, sf_dir, "source_weights")
+    return mixing.shares(mixing.mixed(table(spark, sf_dir, "documents"), weights), weights)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_characters(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_confidence": p2_confidence, "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_clean_text": p7_clean_text, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_confidence": p2_confidence, "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_clean_text": p7_clean_text, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL: dict[str, str] = {}
 
 SQL["p4_found"] = """
