@@ -35,7 +35,12 @@ MEMO_TOKENS = 150_000
 #: Tokens decoded at once, and of one sequence.
 CHUNK_TOKENS, LONGEST = 60_000, 400
 
-_TOKEN = re.compile(r"[\w.+'’-]+@[\w-]+(?:\.[\w-]+)+|\w(?:\w|[.+'’_/–-](?=\w))*|\n|[^\s\w]")
+_WORD = r"\w++(?:[.+'’_/–-]++\w++)*+|\n|[^\s\w]"
+_TOKEN_PLAIN = re.compile(_WORD)
+_TOKEN_MAIL = re.compile(rf"[\w.+'’-]++@[\w-]++(?:\.[\w-]++)+|{_WORD}")
+_DIGITS = str.maketrans("123456789", "000000000")
+#: Lines whose tags a worker keeps.
+MEMO_LINES = 150_000
 _EDGE_SPACE = re.compile(r"[ \t  -   　]+")
 
 
@@ -63,7 +68,7 @@ class Names:
 
 
 def features(token: str, names: Names) -> list[str]:
-    low = token.lower()
+    low = token.lower().translate(_DIGITS)  # a digit counts as such, never its value
     s = shape(token)
     out = ["w:" + low, "s:" + s, "c:" + re.sub(r"[0-9+]", "", s)[:6], "e3:" + low[-3:], "e2:" + low[-2:], "b2:" + low[:2], "1"]
     if "@" in token and len(token) > 3:
@@ -80,8 +85,12 @@ def features(token: str, names: Names) -> list[str]:
     return out
 
 
+def _pattern(text: str) -> re.Pattern:
+    return _TOKEN_MAIL if "@" in text else _TOKEN_PLAIN
+
+
 def tokenize(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    spans = [m.span() for m in _TOKEN.finditer(text)]
+    spans = [m.span() for m in _pattern(text).finditer(text)]
     return [text[a:b] for a, b in spans], spans
 
 
@@ -114,6 +123,7 @@ class Tagger:
         self.index, self.weights, self.moves, self.start, self.names = index, weights, moves + _legal(), start, names
         self.start = start + np.where([label[0] == "I" for label in LABELS], -1e4, 0).astype(np.float32)
         self.memo: dict[str, int] = {}
+        self.lines: dict[str, list[tuple[int, int, str]]] = {}
         self.rows = np.zeros((1024, _OFFSETS, _L), dtype=np.float32)
 
     def _row(self, token: str) -> int:
@@ -282,7 +292,7 @@ _NI = re.compile(r"[A-Za-z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-Da-d]")
 _SSN = re.compile(r"\d{3}[ –-]\d{2}[ –-]\d{4}")
 _PASSPORT = re.compile(r"[A-Z]{1,2}\d{7,8}|\d{9}", re.I)
 _PHONE = re.compile(r"\+?\(?\d[\d()/. –-]*\d")
-_AFTER_TOWN = re.compile(r"(?<=[a-zß]{4})\.\s|\b(?:notice|EAN)\b")
+_AFTER_TOWN = re.compile(r"(?<=[a-zß]{4})\.\s+(?=[A-Z])|\b(?:notice|EAN)\b")
 _TITLE = re.compile(r"(?:(?:mrs?|ms|mx|miss|dr|prof|sir|herr|frau)\b\.?\s+)+", re.I)
 _NAME_EDGE = " \t,;:.!?()[]<>\"“”„«»–—-*_"
 
@@ -336,7 +346,7 @@ def segments(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _pieces(tokens: list[str], spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+def _pieces(tokens: list[str]) -> Iterator[tuple[int, int]]:
     """Long sequences in parts, cut at sentence ends where there are any."""
     at, n = 0, len(tokens)
     while n - at > LONGEST:
@@ -347,11 +357,20 @@ def _pieces(tokens: list[str], spans: list[tuple[int, int]]) -> Iterator[tuple[i
 
 
 def find_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
-    """[(start, end, kind)] of every text; equal lines are tagged once."""
-    known: dict[str, list[tuple[int, int, str]]] = {}
+    """[(start, end, kind)] of every text.
+
+    Lines that are equal but for the values of digits have equal tags, so each such
+    line is tagged once and remembered.
+    """
+    if len(tagger.lines) > MEMO_LINES:
+        tagger.lines.clear()
+    known = tagger.lines
     todo: list[str] = []
-    cut = [[(a, text[a:b]) for a, b in segments(text)] for text in texts]
-    for parts in cut:
+    cut = []
+    for text in texts:
+        plain = text.translate(_DIGITS)
+        parts = [(a, plain[a:b]) for a, b in segments(plain)]
+        cut.append(parts)
         for _, s in parts:
             if s not in known:
                 known[s] = []
@@ -359,13 +378,15 @@ def find_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, st
     for k in range(0, len(todo), 20_000):
         seqs, owner = [], []
         for s in todo[k : k + 20_000]:
-            tokens, spans = tokenize(s.replace("\r\n", " \n").replace("\r", "\n"))
-            for x, y in _pieces(tokens, spans):
-                seqs.append(tokens[x:y])
-                owner.append((s, spans[x:y]))
-        for labels, (s, spans) in zip(tagger.decode(seqs), owner, strict=True):
+            clean = s.replace("\r\n", " \n").replace("\r", "\n") if "\r" in s else s
+            tokens = _pattern(clean).findall(clean)
+            for x, y in _pieces(tokens):
+                seqs.append(tokens[x:y] if y - x < len(tokens) else tokens)
+                owner.append((s, clean, x))
+        for labels, (s, clean, x) in zip(tagger.decode(seqs), owner, strict=True):
             if not labels.any():
                 continue
+            spans = [m.span() for m in _pattern(clean).finditer(clean)][x : x + len(labels)]
             found, open_at = known[s], None
             for t, lab in enumerate(labels.tolist()):
                 if lab == 0 or lab % 2 == 1:  # O or B closes
