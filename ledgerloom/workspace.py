@@ -34,10 +34,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_SETTLED: dict[int, str] = {}
+
+
+def settle(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Cut lineage: write the rows as a table in the shared folder and read them back.
+
+    A written table is compressed and outlives any executor.  ``instead_of`` names
+    an earlier settled frame that is no longer read; its table is removed once the
+    new one is complete.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "settled")
+    df.write.parquet(path)
+    done = spark.read.schema(df.schema).parquet(path)
+    _SETTLED[id(done)] = path
+    if instead_of is not None and (old := _SETTLED.pop(id(instead_of), None)):
+        where = spark._jvm.org.apache.hadoop.fs.Path(old)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return done
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
