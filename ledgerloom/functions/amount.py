@@ -99,6 +99,11 @@ def pounds_to_minor(text: Column) -> Column:
     return F.when(ok, F.when(negative, -value).otherwise(value))
 
 
+def matched_minor(text: Column) -> Column:
+    """Minor units of a text that a money pattern has matched: digits with two or no decimals."""
+    return F.replace(text, F.lit("."), F.lit("")).try_cast("bigint") * F.when(F.contains(text, F.lit(".")), 1).otherwise(100)
+
+
 def pounds_text(minor: Column) -> Column:
     size = F.abs(minor)
     return F.concat(F.when(minor < 0, "-").otherwise(""), F.floor(size / 100).cast("string"), F.lit("."), F.lpad((size % 100).cast("string"), 2, "0"))

@@ -52,6 +52,8 @@ def settle(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     if instead_of is not None and (old := _SETTLED.pop(id(instead_of), None)):
         where = spark._jvm.org.apache.hadoop.fs.Path(old)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        # in a loop the shuffle files of earlier rounds go only when the driver collects its garbage
+        spark._jvm.System.gc()
     return done
 
 
