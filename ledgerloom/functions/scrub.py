@@ -16,16 +16,18 @@ DICTIONARY = {
     "+44 7700 900123": "REDACTED_PHONE",
     "12345678": "REDACTED_ACCOUNT",
 }
+# Word borders count ASCII letters only, as the patterns are meant.
+_B, _E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 # Patterns, by label, in the order of the audit.
-POSTCODE = r"(?i)\b([A-Z]{1,2}\d[A-Z\d]?\s+\d[A-Z]{2})\b"
-DEAR = r"(?i)\bDear\s+(?:Mr|Mrs|Ms|Miss|Dr)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+"
-HI = r"(?i)\bHi,?\s+[A-Z][a-z]+\b"
+POSTCODE = "(?i)" + _B + r"([A-Z]{1,2}\d[A-Z\d]?\s+\d[A-Z]{2})" + _E
+DEAR = "(?i)" + _B + r"Dear\s+(?:Mr|Mrs|Ms|Miss|Dr)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+"
+HI = "(?i)" + _B + r"Hi,?\s+[A-Z][a-z]+" + _E
 THANKS = r"(?i)(?:Thanks for your order|anks for your order),?\s+[A-Z][a-z]+!"
-NAME_CITY = r"\b[A-Z][a-z]+\s+(?:=E2=80=93\s*|[–—-]\s*)[A-Z]{2,}\b"
-STREET = r"(?i)\b\d+\s+[A-Z][A-Za-z\s,]{3,40}(?:Road|Street|Lane|Way|Close|Avenue|Drive|Hill)\b[^,\n]{0,80}(?:,\s*[A-Za-z\s]{2,30})?\s*,?\s*[A-Z]{1,2}\d[A-Z\d]?\s+\d[A-Z]{2}\b"
-ENCODED_CITY = r"\b[A-Z][a-z]+\s*=E2=80=93\s*[A-Za-z=]+"
-TOOLSTATION = r"(?i)\bYWW\d+\b"
-SCREWFIX = r"(?i)\bA\d{8,}\b"
+NAME_CITY = _B + r"[A-Z][a-z]+\s+(?:=E2=80=93\s*|[–—-]\s*)[A-Z]{2,}" + _E
+STREET = "(?i)" + _B + r"\d+\s+[A-Z][A-Za-z\s,]{3,40}(?:Road|Street|Lane|Way|Close|Avenue|Drive|Hill)(?![A-Za-z0-9_])[^,\n]{0,80}(?:,\s*[A-Za-z\s]{2,30})?\s*,?\s*[A-Z]{1,2}\d[A-Z\d]?\s+\d[A-Z]{2}" + _E
+ENCODED_CITY = _B + r"[A-Z][a-z]+\s*=E2=80=93\s*[A-Za-z=]+"
+TOOLSTATION = "(?i)" + _B + r"YWW\d+" + _E
+SCREWFIX = "(?i)" + _B + r"A\d{8,}" + _E
 AMAZON_ID = r"(?i)orderID=3D?[A-Z0-9]{8,}"
 ORDER_LINE = r"(?i)(?:Order\s+(?:number|#|ref)[:\s]*)(?:A\d{8,}|YWW\d+)"
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
@@ -49,7 +51,7 @@ def by_dictionary(text: Column, words: dict[str, str] | None = None) -> Column:
 
 
 def _area(name: str) -> str:
-    return r"(?i)\b" + "".join(c if c.isalnum() or c in " _" else "\\" + c for c in name) + r"\b"
+    return "(?i)" + _B + "".join(c if c.isalnum() or c in " _" else "\\" + c for c in name) + _E
 
 
 def by_area(text: Column, block: Blocklist) -> Column:

@@ -11,7 +11,7 @@ from ..functions.text import fingerprint
 
 def _grouped(extracted: DataFrame) -> DataFrame:
     family = F.when(F.coalesce("family_key", F.lit("")) != "", F.col("family_key")).otherwise(F.concat(F.lit("singleton:"), F.coalesce("source_message_id", F.lit(""))))
-    return extracted.withColumn("family", family)
+    return extracted.drop("merged_from", "decision").withColumn("family", family)
 
 
 def family_flags(grouped: DataFrame) -> DataFrame:
