@@ -39,12 +39,12 @@ def component_labels(edges: DataFrame) -> DataFrame:
     """(u, v) for every node that is not its component's smallest: v is that one.
 
     The result is a fixed point of both star steps, reached in O(log² n) rounds;
-    every round is cut off with a reliable checkpoint.
+    every round is cut off with a written table.
     """
     now = settle(edges)
     before = _state(now)
     while before[0]:
-        now = settle(_small_star(_large_star(now)))
+        now = settle(_small_star(_large_star(now)), instead_of=now)
         after = _state(now)
         if after == before:
             break
