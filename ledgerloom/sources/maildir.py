@@ -138,16 +138,30 @@ def _columns() -> list[str]:
     return ["sender s", "to_raw s", "subject s", "date_micros b", "date_offset_sec i", "body_text s", "body_html s", "headers m", "attachments a", "failure s"]
 
 
+def _contents(batches):
+    for pdf in batches:
+        data = []
+        for path in pdf["path"]:
+            with open(path, "rb") as f:
+                data.append(f.read())
+        yield pd.DataFrame({"path": pdf["path"], "content": data})
+
+
 def read_maildir(spark: SparkSession, root: str, mailbox_id: str, since=None, strict: bool = True) -> DataFrame:
     """Messages of cur/ and new/ dated at or after ``since``; missing folders are empty, sub-folders skipped.
 
-    A message whose date can't be read counts as oldest.
+    Names of the files are listed here and their contents read by the executors, as
+    names with flags hold colons, which Hadoop's paths don't take.  A message whose
+    date can't be read counts as oldest.
     """
-    folders = [os.path.join(root, sub) for sub in ("cur", "new") if os.path.isdir(os.path.join(root, sub))]
-    if not folders:
-        files = spark.createDataFrame([], "path string, content binary")
-    else:
-        files = spark.read.format("binaryFile").load(folders)
+    paths = []
+    for sub in ("cur", "new"):
+        folder = os.path.join(root, sub)
+        if os.path.isdir(folder):
+            with os.scandir(folder) as entries:
+                paths += [e.path for e in entries if e.is_file()]
+    listed = spark.createDataFrame([(p,) for p in sorted(paths)], "path string")
+    files = listed.repartition(max(1, min(len(paths) // 200 + 1, 10_000))).mapInPandas(_contents, "path string, content binary")
     out = parse_files(files, mailbox_id, strict)
     return out if since is None else out.where(F.col("issued_at") >= F.lit(since))
 
