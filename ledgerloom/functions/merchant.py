@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import settle
+
 # Keywords that corroborate a merchant category code.
 MCC_KEYWORDS = {
     "5251": ("screwfix", "toolstation", "build", "trade", "wickes", "bq"),
@@ -80,7 +82,8 @@ def jaro_winkler_column(a: Column, b: Column) -> Column:
 
 
 def _pair_score(t: Column, other: Column, similar: Column | None) -> Column:
-    parts = [token_overlap(t, other), token_set_ratio(t, other), F.when(F.contains(t, other) | F.contains(other, t), CONTAINED).otherwise(0.0)]
+    """Of normalised names.  They are single tokens, so the token-set ratio is their equality, which counts as overlap."""
+    parts = [token_overlap(t, other), F.when(F.contains(t, other) | F.contains(other, t), CONTAINED).otherwise(0.0)]
     if similar is not None:
         parts.append(similar)
     return F.when((t == "") | (other == ""), 0.0).otherwise(F.greatest(*parts))
@@ -88,31 +91,34 @@ def _pair_score(t: Column, other: Column, similar: Column | None) -> Column:
 
 def containment_resolver(descriptor: Column, supplier: Column, hint: Column) -> Column:
     """Similarity by containment and token sets alone; every part is a built-in expression."""
-    t = normalise(F.coalesce(descriptor, F.lit("")))
-    scores = [_pair_score(t, normalise(F.coalesce(c, F.lit(""))), None) for c in (supplier, hint)]
-    return F.greatest(*scores)
+    return F.greatest(_pair_score(descriptor, supplier, None), _pair_score(descriptor, hint, None))
 
 
 def default_resolver(descriptor: Column, supplier: Column, hint: Column) -> Column:
     """Containment, token sets and Jaro-Winkler; the better of supplier and hint."""
-    t = normalise(F.coalesce(descriptor, F.lit("")))
-    scores = []
-    for c in (supplier, hint):
-        other = normalise(F.coalesce(c, F.lit("")))
-        scores.append(_pair_score(t, other, jaro_winkler_column(t, other)))
-    return F.greatest(*scores)
+    return F.greatest(*[_pair_score(descriptor, c, jaro_winkler_column(descriptor, c)) for c in (supplier, hint)])
+
+
+#: Resolvers that take normalised names; any other gets the names as they are.
+containment_resolver.normalised = True
+default_resolver.normalised = True
 
 
 def with_merchant_score(pairs: DataFrame, resolver, into: str = "merchant_score") -> DataFrame:
     """Score the distinct (descriptor, supplier, hint) triples and join the scores back.
 
-    Pairs are many and triples few, so a costly resolver runs once per triple.  Nulls
-    are folded to empty texts, which keeps the join an equi-join.
+    Pairs are many and triples few, the more so once names are normalised, so a costly
+    resolver runs once per triple.  Nulls are folded to empty texts, which keeps the
+    join an equi-join.
     """
     keys = ("__d", "__s", "__h")
-    keyed = pairs.withColumns({k: F.coalesce(F.col(c), F.lit("")) for k, c in zip(keys, ("merchant", "supplier", "raw_merchant_hint"), strict=True)})
+    shape = normalise if getattr(resolver, "normalised", False) else lambda c: c
+    # both are read twice; written tables also keep the optimizer from pushing the
+    # scoring expression, with all its patterns, down to every pair
+    keyed = pairs.withColumns({k: shape(F.coalesce(F.col(c), F.lit(""))) for k, c in zip(keys, ("merchant", "supplier", "raw_merchant_hint"), strict=True)})
+    keyed = settle(keyed)
     triples = keyed.select(*keys).distinct()
-    scored = triples.select(*keys, resolver(*[F.col(k) for k in keys]).alias(into))
+    scored = settle(triples.select(*keys, resolver(*[F.col(k) for k in keys]).alias(into)))
     return keyed.join(scored, list(keys)).drop(*keys)
 
 
