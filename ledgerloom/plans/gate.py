@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import GateThresholds, MatchConfig
 from ..operators import metrics
 from ..synth.scenarios import Suite, generated_suite, hand_written
-from ..workspace import settle
+from ..workspace import settle, ship_package
 from .matcher import match, outcomes
 
 ENGINE_VERSION = "ledgerloom-1"
@@ -80,6 +80,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--compare", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    ship_package(spark)
     cfg, limits = MatchConfig(), GateThresholds()
     suite = hand_written(spark)
     if args.generated > 0:

@@ -15,6 +15,7 @@ from ..functions import scrub
 from ..sources.maildir import read_eml_folder
 from ..sources.scenarios import load_blocklist
 from ..sources.sinks import unique_names, write_fixtures
+from ..workspace import ship_package
 
 
 def scrubbed(files: DataFrame, block: scrub.Blocklist = scrub.Blocklist()) -> DataFrame:
@@ -32,6 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--dry-run", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    ship_package(spark)
     rows = scrubbed(read_eml_folder(spark, args.source), load_blocklist(args.blocklist))
     if args.dry_run:
         rows.select("merchant", "unique_base").show(1000, truncate=False)

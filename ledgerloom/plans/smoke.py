@@ -18,7 +18,7 @@ from ..operators.corpus_metrics import classifier_counts, smoke_reasons, stratum
 from ..operators.extraction import REGISTRY_VERSION
 from ..sources.sinks import write_json
 from ..synth.corpus import corpus_fingerprint, labelled_corpus
-from ..workspace import settle
+from ..workspace import settle, ship_package
 from .ingest import ingest
 
 
@@ -39,7 +39,9 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description="Judge classification and extraction on the labelled corpus.")
     parser.add_argument("--json", default="")
     args = parser.parse_args(argv)
-    result = run_smoke(labelled_corpus(SparkSession.builder.getOrCreate()))
+    spark = SparkSession.builder.getOrCreate()
+    ship_package(spark)
+    result = run_smoke(labelled_corpus(spark))
     if args.json:
         write_json(args.json, result)
     for k, v in result.items():

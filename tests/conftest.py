@@ -19,4 +19,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from ledgerloom.workspace import ship_package
+
+    ship_package(session)
     return session
