@@ -55,22 +55,20 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-_SETTLED: dict[int, str] = {}
-
-
 def settle(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """Cut lineage: write the rows as a table in the shared folder and read them back.
 
     A written table is compressed and outlives any executor.  ``instead_of`` names
     an earlier settled frame that is no longer read; its table is removed once the
-    new one is complete.
+    new one is complete.  Other tables stay for the frames that read them, until the
+    folder is cleaned.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "settled")
     df.write.parquet(path)
     done = spark.read.schema(df.schema).parquet(path)
-    _SETTLED[id(done)] = path
-    if instead_of is not None and (old := _SETTLED.pop(id(instead_of), None)):
+    done.__dict__["_settled_at"] = path
+    if instead_of is not None and (old := instead_of.__dict__.pop("_settled_at", None)):
         where = spark._jvm.org.apache.hadoop.fs.Path(old)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
         # in a loop the shuffle files of earlier rounds go only when the driver collects its garbage
