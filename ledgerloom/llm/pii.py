@@ -10,6 +10,7 @@ which only trims or drops, and the text is given back as the reader sees it.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -120,7 +121,9 @@ class Tagger:
     """Weights, and decoding with them."""
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray, start: np.ndarray, names: Names):
-        self.index, self.weights, self.moves, self.start, self.names = index, weights, moves + _legal(), start, names
+        self.index, self.weights, self.names = index, weights, names
+        self.plain_moves, self.plain_start = moves, start
+        self.moves = moves + _legal()
         self.start = start + np.where([label[0] == "I" for label in LABELS], -1e4, 0).astype(np.float32)
         self.memo: dict[str, int] = {}
         self.lines: dict[str, list[tuple[int, int, str]]] = {}
@@ -168,9 +171,16 @@ class Tagger:
             final = best.copy()
             for t in range(1, longest):
                 live = int(np.searchsorted(-lengths, -t, side="left"))  # sequences longer than t
-                total = best[:live, :, None] + self.moves
-                back[:live, t] = total.argmax(axis=1)
-                best = total.max(axis=1) + emit[:live, t]
+                # over the labels before in a loop: each step is one pass over plain rows
+                top = best[:live, 0, None] + self.moves[0]
+                came = np.zeros((live, _L), dtype=np.int8)
+                for i in range(1, _L):
+                    other = best[:live, i, None] + self.moves[i]
+                    better = other > top
+                    np.copyto(top, other, where=better)
+                    np.putmask(came, better, i)
+                back[:live, t] = came
+                best = top + emit[:live, t]
                 final[:live] = best
             last = final.argmax(axis=1)
             paths = np.zeros((len(take), longest), dtype=np.int8)
@@ -453,18 +463,22 @@ def personal_data(messages: DataFrame, blocklist: DataFrame | None = None) -> Da
 
 
 def _model(t: Tagger) -> tuple:
-    return t.index, t.weights, t.moves - _legal(), t.start, t.names
+    """What workers need, ending with a mark of its content."""
+    parts = (t.index, t.weights, t.plain_moves, t.plain_start, t.names)
+    mark = hashlib.md5(t.weights.tobytes() + t.plain_moves.tobytes() + repr(sorted(t.names.first | t.names.last)).encode()).hexdigest()
+    return *parts, mark
 
 
-_TAGGERS: dict[int, Tagger] = {}
+_TAGGERS: dict[str, Tagger] = {}
 
 
 def _worker_tagger(shared) -> Tagger:
-    key = shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) is not None else id(shared.value)
-    if key not in _TAGGERS:
+    """One tagger a worker; another model, told by its content, takes its place."""
+    *parts, mark = shared.value
+    if mark not in _TAGGERS:
         _TAGGERS.clear()
-        _TAGGERS[key] = Tagger(*shared.value)
-    return _TAGGERS[key]
+        _TAGGERS[mark] = Tagger(*parts)
+    return _TAGGERS[mark]
 
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "national_id": "[NATIONAL_ID]", "address": "[ADDRESS]", "person_name": "[NAME]"}
