@@ -225,3 +225,13 @@ def test_blocks_lose_no_pair(spark):
             if d in linkage.NEAR_MINOR or (a[7] and a[7] == b[8]) or (a[2] == b[3] and -12 <= gap <= 36):
                 want.add((a[0], b[0]))
     assert set(rows) == want
+
+
+def test_unrelated_rows_lose_no_case(spark):
+    """A tip and no card tail: found among few rows, and still among ten times as many in any currency."""
+    case = [(0, "t0", "MOLDASEN OFFICE", 5600, "GBP", T, None, None, T, "x"), (1, "t1", "WEXEL HOTEL", 7700, "EUR", T, None, None, T, "x")]
+    sd = spark.createDataFrame([(0, "s0", "email", "Moldasen Office", None, 5000, "GBP", T + timedelta(minutes=5), "1"), (1, "s1", "email", "Wexel Hotel", None, 7000, "EUR", T + timedelta(minutes=5), "1")], SL)
+    for n in (2000, 20_000):
+        others = spark.range(n).selectExpr("id + 2", "concat('u', id)", "'TARN FUELS'", "900000 + id", "if(id % 2 = 0, 'GBP', 'EUR')", f"timestamp '{T}' + make_interval(0, 0, 0, 0, id % 190)", "cast(null as timestamp)", "cast(null as string)", f"timestamp '{T}'", "'x'")
+        got = {(r.transaction_id, r.slip_id) for r in linkage.same_purchases(spark.createDataFrame(case, TX).union(others), sd).collect()}
+        assert got == {("t0", "s0"), ("t1", "s1")}, n
