@@ -235,3 +235,12 @@ def test_unrelated_rows_lose_no_case(spark):
         others = spark.range(n).selectExpr("id + 2", "concat('u', id)", "'TARN FUELS'", "900000 + id", "if(id % 2 = 0, 'GBP', 'EUR')", f"timestamp '{T}' + make_interval(0, 0, 0, 0, id % 190)", "cast(null as timestamp)", "cast(null as string)", f"timestamp '{T}'", "'x'")
         got = {(r.transaction_id, r.slip_id) for r in linkage.same_purchases(spark.createDataFrame(case, TX).union(others), sd).collect()}
         assert got == {("t0", "s0"), ("t1", "s1")}, n
+
+
+def test_every_word_of_a_name_is_a_key(spark):
+    """Words in another order, in either name, make a candidate; several shared words make it once."""
+    names = [("AND TARNALAKE ELECTRICAL DRUMISLAKE", "Drumislake & Tarnalake Electrical", None), ("ELECTRICAL VELOWICK 85", "Velowick Electrical", None), ("GRAVENHOLT", "Old Mill Fuels of Gravenholt", None), ("SOMBRELAND FELT", None, "Brightwaterside Felt"), ("QUORNDON", "Wexel Hotel", None)]
+    t = [(i, f"t{i}", n[0], 5600, f"C{i}", T, None, None, T, "x") for i, n in enumerate(names)]
+    s = [(i, f"s{i}", "email", n[1], n[2], 5000, f"C{i}", T + timedelta(minutes=5), "1") for i, n in enumerate(names)]
+    td, sd = linkage.transactions(spark.createDataFrame(t, TX)), linkage.documents_of_purchase(spark.createDataFrame(s, SL))
+    assert sorted((r.t, r.s) for r in linkage.candidates(td, sd).collect()) == [(0, 0), (1, 1), (2, 2), (3, 3)]
