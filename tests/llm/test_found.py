@@ -244,3 +244,13 @@ def test_every_word_of_a_name_is_a_key(spark):
     s = [(i, f"s{i}", "email", n[1], n[2], 5000, f"C{i}", T + timedelta(minutes=5), "1") for i, n in enumerate(names)]
     td, sd = linkage.transactions(spark.createDataFrame(t, TX)), linkage.documents_of_purchase(spark.createDataFrame(s, SL))
     assert sorted((r.t, r.s) for r in linkage.candidates(td, sd).collect()) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
+def test_many_weak_rivals_weigh(spark):
+    """Ten slips of odds 0.21 each share the transaction with the likely one, whose marginal is exact here."""
+    td = spark.createDataFrame([(0, "t0", "MOLDASEN OFFICE", 5600, "GBP", T, None, None, T, "x")], TX)
+    rivals = [(i, f"s{i}", "email", f"{w} Hotel", None, 5600, "GBP", T + timedelta(hours=40 + i), None) for i, w in enumerate(["Kipkebab", "Wexwax", "Guzzgack", "Fuzzyfib", "Jackvaf", "Cupkebag", "Vivwhiz", "Hubchep", "Pickbeck", "Zagquip"], 1)]
+    sd = spark.createDataFrame([(0, "s0", "email", "Moldasen Office", None, 5000, "GBP", T + timedelta(minutes=5), "1"), *rivals], SL)
+    got = [(r.slip_id, r.confidence) for r in linkage.same_purchases(td, sd).collect()]
+    likely, weak = (2.718281828 ** (linkage.PRIOR + x) for x in (1.3 + 4.0 + 3.4, 8.9 - 1.4 - 3.0))
+    assert [s for s, _ in got] == ["s0"] and abs(got[0][1] - likely / (1 + likely + 10 * weak)) < 1e-3
