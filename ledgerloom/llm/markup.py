@@ -578,6 +578,11 @@ def _score(found: list[tuple[str, str, str, str]]) -> Counter:
     return votes
 
 
+def _waits(found: list[tuple[str, str, str, str]], body: str | None) -> bool:
+    """Lone '#' lines in text of no clear dialect wait for the vote."""
+    return any(s == "" and k in ("heading", "list_item") for _, k, _, s in found) and bool(_HASH_LINE.search(body or ""))
+
+
 _READ_SCHEMA = "delivery_id bigint, host string, path string, element string, element_text string, undecided boolean, body string"
 
 
@@ -589,8 +594,7 @@ def _first_reading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             host, found = _host(from_addr), blocks(body)
             for (path, shown), n in _score(found).items():
                 votes[host, path, shown] += n
-            # lone '#' lines in text of no clear dialect wait for the vote
-            undecided = any(s == "" and k in ("heading", "list_item") for _, k, _, s in found) and bool(_HASH_LINE.search(body or ""))
+            undecided = _waits(found, body)
             seen = {(p, k, t) for p, k, t, _ in found if k in KINDS}
             rows.extend((delivery_id, host, p, k, t, undecided, None) for p, k, t in seen)
             if undecided:
@@ -608,6 +612,16 @@ def _second_reading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["delivery_id", "host", "path", "element", "element_text"])
 
 
+def _winners(votes: DataFrame) -> DataFrame:
+    """(host, path, score, dialect) of votes (host, path, dialect, n)."""
+    return votes.groupBy("host", "path").agg(F.sum("n").alias("score"), F.max_by("dialect", F.when(F.col("dialect") != "", F.struct("n", "dialect"))).alias("dialect"))
+
+
+def _dialects(winners: DataFrame) -> DataFrame:
+    """(host, dialects): the voted dialect of each path."""
+    return winners.where("dialect is not null").groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "dialect"))).alias("dialects"))
+
+
 def structure(messages: DataFrame) -> DataFrame:
     """(delivery_id, element, element_text), distinct: the structure of body_html.
 
@@ -624,24 +638,56 @@ def structure(messages: DataFrame) -> DataFrame:
     read.write.parquet(where)
     read = messages.sparkSession.read.schema(_READ_SCHEMA).parquet(where)
     votes = read.where("element = '!'").groupBy("host", "path", F.col("element_text").alias("dialect")).agg(F.sum("delivery_id").alias("n"))
-    winners = votes.groupBy("host", "path").agg(F.sum("n").alias("score"), F.max_by("dialect", F.when(F.col("dialect") != "", F.struct("n", "dialect"))).alias("dialect"))
-    by_host = winners.where("dialect is not null").groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "dialect"))).alias("dialects"))
-    again = read.where("element = '?'").select("delivery_id", "host", "body").join(by_host, "host", "left")
+    winners = _winners(votes)
+    again = read.where("element = '?'").select("delivery_id", "host", "body").join(_dialects(winners), "host", "left")
     second = again.mapInPandas(_second_reading, "delivery_id bigint, host string, path string, element string, element_text string")
     decided = read.where("element not in ('!', '?') and not undecided").select("delivery_id", "host", "path", "element", "element_text")
     won = winners.where("score > 0").select("host", "path")
     return decided.unionByName(second).join(won, ["host", "path"], "left_semi").select("delivery_id", "element", "element_text").distinct()
 
 
-def clean_text(messages: DataFrame) -> DataFrame:
-    """(delivery_id, clean): readable text; headings, items, code and formulas keep their marks."""
-    marks = {"heading": "# {}", "list_item": "- {}", "code_block": "```\n{}\n```", "formula": "$${}$$", "text": "{}"}
+_MARKS = {"heading": "# {}", "list_item": "- {}", "code_block": "```\n{}\n```", "formula": "$${}$$", "text": "{}"}
+_CLEAN_SCHEMA = "delivery_id bigint, host string, clean string, undecided boolean, body string, path string, dialect string, n bigint"
+
+
+def _render(found: list[tuple[str, str, str, str]]) -> str:
+    return "\n".join(_MARKS[k].format(t) for _, k, t, _ in found)
 
-    def render(bodies: pd.Series) -> pd.Series:
-        out = []
-        for body in bodies:
-            found = blocks(body)
-            out.append(None if body is None else "\n".join(marks[k].format(t) for _, k, t, _ in found))
-        return pd.Series(out, dtype=object)
 
-    return messages.select("delivery_id", F.pandas_udf(render, "string")("body_html").alias("clean"))
+def _first_rendering(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        votes: Counter = Counter()
+        for delivery_id, from_addr, body in zip(pdf["delivery_id"].astype(object), pdf["from_addr"], pdf["body_html"], strict=True):
+            delivery_id = None if pd.isna(delivery_id) else delivery_id
+            host, found = _host(from_addr), blocks(body)
+            for (path, shown), n in _score(found).items():
+                votes[host, path, shown] += n
+            undecided = _waits(found, body)
+            rows.append((delivery_id, host, None if undecided or body is None else _render(found), undecided, body if undecided else None, None, None, None))
+        rows.extend((None, host, None, None, None, path, shown, n) for (host, path, shown), n in votes.items())
+        frame = pd.DataFrame(rows, columns=["delivery_id", "host", "clean", "undecided", "body", "path", "dialect", "n"], dtype=object)
+        yield frame.astype({"delivery_id": "Int64", "n": "Int64", "undecided": "boolean"})
+
+
+def _second_rendering(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        voted = [dict(d) if d is not None else {} for d in pdf["dialects"]]
+        clean = [_render(blocks(body, v)) for body, v in zip(pdf["body"], voted, strict=True)]
+        yield pd.DataFrame({"delivery_id": pdf["delivery_id"].astype("Int64"), "clean": pd.Series(clean, dtype=object)})
+
+
+def clean_text(messages: DataFrame) -> DataFrame:
+    """(delivery_id, clean): readable text; headings, items, code and formulas keep their marks.
+
+    Texts whose dialect their own lines leave open are read with the dialect that
+    won for their path and host, as in ``structure``.  A row comes out for each row.
+    """
+    spark = messages.sparkSession
+    where = scratch_path(spark, "clean")
+    messages.select("delivery_id", "from_addr", "body_html").mapInPandas(_first_rendering, _CLEAN_SCHEMA).write.parquet(where)
+    read = spark.read.schema(_CLEAN_SCHEMA).parquet(where)
+    dialects = _dialects(_winners(read.where("undecided is null").select("host", "path", "dialect", "n")))
+    again = read.where("undecided").select("delivery_id", "host", "body").join(dialects, "host", "left").select("delivery_id", "body", "dialects")
+    second = again.mapInPandas(_second_rendering, "delivery_id bigint, clean string")
+    return read.where("not undecided").select("delivery_id", "clean").unionByName(second)

@@ -50,6 +50,16 @@ def test_structure(spark):
     assert markup.clean_text(df).where("delivery_id = 3 and clean is null").count() == 1
 
 
+def test_clean_text_is_read_as_the_structure(spark):
+    """A lone '#' line is a list item where the host writes wiki, in both results; every row gives one row."""
+    rows = [(1, "a@w.example", WIKI), (2, "b@w.example", WIKI), (3, "c@w.example", "# Lone line"), (3, "c@w.example", "# Lone line"), (4, "d@m.example", "# Lone line"), (5, "e@w.example", None), (6, "f@w.example", ""), (None, "g@w.example", "# Other line")]
+    df = spark.createDataFrame(rows, "delivery_id bigint, from_addr string, body_html string")
+    assert {(r.element, r.element_text) for r in markup.structure(df).where("delivery_id = 3").collect()} == {("list_item", "Lone line")}
+    got = [(r.delivery_id, r.clean) for r in markup.clean_text(df).collect() if r.delivery_id not in (1, 2)]
+    assert sorted(got, key=str) == sorted([(3, "- Lone line"), (3, "- Lone line"), (4, "# Lone line"), (5, None), (6, ""), (None, "- Other line")], key=str)
+    assert markup.clean_text(df.limit(0)).count() == 0
+
+
 NAMES = ("Marta Moldelski", "Wilf Moldargate")
 
 
