@@ -33,8 +33,8 @@ _OFFSETS = 2 * REACH + 1
 MAX_LISTED = 100_000
 #: Distinct tokens whose weights a worker keeps.
 MEMO_TOKENS = 150_000
-#: Tokens decoded at once, and of one sequence.
-CHUNK_TOKENS, LONGEST = 60_000, 400
+#: Tokens decoded at once, and steps of a sequence whose scores are held at once.
+CHUNK_TOKENS, STRETCH = 60_000, 512
 
 _WORD = r"\w++(?:[.+'’_/–-]++\w++)*+|\n|[^\s\w]"
 _TOKEN_PLAIN = re.compile(_WORD)
@@ -156,32 +156,36 @@ class Tagger:
             ids = np.full((len(take), longest), -1, dtype=np.int64)
             for r, k in enumerate(take):
                 ids[r, : lengths[r]] = [i if (i := get(t)) is not None else row(t) for t in sequences[k]]
-            emit = np.zeros((len(take), longest, _L), dtype=np.float32)
             outside = ids < 0
-            for o in range(-REACH, REACH + 1):
-                if abs(o) >= longest:
-                    continue
-                there = slice(max(0, o), longest + min(0, o))
-                here = slice(max(0, -o), longest + min(0, -o))
-                part = self.rows[ids[:, there], o + REACH]
-                part[outside[:, there]] = 0
-                emit[:, here] += part
             back = np.zeros((len(take), longest, _L), dtype=np.int8)
-            best = emit[:, 0] + self.start
-            final = best.copy()
-            for t in range(1, longest):
-                live = int(np.searchsorted(-lengths, -t, side="left"))  # sequences longer than t
-                # over the labels before in a loop: each step is one pass over plain rows
-                top = best[:live, 0, None] + self.moves[0]
-                came = np.zeros((live, _L), dtype=np.int8)
-                for i in range(1, _L):
-                    other = best[:live, i, None] + self.moves[i]
-                    better = other > top
-                    np.copyto(top, other, where=better)
-                    np.putmask(came, better, i)
-                back[:live, t] = came
-                best = top + emit[:live, t]
-                final[:live] = best
+            for start in range(0, longest, STRETCH):
+                end = min(longest, start + STRETCH)
+                emit = np.zeros((len(take), end - start, _L), dtype=np.float32)
+                for o in range(-REACH, REACH + 1):
+                    low, high = max(start, -o), min(end, longest - o)
+                    if low >= high:
+                        continue
+                    part = self.rows[ids[:, low + o : high + o], o + REACH]
+                    part[outside[:, low + o : high + o]] = 0
+                    emit[:, low - start : high - start] += part
+                if start == 0:
+                    best = emit[:, 0] + self.start
+                    final = best.copy()
+                else:
+                    best = best - best.max(axis=1, keepdims=True)  # sums stay small, however long the sequence
+                for t in range(max(1, start), end):
+                    live = int(np.searchsorted(-lengths, -t, side="left"))  # sequences longer than t
+                    # over the labels before in a loop: each step is one pass over plain rows
+                    top = best[:live, 0, None] + self.moves[0]
+                    came = np.zeros((live, _L), dtype=np.int8)
+                    for i in range(1, _L):
+                        other = best[:live, i, None] + self.moves[i]
+                        better = other > top
+                        np.copyto(top, other, where=better)
+                        np.putmask(came, better, i)
+                    back[:live, t] = came
+                    best = top + emit[:live, t - start]
+                    final[:live] = best
             last = final.argmax(axis=1)
             paths = np.zeros((len(take), longest), dtype=np.int8)
             rows = np.arange(len(take))
@@ -356,16 +360,6 @@ def segments(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _pieces(tokens: list[str]) -> Iterator[tuple[int, int]]:
-    """Long sequences in parts, cut at sentence ends where there are any."""
-    at, n = 0, len(tokens)
-    while n - at > LONGEST:
-        cut = next((k + 1 for k in range(at + LONGEST - 1, at + LONGEST // 2, -1) if tokens[k] in ".\n!?"), at + LONGEST)
-        yield at, cut
-        at = cut
-    yield at, n
-
-
 def find_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
     """[(start, end, kind)] of every text.
 
@@ -390,13 +384,12 @@ def find_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, st
         for s in todo[k : k + 20_000]:
             clean = s.replace("\r\n", " \n").replace("\r", "\n") if "\r" in s else s
             tokens = _pattern(clean).findall(clean)
-            for x, y in _pieces(tokens):
-                seqs.append(tokens[x:y] if y - x < len(tokens) else tokens)
-                owner.append((s, clean, x))
-        for labels, (s, clean, x) in zip(tagger.decode(seqs), owner, strict=True):
+            seqs.append(tokens)
+            owner.append((s, clean))
+        for labels, (s, clean) in zip(tagger.decode(seqs), owner, strict=True):
             if not labels.any():
                 continue
-            spans = [m.span() for m in _pattern(clean).finditer(clean)][x : x + len(labels)]
+            spans = [m.span() for m in _pattern(clean).finditer(clean)]
             found, open_at = known[s], None
             for t, lab in enumerate(labels.tolist()):
                 if lab == 0 or lab % 2 == 1:  # O or B closes

@@ -1,5 +1,7 @@
 """Markup and personal data."""
 
+import numpy as np
+
 from ledgerloom.llm import markup, pii, pii_examples
 
 HTML = """<html><head><title>T</title><style>h1{}</style></head><body><!-- <h2>old</h2> --><script>var t='<h3>x</h3>'</script>
@@ -102,3 +104,29 @@ def test_personal_data_table(spark):
     assert "[NAME]" in red[1].body_text and "Mr" in red[1].body_text and "Wexarby" not in red[1].body_text and "[PHONE]" in red[1].body_text
     assert red[2].body_text is None and red[2].to_addrs is None and red[3].to_addrs == []
     assert pii.personal_data(df.limit(0), None).count() == 0
+
+
+def test_long_lines_are_tagged_whole():
+    """An address of a very long line is found wherever it lies in it; the line has no sentence ends."""
+    case = ("address", "Flat 3, 12 Wexomill Hill, Tarnowold, QX9 9DP")
+    for n in range(380, 404):
+        text = "please check the order " * (n // 4) + "now " * (n % 4) + f"Deliver to: Pia Yarelby, {case[1]}" + " and check the order" * 100
+        assert case in found(text), n
+
+
+def test_decode_has_no_length_of_its_own():
+    """Tags of a sequence of many stretches equal those of the textbook recursion over all of it."""
+    tagger = pii.trained(NAMES)
+    tokens = ("Dear Dr Oskar Ulmowfeather , ring 07700 900653 or write to Pia Yarelby , 12 Wexomill Hill , Tarnowold , QX9 9DP now " * 60).split()
+    (got,) = tagger.decode([tokens])
+    rows = [tagger._row(t) if (i := tagger.memo.get(t)) is None else i for t in tokens]
+    emit = np.array([sum(tagger.rows[rows[t + o], o + pii.REACH].astype(float) for o in range(-pii.REACH, pii.REACH + 1) if 0 <= t + o < len(rows)) for t in range(len(rows))])
+    best, back = emit[0] + tagger.start, []
+    for e in emit[1:]:
+        both = best[:, None] + tagger.moves
+        back.append(both.argmax(axis=0))
+        best = both.max(axis=0) + e
+    want = [int(best.argmax())]
+    for came in reversed(back):
+        want.append(int(came[want[-1]]))
+    assert len(tokens) > 2 * pii.STRETCH and got.tolist() == want[::-1]
