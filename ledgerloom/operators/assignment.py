@@ -12,7 +12,8 @@ from ..workspace import settle
 
 TXN_REASON = "ambiguous transaction candidates within margin"
 RECEIPT_REASON = "ambiguous receipt candidates within margin"
-MOST_ROUNDS = 64
+#: Written tables of chosen edges that are gathered into one.
+GATHER = 16
 
 
 def rank_order() -> list[Column]:
@@ -65,23 +66,25 @@ def greedy_one_to_one(candidates: DataFrame) -> DataFrame:
     An edge that ranks first at both ends is in the greedy result whatever else
     happens; taking all such edges at once and removing their ends repeats until
     none is left.  Because the order is total the result equals the sequential
-    walk.  Rounds are few, as each removes at least the best edge of every
-    component; lineage is cut with a written table per round.
+    walk.  Each round removes at least the best edge of every component, so the
+    rounds end, usually soon; a strict chain of preferences takes one per link.
+    Lineage is cut with a written table per round.
     """
     spark = candidates.sparkSession
     left = settle(candidates)
     taken = None
-    for _ in range(MOST_ROUNDS):
+    rounds = 0
+    while True:
         best_t = left.withColumn("__n", F.row_number().over(Window.partitionBy("scope", "transaction_id").orderBy(*rank_order()))).where("__n = 1").drop("__n")
         best_r = left.select("scope", "transaction_id", "receipt_id", "confidence").withColumn("__n", F.row_number().over(Window.partitionBy("scope", "receipt_id").orderBy(*rank_order()))).where("__n = 1").select("scope", "transaction_id", "receipt_id")
         chosen = settle(best_t.join(best_r, ["scope", "transaction_id", "receipt_id"]))
         if chosen.isEmpty():
             break
         taken = chosen if taken is None else taken.unionByName(chosen)
+        rounds += 1
+        if rounds % GATHER == 0:
+            taken = settle(taken)
         left = settle(left.join(chosen.select("scope", "transaction_id"), ["scope", "transaction_id"], "left_anti").join(chosen.select("scope", "receipt_id"), ["scope", "receipt_id"], "left_anti"), instead_of=left)
-    else:
-        if not left.isEmpty():
-            raise RuntimeError(f"preference chains longer than {MOST_ROUNDS} rounds")
     return taken if taken is not None else spark.createDataFrame([], candidates.schema)
 
 

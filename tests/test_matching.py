@@ -99,3 +99,11 @@ def test_empty_inputs(spark):
     result = match(suite.transactions.limit(0), suite.receipts.limit(0))
     assert result.matches.count() == 0 and result.conflicts.count() == 0
     assert outcomes(result, suite.transactions.limit(0), suite.receipts.limit(0)).count() == 0
+
+
+def test_greedy_follows_long_chains(spark):
+    """A strict chain of preferences takes a round per link, more than any fixed number."""
+    n = 140
+    edges = [("", f"t{(i + 1) // 2:03}", f"r{i // 2:03}", 1 - i / 1000) for i in range(n)]
+    got = {(r.transaction_id, r.receipt_id) for r in greedy_one_to_one(spark.createDataFrame(edges, "scope string, transaction_id string, receipt_id string, confidence double").coalesce(1)).collect()}
+    assert got == {(t, r) for _, t, r, _ in edges[::2]}
