@@ -163,6 +163,12 @@ def f6_within_tolerance(spark, d):
     return pairs.where(A.within_tolerance(F.col("amount_minor"), F.col("total_minor"), CFG.abs_tolerance, F.lit(CFG.rel_tolerance))).select("transaction_id", "receipt_id")
 
 
+@query("f6_within_tolerance_blocked", f"WITH {_TXN}, {_REC}, {_EXACT}, {_T0}, {_PAIR} SELECT transaction_id, receipt_id FROM pair WHERE abs(amount_minor - total_minor) <= 50 OR (greatest(amount_minor, total_minor) <> 0 AND abs(amount_minor - total_minor)::DOUBLE / greatest(amount_minor, total_minor) <= 0.02)")
+def f6_within_tolerance_blocked(spark, d):
+    """The filter over the blocked pairs in the window; equal instants, as above, are rare."""
+    return _pairs(spark, d).where(A.within_tolerance(F.col("amount_minor"), F.col("total_minor"), CFG.abs_tolerance, F.lit(CFG.rel_tolerance))).select("transaction_id", "receipt_id")
+
+
 @query("f14_itemised", f"WITH {_REC} SELECT slip_id AS receipt_id FROM rec WHERE len(line_items) > 0")
 def f14_itemised(spark, d):
     return receipts(spark, d).where(GR.is_itemised(F.col("line_items"))).select("receipt_id")

@@ -107,3 +107,14 @@ def test_greedy_follows_long_chains(spark):
     edges = [("", f"t{(i + 1) // 2:03}", f"r{i // 2:03}", 1 - i / 1000) for i in range(n)]
     got = {(r.transaction_id, r.receipt_id) for r in greedy_one_to_one(spark.createDataFrame(edges, "scope string, transaction_id string, receipt_id string, confidence double").coalesce(1)).collect()}
     assert got == {(t, r) for _, t, r, _ in edges[::2]}
+
+
+def test_tolerance_query_filters_pairs(spark):
+    """Of the blocked pairs some are within the tolerance and some are not."""
+    from ledgerloom.plans import reference_queries as R
+
+    d = "/root/testdata/sf0.001"
+    pairs = [(r.transaction_id, r.receipt_id, r.amount_minor, r.total_minor) for r in R._pairs(spark, d).collect()]
+    want = sorted((t, s) for t, s, a, b in pairs if abs(a - b) <= 50 or (max(a, b) and abs(a - b) / max(a, b) <= 0.02))
+    got = sorted((r.transaction_id, r.receipt_id) for r in R.QUERIES["f6_within_tolerance_blocked"](spark, d).collect())
+    assert got == want and 0 < len(got) < len(pairs)
