@@ -3,9 +3,10 @@
 ``blocks`` reads one body into ordered blocks of kind heading, list_item,
 code_block, formula or text, each with the generalised tag-class path of its
 container.  HTML is scanned once; text that stands raw in a container is read in
-the plain-text dialect it shows.  ``structure`` adds the consensus over hosts:
-every page's containers are scored, the scores are voted per host and path in
-Spark, and a page's blocks are taken from winning paths in the winning dialect.
+the plain-text dialect it shows.  ``structure`` and ``clean_text`` add the consensus
+over hosts: every page scores its containers (text and structure against links),
+the pages' votes are summed per host and path in Spark, and pages are read again
+with the paths and dialects that won.
 """
 
 from __future__ import annotations
@@ -409,24 +410,22 @@ _LOOSE = frozenset(("html", "body", "div", "section", "article", "main", "center
 _LOOKS_RAW = re.compile(r"(?m)^[ \t]*(?:#{1,6}[ \t]|[-+*•][ \t]|\d+[.)][ \t]|={1,6}[^=]|\*+|```|~~~|\{\||\||\\)|\n[ \t]*\n|'''|\[\[|\*\*|__|\\[a-zA-Z&%_*<#$]|\]\(")
 
 
-def blocks(body: str | None, voted: dict[str, str] | None = None) -> list[tuple[str, str, str, str]]:
-    """(path, kind, text, dialect) of a body, in order; comments, head, styles and programs give none."""
+def blocks(body: str | None, voted: dict[str, str] | None = None, links: Counter | None = None) -> list[tuple[str, str, str, str]]:
+    """(path, kind, text, dialect) of a body, in order; comments, head, styles and programs give none.
+
+    ``links`` is told the characters that stand in links, by path.
+    """
     found: list[tuple[str, str, str, str]] = []
     if not body:
         return found
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str]] = []  # tag, and the path down to it
     lists: list[list[str] | None] = []
     heading: list[str] | None = None
     flow: list[str] = []
-
-    paths: dict[tuple[tuple[str, str], ...], str] = {}
+    in_link = False
 
     def path() -> str:
-        key = tuple(stack)
-        p = paths.get(key)
-        if p is None:
-            p = paths[key] = "/".join(label for _, label in stack) or "-"
-        return p
+        return stack[-1][1] if stack else "-"
 
     def emit(kind: str, text: str) -> None:
         if text:
@@ -476,12 +475,18 @@ def blocks(body: str | None, voted: dict[str, str] | None = None) -> list[tuple[
 
     at = 0
     for m in _TOKEN.finditer(body):
-        put(body[at : m.start()])
-        at = m.end()
-        raw, tag = m["raw"], m["tag"]
-        if raw:
-            raw = raw.lower()
-            inner = m["inner"]
+        begin, end = m.span()
+        if begin > at:
+            piece = body[at:begin]
+            put(piece)
+            if in_link and links is not None:
+                links[path()] += len(piece.strip())
+        at = end
+        which = m.lastgroup
+        if which is None:
+            continue
+        if which == "inner":
+            raw, inner = m["raw"].lower(), m["inner"]
             if raw == "math" or (raw == "script" and "math/tex" in m["rawattr"].lower()):
                 t = squeeze(html.unescape(_TAG_INSIDE.sub("", inner)) if raw == "math" else inner)
                 emit("formula", t)
@@ -491,9 +496,11 @@ def blocks(body: str | None, voted: dict[str, str] | None = None) -> list[tuple[
                 emit("code_block", squeeze(html.unescape(code)))
                 put("\n\n\ue002" if raw != "pre" and heading is None and not (lists and lists[-1] is not None) else "\n\n")
             continue
-        if not tag:
-            continue
+        close, tag, attr = m.group("close", "tag", "attr")
         tag = tag.lower()
+        if tag == "a":
+            in_link = not close
+            continue
         if tag == "wbr":
             continue
         if tag == "br":
@@ -501,7 +508,7 @@ def blocks(body: str | None, voted: dict[str, str] | None = None) -> list[tuple[
             continue
         if tag not in _BLOCK_TAGS:
             continue
-        closing = m["close"] == "/"
+        closing = close == "/"
         if tag in ("ul", "ol", "menu"):
             if heading is None and not lists:
                 flush()
@@ -544,8 +551,9 @@ def blocks(body: str | None, voted: dict[str, str] | None = None) -> list[tuple[
         else:
             if tag in ("p", "li") and stack and stack[-1][0] == tag:
                 stack.pop()
-            c = _CLASS.search(m["attr"]) if m["attr"] else None
-            stack.append((tag, f"{tag}.{re.sub(r'[0-9]+', '#', c[1])}" if c else tag))
+            c = _CLASS.search(attr) if attr else None
+            label = f"{tag}.{re.sub(r'[0-9]+', '#', c[1])}" if c else tag
+            stack.append((tag, f"{stack[-1][1]}/{label}" if stack else label))
     put(body[at:])
     if heading is not None:
         run(heading, "heading")
@@ -570,11 +578,26 @@ def _host(from_addr) -> str:
     return m[1].lower() if m else ""
 
 
-def _score(found: list[tuple[str, str, str, str]]) -> Counter:
-    """Votes of one page: structure and dialect evidence of each container path."""
+#: What a heading, code block or formula weighs in a container's score, in characters; menus are lists, so items weigh their text.
+BLOCK_WEIGHT = 20
+
+
+def _votes(found: list[tuple[str, str, str, str]], links: Counter) -> dict[str, tuple[bool, bool]]:
+    """(votes for it, holds links) of each container path of one page.
+
+    A page votes for a container whose text outside links and structure outweigh its links.
+    """
+    scores: Counter = Counter()
+    for path, kind, text, _ in found:
+        scores[path] += len(text) + (BLOCK_WEIGHT if kind in KINDS and kind != "list_item" else 0)
+    return {path: (n > 2 * links[path], links[path] > 0) for path, n in scores.items()}
+
+
+def _dialect_votes(found: list[tuple[str, str, str, str]]) -> Counter:
     votes: Counter = Counter()
     for path, kind, _, shown in found:
-        votes[path, shown] += 3 if kind in KINDS else 1
+        if shown:
+            votes[path, shown] += 3 if kind in KINDS else 1
     return votes
 
 
@@ -583,111 +606,135 @@ def _waits(found: list[tuple[str, str, str, str]], body: str | None) -> bool:
     return any(s == "" and k in ("heading", "list_item") for _, k, _, s in found) and bool(_HASH_LINE.search(body or ""))
 
 
-_READ_SCHEMA = "delivery_id bigint, host string, path string, element string, element_text string, undecided boolean, body string"
+#: One schema for all that a first reading tells.  ``what`` is an element's kind, 'clean' (a rendered page), 'path' (a container
+#: of a page that waits), 'body' (the page itself), 'dialect' (votes for one) or 'vote' (pages for and against a container).
+_READ_SCHEMA = "page bigint, delivery_id bigint, host string, path string, what string, content string, linked boolean, n bigint, against bigint"
+_READ_COLUMNS = ["page", "delivery_id", "host", "path", "what", "content", "linked", "n", "against"]
+
+
+def _first_reading(render: bool):
+    """Elements (or rendered text), votes, and the pages that wait for the vote."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: list[tuple] = []
+            dialects: Counter = Counter()
+            good: Counter = Counter()
+            bad: Counter = Counter()
+            for page, delivery_id, from_addr, body in zip(pdf["page"], pdf["delivery_id"].astype(object), pdf["from_addr"], pdf["body_html"], strict=True):
+                delivery_id = None if pd.isna(delivery_id) else delivery_id
+                host, links = _host(from_addr), Counter()
+                found = blocks(body, None, links)
+                votes = _votes(found, links)
+                for path, (good_here, _) in votes.items():
+                    (good if good_here else bad)[host, path] += 1
+                for (path, shown), n in _dialect_votes(found).items():
+                    dialects[host, path, shown] += n
+                undecided = _waits(found, body)
+                # a container without links never loses, so only pages with links or of open dialect wait
+                if undecided or (render and links):
+                    rows.append((page, delivery_id, host, None, "body", body, None, None, None))
+                    rows.extend((page, None, host, path, "path", None, linked, None, None) for path, (_, linked) in votes.items())
+                elif render:
+                    rows.append((None, delivery_id, None, None, "clean", None if body is None else _render(found), None, None, None))
+                if not undecided and not render:
+                    rows.extend((None, delivery_id, host, p, k, t, votes[p][1], None, None) for p, k, t in {(p, k, t) for p, k, t, _ in found if k in KINDS})
+            rows.extend((None, None, host, path, "dialect", shown, None, n, None) for (host, path, shown), n in dialects.items())
+            rows.extend((None, None, host, path, "vote", None, None, good[host, path], bad[host, path]) for host, path in good.keys() | bad.keys())
+            frame = pd.DataFrame(rows, columns=_READ_COLUMNS, dtype=object)
+            yield frame.astype({"page": "Int64", "delivery_id": "Int64", "n": "Int64", "against": "Int64", "linked": "boolean"})
+
+    return run
+
+
+def _read_first(messages: DataFrame, render: bool) -> DataFrame:
+    rows = messages.select(F.monotonically_increasing_id().alias("page"), "delivery_id", "from_addr", "body_html")
+    where = scratch_path(messages.sparkSession, "markup")
+    rows.mapInPandas(_first_reading(render), _READ_SCHEMA).write.parquet(where)
+    return messages.sparkSession.read.schema(_READ_SCHEMA).parquet(where)
 
 
-def _first_reading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        votes: Counter = Counter()
-        for delivery_id, from_addr, body in zip(pdf["delivery_id"], pdf["from_addr"], pdf["body_html"], strict=True):
-            host, found = _host(from_addr), blocks(body)
-            for (path, shown), n in _score(found).items():
-                votes[host, path, shown] += n
-            undecided = _waits(found, body)
-            seen = {(p, k, t) for p, k, t, _ in found if k in KINDS}
-            rows.extend((delivery_id, host, p, k, t, undecided, None) for p, k, t in seen)
-            if undecided:
-                rows.append((delivery_id, host, "", "?", None, True, body))
-        rows.extend((n, host, path, "!", shown, False, None) for (host, path, shown), n in votes.items())
-        yield pd.DataFrame(rows, columns=["delivery_id", "host", "path", "element", "element_text", "undecided", "body"])
+def containers(read: DataFrame) -> DataFrame:
+    """(host, path, pages_for, pages_against, wins, dialect): the hosts' votes on their containers."""
+    votes = read.where("what = 'vote'").groupBy("host", "path").agg(F.sum("n").alias("pages_for"), F.sum("against").alias("pages_against"))
+    sums = read.where("what = 'dialect'").groupBy("host", "path", F.col("content").alias("dialect")).agg(F.sum("n").alias("n"))
+    dialects = sums.groupBy("host", "path").agg(F.max_by("dialect", F.struct("n", "dialect")).alias("dialect"))
+    return votes.join(dialects, ["host", "path"], "left").withColumn("wins", F.col("pages_for") >= F.col("pages_against"))
 
 
-def _second_reading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for delivery_id, host, body, dialects in zip(pdf["delivery_id"], pdf["host"], pdf["body"], pdf["dialects"], strict=True):
-            voted = dict(dialects) if dialects is not None else {}
-            rows.extend((delivery_id, host, p, k, t) for p, k, t in {(p, k, t) for p, k, t, _ in blocks(body, voted) if k in KINDS})
-        yield pd.DataFrame(rows, columns=["delivery_id", "host", "path", "element", "element_text"])
+def _again(read: DataFrame, voted: DataFrame) -> DataFrame:
+    """Pages that waited, each with the votes on its own containers."""
+    mine = read.where("what = 'path'").select("page", "host", "path", "linked").join(voted.select("host", "path", "wins", "dialect"), ["host", "path"])
+    mine = mine.groupBy("page").agg(F.collect_list(F.struct("path", "dialect", (~F.col("wins") & F.col("linked")).alias("lost"))).alias("votes"))
+    return read.where("what = 'body'").select("page", "delivery_id", "content").join(mine, "page", "left").select("delivery_id", F.col("content").alias("body"), "votes")
 
 
-def _winners(votes: DataFrame) -> DataFrame:
-    """(host, path, score, dialect) of votes (host, path, dialect, n)."""
-    return votes.groupBy("host", "path").agg(F.sum("n").alias("score"), F.max_by("dialect", F.when(F.col("dialect") != "", F.struct("n", "dialect"))).alias("dialect"))
+def _vote_maps(votes) -> tuple[dict[str, str], set[str]]:
+    votes = [] if votes is None else votes
+    return {v["path"]: v["dialect"] for v in votes if v["dialect"]}, {v["path"] for v in votes if v["lost"]}
 
 
-def _dialects(winners: DataFrame) -> DataFrame:
-    """(host, dialects): the voted dialect of each path."""
-    return winners.where("dialect is not null").groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "dialect"))).alias("dialects"))
+_SECOND_SCHEMA = "delivery_id bigint, element string, element_text string, chosen boolean"
 
 
-def structure(messages: DataFrame) -> DataFrame:
-    """(delivery_id, element, element_text), distinct: the structure of body_html.
+def _second_reading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for delivery_id, body, votes in zip(pdf["delivery_id"], pdf["body"], pdf["votes"], strict=True):
+            dialects, lost = _vote_maps(votes)
+            rows.extend((delivery_id, k, t, p not in lost) for p, k, t in {(p, k, t) for p, k, t, _ in blocks(body, dialects) if k in KINDS})
+        yield pd.DataFrame(rows, columns=["delivery_id", "element", "element_text", "chosen"])
+
+
+def structure(messages: DataFrame, fallback: bool = True) -> DataFrame:
+    """(delivery_id, element, element_text, chosen), distinct: the structure of body_html.
+
+    A container wins on its host if at least as many pages vote for it as against
+    it; ``chosen`` elements are those of winning containers, and of containers that
+    hold no link on their page.  The others come out by the ``fallback``, which may
+    be switched off: then the elements of losing containers, such as menus of links,
+    are left out.  Texts whose dialect their own lines leave open are read again in
+    the dialect that won for their path and host.
 
     Votes are summed inside each batch before they leave Python, so the shuffle
-    holds a row per host, path and dialect and batch.  A path wins on a host with
-    any structural vote there: every element of every delivery must come out, so
-    the consensus may settle how a container is read, not whether.  Texts whose
-    dialect their own lines leave open are re-extracted with the dialect that won
-    for their path and host.  Null and empty bodies give no row, and neither do
-    elements without text; repeated rows of a delivery give the same rows once.
+    holds a row per host, path and batch.  Null and empty bodies give no row, and
+    neither do elements without text; repeated rows of a delivery give the same
+    rows once.
     """
-    read = messages.where("body_html is not null").select("delivery_id", "from_addr", "body_html").mapInPandas(_first_reading, _READ_SCHEMA)
-    where = scratch_path(messages.sparkSession, "markup")
-    read.write.parquet(where)
-    read = messages.sparkSession.read.schema(_READ_SCHEMA).parquet(where)
-    votes = read.where("element = '!'").groupBy("host", "path", F.col("element_text").alias("dialect")).agg(F.sum("delivery_id").alias("n"))
-    winners = _winners(votes)
-    again = read.where("element = '?'").select("delivery_id", "host", "body").join(_dialects(winners), "host", "left")
-    second = again.mapInPandas(_second_reading, "delivery_id bigint, host string, path string, element string, element_text string")
-    decided = read.where("element not in ('!', '?') and not undecided").select("delivery_id", "host", "path", "element", "element_text")
-    won = winners.where("score > 0").select("host", "path")
-    return decided.unionByName(second).join(won, ["host", "path"], "left_semi").select("delivery_id", "element", "element_text").distinct()
+    read = _read_first(messages.where("body_html is not null and delivery_id is not null"), render=False)
+    voted = containers(read)
+    second = _again(read, voted).mapInPandas(_second_reading, _SECOND_SCHEMA)
+    first = read.where(F.col("what").isin(*KINDS)).select("delivery_id", F.col("what").alias("element"), F.col("content").alias("element_text"), "host", "path", "linked")
+    # only containers with links can lose, so the others need no join
+    free = first.where("not linked").select("delivery_id", "element", "element_text", F.lit(True).alias("chosen"))
+    linked = first.where("linked").join(voted.select("host", "path", "wins"), ["host", "path"]).select("delivery_id", "element", "element_text", F.col("wins").alias("chosen"))
+    every = free.unionByName(linked).unionByName(second).where(F.col("chosen") | F.lit(fallback))
+    return every.groupBy("delivery_id", "element", "element_text").agg(F.max("chosen").alias("chosen"))
 
 
 _MARKS = {"heading": "# {}", "list_item": "- {}", "code_block": "```\n{}\n```", "formula": "$${}$$", "text": "{}"}
-_CLEAN_SCHEMA = "delivery_id bigint, host string, clean string, undecided boolean, body string, path string, dialect string, n bigint"
 
 
 def _render(found: list[tuple[str, str, str, str]]) -> str:
     return "\n".join(_MARKS[k].format(t) for _, k, t, _ in found)
 
 
-def _first_rendering(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        votes: Counter = Counter()
-        for delivery_id, from_addr, body in zip(pdf["delivery_id"].astype(object), pdf["from_addr"], pdf["body_html"], strict=True):
-            delivery_id = None if pd.isna(delivery_id) else delivery_id
-            host, found = _host(from_addr), blocks(body)
-            for (path, shown), n in _score(found).items():
-                votes[host, path, shown] += n
-            undecided = _waits(found, body)
-            rows.append((delivery_id, host, None if undecided or body is None else _render(found), undecided, body if undecided else None, None, None, None))
-        rows.extend((None, host, None, None, None, path, shown, n) for (host, path, shown), n in votes.items())
-        frame = pd.DataFrame(rows, columns=["delivery_id", "host", "clean", "undecided", "body", "path", "dialect", "n"], dtype=object)
-        yield frame.astype({"delivery_id": "Int64", "n": "Int64", "undecided": "boolean"})
-
-
 def _second_rendering(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        voted = [dict(d) if d is not None else {} for d in pdf["dialects"]]
-        clean = [_render(blocks(body, v)) for body, v in zip(pdf["body"], voted, strict=True)]
+        clean = []
+        for body, votes in zip(pdf["body"], pdf["votes"], strict=True):
+            dialects, lost = _vote_maps(votes)
+            clean.append(_render([b for b in blocks(body, dialects) if b[0] not in lost]))
         yield pd.DataFrame({"delivery_id": pdf["delivery_id"].astype("Int64"), "clean": pd.Series(clean, dtype=object)})
 
 
 def clean_text(messages: DataFrame) -> DataFrame:
     """(delivery_id, clean): readable text; headings, items, code and formulas keep their marks.
 
-    Texts whose dialect their own lines leave open are read with the dialect that
-    won for their path and host, as in ``structure``.  A row comes out for each row.
+    Pages are read as in ``structure``, without the fallback: a container that lost
+    its host's vote and holds links on the page is left out.  A row comes out for
+    each row; a null body stays null.
     """
-    spark = messages.sparkSession
-    where = scratch_path(spark, "clean")
-    messages.select("delivery_id", "from_addr", "body_html").mapInPandas(_first_rendering, _CLEAN_SCHEMA).write.parquet(where)
-    read = spark.read.schema(_CLEAN_SCHEMA).parquet(where)
-    dialects = _dialects(_winners(read.where("undecided is null").select("host", "path", "dialect", "n")))
-    again = read.where("undecided").select("delivery_id", "host", "body").join(dialects, "host", "left").select("delivery_id", "body", "dialects")
-    second = again.mapInPandas(_second_rendering, "delivery_id bigint, clean string")
-    return read.where("not undecided").select("delivery_id", "clean").unionByName(second)
+    read = _read_first(messages, render=True)
+    second = _again(read, containers(read)).mapInPandas(_second_rendering, "delivery_id bigint, clean string")
+    return read.where("what = 'clean'").select("delivery_id", F.col("content").alias("clean")).unionByName(second)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,8 +30,10 @@ LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
 _L = len(LABELS)
 REACH = 3
 _OFFSETS = 2 * REACH + 1
-#: The list of known names is broadcast; beyond this many it is refused.
-MAX_LISTED = 100_000
+#: Parts of listed names are told by a hash of this many values, so that a list of any length takes the same room.
+NAME_PARTS = 1 << 20
+#: Listed names that fill slots of the training sentences: those of least hash, at most this many.
+NAMES_IN_TRAINING = 1_000
 #: Distinct tokens whose weights a worker keeps.
 MEMO_TOKENS = 150_000
 #: Tokens decoded at once, and steps of a sequence whose scores are held at once.
@@ -39,7 +42,7 @@ CHUNK_TOKENS, STRETCH = 60_000, 512
 _WORD = r"\w++(?:[.+'’_/–-]++\w++)*+|\n|[^\s\w]"
 _TOKEN_PLAIN = re.compile(_WORD)
 _TOKEN_MAIL = re.compile(rf"[\w.+'’-]++@[\w-]++(?:\.[\w-]++)+|{_WORD}")
-_DIGITS = str.maketrans("123456789", "000000000")
+_DIGITS = bytes.maketrans(b"123456789", b"000000000")
 #: Lines whose tags a worker keeps.
 MEMO_LINES = 150_000
 _EDGE_SPACE = re.compile(r"[ \t  -   　]+")
@@ -60,16 +63,32 @@ def shape(token: str) -> str:
     return "".join(out)
 
 
+def _masked(text: str) -> str:
+    """Every digit as 0; a digit counts as such, never its value."""
+    return text.encode("utf-8", "surrogatepass").translate(_DIGITS).decode("utf-8", "surrogatepass")
+
+
+def _part(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % NAME_PARTS
+
+
 class Names:
-    """First and last parts of listed names, as features of the tagger."""
+    """First and last parts of listed names, as features of the tagger; ``some`` fill training sentences."""
+
+    def __init__(self, first: frozenset[int], last: frozenset[int], some: tuple[str, ...]):
+        self.first, self.last, self.some = first, last, some
 
-    def __init__(self, names: list[str]):
-        self.first = frozenset(n.split()[0].lower() for n in names if n.split())
-        self.last = frozenset(n.split()[-1].lower() for n in names if len(n.split()) > 1)
+    @classmethod
+    def of(cls, names: list[str]) -> Names:
+        parts = [n.lower().split() for n in names]
+        return cls(frozenset(_part(p[0]) for p in parts if p), frozenset(_part(p[-1]) for p in parts if len(p) > 1), tuple(sorted(names)[:NAMES_IN_TRAINING]))
+
+    def key(self) -> tuple:
+        return tuple(sorted(self.first)), tuple(sorted(self.last)), self.some
 
 
 def features(token: str, names: Names) -> list[str]:
-    low = token.lower().translate(_DIGITS)  # a digit counts as such, never its value
+    low = _masked(token.lower())
     s = shape(token)
     out = ["w:" + low, "s:" + s, "c:" + re.sub(r"[0-9+]", "", s)[:6], "e3:" + low[-3:], "e2:" + low[-2:], "b2:" + low[:2], "1"]
     if "@" in token and len(token) > 3:
@@ -79,10 +98,14 @@ def features(token: str, names: Names) -> list[str]:
     digits = sum(c.isdigit() for c in token)
     if digits:
         out.append(f"n:{min(digits, 12)}")
-    if low in names.first:
-        out.append("first")
-    if low in names.last:
-        out.append("last")
+    if low in pii_examples.TRADE_WORDS:
+        out.append("trade")
+    if names.first and token[0].isalpha():
+        part = _part(low)
+        if part in names.first:
+            out.append("first")
+        if part in names.last:
+            out.append("last")
     return out
 
 
@@ -198,10 +221,33 @@ class Tagger:
         return out
 
 
-def train(listed: tuple[str, ...], epochs: int = 20, seed: int = 7) -> Tagger:
-    """Fit by Adam on the labelled table; the same weights for the same list."""
-    names = Names(list(listed))
-    table = pii_examples.labelled_table(list(listed), seed=seed)
+def _batch(seqs: list[list[str]], golds: list[list[int]], vocab: dict[str, int], of_token: list[list[int]]) -> tuple:
+    """One training batch with all index arrays that its gradient needs."""
+    n, T = len(seqs), max(len(s) for s in seqs)
+    own = {t: k for k, t in enumerate(dict.fromkeys(t for s in seqs for t in s))}
+    ids = np.full((n, T + 2 * REACH), len(own), dtype=np.int64)
+    gold, mask = np.zeros((n, T), dtype=np.int64), np.zeros((n, T), dtype=bool)
+    for r, (s, g) in enumerate(zip(seqs, golds, strict=True)):
+        ids[r, REACH : REACH + len(s)] = [own[t] for t in s]
+        gold[r, : len(s)] = g
+        mask[r, : len(s)] = True
+    pairs = [(k, f) for t, k in own.items() for f in of_token[vocab[t]]]  # every token has the feature "1"
+    tok, feat = (np.array(x) for x in zip(*pairs, strict=True))
+    tok_first = np.unique(tok, return_index=True)[1]
+    order = np.argsort(feat, kind="stable")
+    feats, feat_first = np.unique(feat[order], return_index=True)
+    gathers = []
+    for o in range(_OFFSETS):
+        flat = ids[:, o : o + T].ravel()
+        by_token = np.argsort(flat, kind="stable")
+        which, first = np.unique(flat[by_token], return_index=True)
+        gathers.append((by_token, first, which))
+    return ids, gold, mask, feat, tok_first, feats, tok[order], feat_first, gathers
+
+
+def train(names: Names, epochs: int = 14, seed: int = 7, frames: tuple[str, ...] | None = None) -> Tagger:
+    """Fit by Adam on the labelled table, or on some of its frames; the same weights for the same names."""
+    table = pii_examples.labelled_table(list(names.some), seed=seed, frames=frames)
     seqs, golds = [], []
     for text, marked in table:
         tokens, spans = tokenize(text)
@@ -215,17 +261,7 @@ def train(listed: tuple[str, ...], epochs: int = 20, seed: int = 7) -> Tagger:
     for s in seqs:
         for t in s:
             vocab.setdefault(t, len(vocab))
-    pair_tok, pair_feat = [], []
-    for t, k in vocab.items():
-        for f in features(t, names):
-            if f in index:
-                pair_tok.append(k)
-                pair_feat.append(index[f])
-    order = np.argsort(pair_feat, kind="stable")
-    pair_tok, pair_feat = np.array(pair_tok)[order], np.array(pair_feat)[order]
-    feats, first = np.unique(pair_feat, return_index=True)
-    by_tok = np.argsort(pair_tok, kind="stable")
-    toks, tok_first = np.unique(pair_tok[by_tok], return_index=True)
+    of_token = [[index[f] for f in features(t, names) if f in index] for t in vocab]
     W = np.zeros((len(index), _OFFSETS * _L), dtype=np.float32)
     A, S = np.zeros((_L, _L), dtype=np.float32), np.zeros(_L, dtype=np.float32)
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (W, A, S)]
@@ -233,22 +269,14 @@ def train(listed: tuple[str, ...], epochs: int = 20, seed: int = 7) -> Tagger:
     begin = np.where([label[0] == "I" for label in LABELS], -1e4, 0).astype(np.float32)
     rng = np.random.default_rng(seed)
     by_length = sorted(range(len(seqs)), key=lambda k: len(seqs[k]))
-    batches = [by_length[i : i + 128] for i in range(0, len(by_length), 128)]
+    batches = [_batch([seqs[k] for k in by_length[i : i + 128]], [golds[k] for k in by_length[i : i + 128]], vocab, of_token) for i in range(0, len(by_length), 128)]
     step = 0
     for epoch in range(epochs):
         for b in rng.permutation(len(batches)):
-            batch = batches[b]
-            n, T = len(batch), max(len(seqs[k]) for k in batch)
-            ids = np.full((n, T + 2 * REACH), len(vocab), dtype=np.int64)
-            gold = np.zeros((n, T), dtype=np.int64)
-            mask = np.zeros((n, T), dtype=bool)
-            for r, k in enumerate(batch):
-                m = len(seqs[k])
-                ids[r, REACH : REACH + m] = [vocab[t] for t in seqs[k]]
-                gold[r, :m] = golds[k]
-                mask[r, :m] = True
-            E = np.zeros((len(vocab) + 1, _OFFSETS * _L), dtype=np.float32)
-            E[toks] = np.add.reduceat(W[pair_feat[by_tok]], tok_first, axis=0)
+            ids, gold, mask, tok_feat, tok_first, feats, feat_tok, feat_first, gathers = batches[b]
+            n, T = gold.shape
+            E = np.zeros((len(tok_first) + 1, _OFFSETS * _L), dtype=np.float32)  # the last row is outside of every sequence
+            E[:-1] = np.add.reduceat(W[tok_feat], tok_first, axis=0)
             emit = np.zeros((n, T, _L), dtype=np.float32)
             for o in range(_OFFSETS):
                 emit += E[ids[:, o : o + T], o * _L : (o + 1) * _L]
@@ -268,14 +296,14 @@ def train(listed: tuple[str, ...], epochs: int = 20, seed: int = 7) -> Tagger:
                 beta[:, t] = np.where(mask[:, t + 1, None], new, 0)
             top = alpha[:, -1].max(axis=1, keepdims=True)
             z = top[:, 0] + np.log(np.exp(alpha[:, -1] - top).sum(axis=1))
-            post = np.exp(np.minimum(alpha + beta - z[:, None, None], 0)) * mask[..., None]
-            delta = -post
-            np.add.at(delta, (np.arange(n)[:, None], np.arange(T)[None, :], gold), mask.astype(np.float32))
+            delta = -np.exp(np.minimum(alpha + beta - z[:, None, None], 0)) * mask[..., None]
+            delta[np.arange(n)[:, None], np.arange(T)[None, :], gold] += mask
+            flat = delta.reshape(-1, _L)
             gE = np.zeros_like(E)
-            for o in range(_OFFSETS):
-                np.add.at(gE[:, o * _L : (o + 1) * _L], ids[:, o : o + T].ravel(), delta.reshape(-1, _L))
+            for o, (order, first, which) in enumerate(gathers):
+                gE[which, o * _L : (o + 1) * _L] = np.add.reduceat(flat[order], first, axis=0)
             gW = np.zeros_like(W)
-            gW[feats] = np.add.reduceat(gE[pair_tok], first, axis=0)
+            gW[feats] = np.add.reduceat(gE[feat_tok], feat_first, axis=0)
             gA = np.zeros_like(A)
             for t in range(1, T):
                 x = alpha[:, t - 1, :, None] + moves + (emit[:, t] + beta[:, t])[:, None, :] - z[:, None, None]
@@ -295,8 +323,13 @@ def train(listed: tuple[str, ...], epochs: int = 20, seed: int = 7) -> Tagger:
 
 
 @lru_cache(maxsize=2)
-def trained(listed: tuple[str, ...]) -> Tagger:
-    return train(listed)
+def _trained(key: tuple) -> Tagger:
+    first, last, some = key
+    return train(Names(frozenset(first), frozenset(last), some))
+
+
+def trained(names: Names) -> Tagger:
+    return _trained(names.key())
 
 
 # ---------------------------------------------------------------- exact check of form
@@ -306,7 +339,7 @@ _NI = re.compile(r"[A-Za-z]{2}[ -]?\d{2}[ -]?\d{2}[ -]?\d{2}[ -]?[A-Da-d]")
 _SSN = re.compile(r"\d{3}[ –-]\d{2}[ –-]\d{4}")
 _PASSPORT = re.compile(r"[A-Z]{1,2}\d{7,8}|\d{9}", re.I)
 _PHONE = re.compile(r"\+?\(?\d[\d()/. –-]*\d")
-_AFTER_TOWN = re.compile(r"(?<=[a-zß]{4})\.\s+(?=[A-Z])|\b(?:notice|EAN)\b")
+_SENTENCE_END = re.compile(r"(?<=[a-zß]{4})\.\s+(?=[A-Z])")
 _TITLE = re.compile(r"(?:(?:mrs?|ms|mx|miss|dr|prof|sir|herr|frau)\b\.?\s+)+", re.I)
 _NAME_EDGE = " \t,;:.!?()[]<>\"“”„«»–—-*_"
 
@@ -332,7 +365,7 @@ def checked(kind: str, text: str) -> str | None:
                 return m[0]
         return None
     if kind == "address":
-        t = _AFTER_TOWN.split(t, maxsplit=1)[0].strip(" ,.;:")
+        t = _SENTENCE_END.split(t, maxsplit=1)[0].strip(" ,.;:")
         return t if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and len(t) >= 8 else None
     t = _TITLE.sub("", t, count=1) if _TITLE.match(t) else t
     t = t.strip(_NAME_EDGE)
@@ -372,7 +405,7 @@ def find_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, st
     todo: list[str] = []
     cut = []
     for text in texts:
-        plain = text.translate(_DIGITS)
+        plain = _masked(text)
         parts = [(a, plain[a:b]) for a, b in segments(plain)]
         cut.append(parts)
         for _, s in parts:
@@ -403,14 +436,16 @@ def find_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, st
     return [[(a + x, a + y, kind) for a, s in parts for x, y, kind in known[s]] for parts in cut]
 
 
-def _names(blocklist: DataFrame | None) -> tuple[str, ...]:
-    """The listed names, at most MAX_LISTED, in a fixed order."""
+def _names(blocklist: DataFrame | None) -> Names:
+    """The listed names as hashed parts, at most NAME_PARTS of each kind, and some of them for training."""
     if blocklist is None:
-        return ()
-    rows = blocklist.where("entry_kind = 'literal_name' and entry_text is not null").select("entry_text").distinct().limit(MAX_LISTED + 1).collect()
-    if len(rows) > MAX_LISTED:
-        raise ValueError(f"more than {MAX_LISTED} listed names")
-    return tuple(sorted(r[0] for r in rows))
+        return Names.of([])
+    listed = blocklist.where("entry_kind = 'literal_name' and trim(entry_text) <> ''").select(F.trim("entry_text").alias("name"))
+    words = F.split(F.lower("name"), r"\s+")
+    parts = listed.select(F.explode(F.array(F.struct(F.lit("first").alias("side"), F.get(words, F.lit(0)).alias("word")), F.struct(F.lit("last").alias("side"), F.when(F.size(words) > 1, F.get(words, F.size(words) - 1)).alias("word")))).alias("p"))
+    rows = parts.where("p.word is not null").select("p.side", (F.crc32("p.word") % NAME_PARTS).alias("part")).distinct().collect()
+    some = listed.distinct().orderBy(F.crc32("name"), "name").limit(NAMES_IN_TRAINING).collect()
+    return Names(frozenset(r.part for r in rows if r.side == "first"), frozenset(r.part for r in rows if r.side == "last"), tuple(sorted(r.name for r in some)))
 
 
 _FOUND = "delivery_id bigint, field_name string, pii_kind string, pii_text string"
@@ -458,7 +493,7 @@ def personal_data(messages: DataFrame, blocklist: DataFrame | None = None) -> Da
 def _model(t: Tagger) -> tuple:
     """What workers need, ending with a mark of its content."""
     parts = (t.index, t.weights, t.plain_moves, t.plain_start, t.names)
-    mark = hashlib.md5(t.weights.tobytes() + t.plain_moves.tobytes() + repr(sorted(t.names.first | t.names.last)).encode()).hexdigest()
+    mark = hashlib.md5(t.weights.tobytes() + t.plain_moves.tobytes() + repr(t.names.key()).encode()).hexdigest()
     return *parts, mark
 
 

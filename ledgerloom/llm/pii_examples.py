@@ -1,152 +1,365 @@
 """The small labelled table from which the tagger is trained.
 
-Each row is a sentence with typed slots; fillers are drawn by a seeded generator,
-so the table is the same everywhere.  Names, places and firms are made up from
-syllables, apart from common first names.
+A row is a sentence, or a few, with typed slots.  Sentences are made from frames of
+everyday correspondence; words, places, firms and surnames are random syllables of
+no particular language, and first names are common ones of many countries.  All is
+drawn by a seeded generator, so the table is the same everywhere.  Every frame has
+a number; a share of the frames can be kept out of training to measure on them.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
-SLOTS = {"name": "person_name", "first": "person_name", "listed": "person_name", "initial": "person_name", "upper": "person_name", "lower": "person_name", "email": "email", "hidden": "email", "phone": "phone", "id": "national_id", "address": "address"}
+SLOTS = {"name": "person_name", "first": "person_name", "turned": "person_name", "initial": "person_name", "upper": "person_name", "lower": "person_name", "email": "email", "hidden": "email", "phone": "phone", "id": "national_id", "passport": "national_id", "address": "address"}
 
-SENTENCES = """
+#: Frames that hold personal data, and frames that look alike but hold none.
+FRAMES = """
 Dear {title} {name},
 Dear {name},
 Dear {first},
-Hello {first},
-Hello {first}!
+Dear {title} {initial},
+Good morning {first},
+Good evening {title} {name},
+Hello {name},
 Hello {first}
+Hello {first}!
+hello {first},
+Hey {first}!
+hey {first}
+Hi {first},
 Hi {first}
-Hi {first}!
-hi {first},
 hi {first}
-Thanks for your order, {first}!
-Regards, {name}
-Kind regards, {name}
-Kind regards, {name} (accounts)
-Kind regards, {name}, desk {n}
-Best wishes, {name}
-Sincerely, {name}
-{upper} – {placeupper} ref {n6}
-{upper} - {placeupper} ref {n6}
-You were served by {first} at our {place} branch.
-The parcel was collected by {name} at bay {n}.
-Signed for by {name} tel {phone}
-Signed for by {lower} tel {phone}
-Cardholder {name}, card ending {n4}.
-Cardholder {initial}, card ending {n4}.
-Tax form needs the identity number {id} of {name}.
-NI number on file: {id}. Please confirm it by reply.
-Passport number {id} was checked.
-Social security number: {id}
-Guest: {name}, passport or ID {id}, mail {email}
-Guest: {name}, mail {email}
-my mobile is {phone} and the other one {phone}, ask for {first}
-If plans change, ring {phone} or write to {email}.
-Call {phone} or {phone} for help.
-On {weekday} {name} <{email}> wrote that the {item} was short by {n}.
-{name} <{email}> wrote:
-Reach the buyer under {email} (copied).
-Reach the buyer under {hidden} (copied).
-Write to {hidden} for a copy.
-Invoice copy goes to {email};{email}
-Invoice copy goes to {email}
-Deliver to: {name}, {address}
-Deliver to {name}, {address}
-Please move the drop to {address} and text {phone} on arrival.
-Service address {address} is due for a meter reading.
-We hold {listed} as the account holder, billed at {address}.
-Ship the {item} to {address}.
+Hi {first}, {thing} {num} is {state}.
+Welcome back, {first}!
+Many thanks, {first}!
+{first}, your {thing} is {state}.
+Guten Tag {title} {name},
+Bonjour {first},
+Greetings {first}, we have news about your {thing}.
+Yours sincerely, {name}
+Yours faithfully, {initial}
+With best regards, {name} ({role})
+Kind greetings, {name}, {role}
+Kind greetings, {name}, room {num}
+Cheers, {first}
+Thanks, {name}
+All the best, {first}
+{name}
+{name}, {role}
+{name} - {firm}
+{upper}
+{upper} / {placeupper} {code}
+{upper} – {placeupper} no {num}
+{upper}, {placeupper}, {num}
+ATTN {upper}
+attn {lower}, {thing} {num}
+Attention: {name}
+The {thing} was {done} by {name} on {weekday}.
+The {thing} was {done} by {first} at our {place} {premises}.
+The {thing} was {done} by {initial} near gate {num}.
+Your visit was {done} by {first} in {place}.
+{done} by {lower}, mobile {phone}
+{done} for {name}, mobile {phone}
+Left with {name} at door {num}.
+Left with {lower} next door tel {phone}
+Please ask {name} for the {thing}.
+Please ask for {first} when you ring {phone}.
+You can reach {name} on {phone}, {weekday} only.
+{weekday} {name} <{email}> told us that the {thing} is {state}.
+Last {weekday} {name} <{email}> said the {thing} came late.
+{name} ({email}) asked about the {thing}.
+From: {name} <{email}>
 {name} <{email}>
-{name} <{email}>
-"{listed}" <{email}>
-"{listed}" <{email}>
+"{name}" <{email}>
+"{turned}" <{email}>
+{turned} <{email}>
+{turned} <{email}>
+"{turned}" <{email}>
+"{turned}" ({email})
 <{email}>
 {email}
-Dear customer,
-Good day,
-Hello,
-Dear customer, we packed {n} units of {item}.
-{firm}, notice {n5}
-{firm}, notice {n5}
-{firm} is our carrier.
-{firm} {money}
+{email}, {email}
+cc {email};{email}
+A copy of the {doc} was sent to {email}.
+A copy of the {doc} was sent to {hidden} today.
+Questions? Mail {email} or phone {phone}.
+Questions go to {hidden}.
+Answer at {hidden} before {weekday}.
+We wrote to you under {email} (twice).
+We wrote to you under {hidden} (twice).
+Holder {name}, {thing} no {num}.
+Holder {initial}, {thing} no {num}.
+Name on the card: {name}, ending {d4}.
+Name on the card {initial}, valid to {d2}/{d2}.
+Booked for {name} and {name}, {weekday}.
+Booked under {turned} for {weekday}.
+Account of {turned}, address {address}.
+Account of {name}, sent to {address}
+We list {turned} as the payer, living at {address}.
+Send the {thing} to {name}, {address}
+Send the {thing} to: {address}.
+Ship to: {name}, {address}
+Bill to {name}, {address}
+Bring the {thing} to {address} and call {phone} first.
+Drop-off is now {address}, not {address}.
+The flat at {address} gets a new {thing}.
+Work at {address} starts on {weekday}.
+We moved to {address}. Our {thing} stays the same.
+Home address: {address}
+{address}
+Call {phone} for {thing} matters.
+Call {phone} or {phone}.
+Tel {phone}
+tel. {phone}, fax {phone}
+Phone: {phone}
+My number is {phone}, the old one was {phone}, say {first}
+Text {phone} if the {thing} is {state}.
+Mobile {phone}, mail {email}.
+We have {id} as the national insurance number of {name}.
+Insurance number {id} belongs to {name}.
+NI number: {id}
+NI number {id} on the form. Please check it.
+The identity number {id} was read from the form of {name}.
+Your passport {passport} expires soon.
+Passport no. {passport} was seen by {name}.
+Passport: {passport}
+The passport number {passport} was noted.
+Passport number {passport} was read.
+SSN {id}
+SSN on record: {id}. Thank you.
+Visitor {name}, passport or identity card {passport}, mail {email}
+Visitor {name}, passport or identity card {id}, mail {email}
+Visitor: {name}, mail {email}
+Visitor: {initial}, phone {phone}
+The social security number {id} is missing a page.
+Form signed: {name}, {id}
+{nlead} {name}{ntail}
+{nlead} {name}{ntail}
+{nlead} {name}{ntail}
+{nlead} {name}{ntail}
+{nlead} {first}{ntail}
+{nlead} {first}{ntail}
+{nlead} {initial}{ntail}
+{nlead} {title} {name}{ntail}
+{nlead} {turned}{ntail}
+{nlead} {upper}{ntail}
+{nlead} {lower}{ntail}
+{nlead} {lower}{ntail}
+{nlead} {lower} {plead} {phone}
+{nlead} {initial}{ntail}
+{nlead} {initial}, {thing} {num}
+{nlead} {name}, {address}
+{nlead} {name} of {firm}
+{name} from {firm} {done} the {thing}.
+{name} {done} the {thing}
+{first} {done} the {thing} on {weekday}.
+{alead} {address}{atail}
+{alead} {address}{atail}
+{alead} {address}{atail}
+{alead} {address}{atail}
+{plead} {phone}{ptail}
+{plead} {phone}{ptail}
+{plead} {phone}{ptail}
+{plead} {phone}{ptail}
+{plead} {phone} {plead} {phone}
+{ilead} {id}{itail}
+{ilead} {id}{itail}
+{ilead} {id}{itail}
+{ilead} {id}{itail}
+{ilead} {id} of {name}
+passport {passport}{itail}
+Passport number {passport}{itail}
+{ilead} or passport {passport}{itail}
+{nlead} {name}, passport {passport}{itail}
+{elead} {email}{ptail}
+{elead} {hidden}{ptail}
+""".strip().split("\n")
+
+PLAIN = """
+Dear all,
+Dear client,
+Dear members,
+Good morning,
+Hello there,
+Hi all,
+hi again,
+Many thanks!
+To whom it may concern,
+{firm}
+{firm}, bulletin {num}
+{firm}, page {d5}
+{firm} - {money}
 {firm} {money}
-Order {order} left {firm} today. Value {money}.
-Order below left {firm} today. Value {money}.
-The {syllables} {item} is back at {firm}.
-The {syllables} {item} is back at {firm}.
-Our {place} branch opens at {n}.
-Our {road} branch opens at {n}.
-Our {road} branch opens at {n}.
-Tracking {n4} {n4} {n3} is on its way.
-EAN 50{n5}{n6}, lot {n6}.
-Meter serial {n3}/{n5}/{n2}.
-Batch {letter}{n6}-{n3} passed.
-VAT no. GB {n3} {n4} {n2}.
-Sort code {n2}-{n2}-{n2} is never asked for.
-Card **** **** **** {n4} was used.
-Card ** ** **** {n4} was used.
-Order #{n4} has {n} * {n} packs, weight < {n2} kg.
-Save ${n}.{n2} now, then ${n}.{n2} on delivery.
-Follow @{handle}_{n2} for offers.
-Points earned so far: {n3}.
-Your order {order}
-Order ref {order}
-Invoice for {order}
-Order #{order}
-Your {item} order moved to step {n3}.
-The till printed slip {n3} for the {item}.
-A second slip, number {n3}, shows {item}.
-Prices of {item} hold until week {n2}.
-Stock of {item} is down to {n2}.
-No payment was taken for the {item}.
-We packed {n3} units of {item}.
-Please allow {n3} days for the {item}.
-- Price of {item} now {money}
-Quote line {n3} for the {item}
-Collect your {item} from bay {n3}
-Do not mix {item} with lot {n3}
-Return the {item} within {n3} days
-Fit {n3} x {item} first
-Keep the {item} dry
-Check the seal of each {item}
-Store {item} & lids apart
-Statement {n}/20{n2}
-How the total is built
-Payment & VAT
-Delivery details {n2}
-Account <update>
-What happens next
-Opening hours
-Tariff changes {n2} v{n2}
-Items in this parcel
-Total {money}
-{item} {money}
-The amount follows (see the online version) for each line.
-curl -d total={n2} http://till.example/v{n3}
-SELECT ref, net FROM slips WHERE net > {n2}
-for i in range({n2}): post(i, {n3})
-retry --max {n2} --wait {n3}s
-if net < {n2}: skip(row, {n3})
-total = sum(line.net for line in lines[:{n2}])
-r = \\frac{{{n2}}}{{{n3}}}
-s = 0.{n2} x + 0.{n3} y
+{firm}, {place}
+{firm} delivers for us.
+{firm} {place} {num}
+We thank {firm} for the {thing}.
+Our {place} {premises} is open until {num}.
+Our {roadname} {premises} is open until {num}.
+The {roadname} {premises} has moved.
+{place} {premises}
+{cap} {thing}
+The {cap} {thing} is sold by {firm}.
+The {cap} {thing} comes from {firm} again.
+A {cap} {thing} fits every {thing}.
+Parcel {d4} {d4} {d3} has left {place}.
+Parcel {d4} {d4} {d4} {d4} was {done}.
+Shipment {code} left {firm}. Worth {money}.
+Shipment above left {firm}. Worth {money}.
+Barcode {d13}, pack {d6}.
+GTIN {d8}{d5}, pack {d6}.
+Counter {d3}/{d5}/{d2} was read.
+Lot {letter}{d6}-{d3} is {state}.
+Part {letter}{d8}, shelf {num}.
+VAT number GB {d3} {d4} {d2}
+Tax ID GB{d9}, {firm}
+VAT GB{d3} {d4} {d2}, registered in {place}.
+Company number {d8}, {place}.
+Bank code {d2}-{d2}-{d2}, account {d8}.
+Account {d8} at {firm}.
+IBAN GB{d2} ABCD {d4} {d4} {d4} {d2}
+Card **** {d4}
+Card xxxx xxxx xxxx {d4} paid {money}.
+Card ** ** ** {d4} was charged.
+Item #{d4}: {num} * {num} pieces, length < {d2} cm.
+{num} x {thing} at {money}
+Pay ${num}.{d2} first and ${num}.{d2} later.
+See @{word}_{d2} for more.
+Follow @{word} today
+You have {d3} points.
+Purchase {code}
+Purchase no {code}
+Purchase #{d4}
+Bill {code}
+Reference {code} for {thing} {num}.
+{code} {thing} {state}
+Your {thing} purchase is at stage {d3}.
+A receipt numbered {d3} was issued for the {thing}.
+A third receipt, no {d3}, lists {thing}.
+The cost of {thing} stays until month {d2}.
+We have {d2} of {thing} left.
+The {thing} was not charged.
+Nobody has {done} the {thing}.
+Allow {d3} hours for the {thing}.
+- {thing} now at {money}
+- {thing} {num}
+* {thing} with {thing}
+Row {d3} of the {doc}: {thing}
+Pick up the {thing} at counter {d3}
+Never store {thing} with box {d3}
+Bring back the {thing} in {d3} days
+Use {d3} x {thing} before
+Leave the {thing} closed
+Look at the top of every {thing}
+{Thing} and {thing} apart
+{Doc} {d2}/20{d2}
+{Doc} of {thing}
+How your {doc} works
+{Thing} & {thing}
+{Thing} details {d2}
+Notice <{word}>
+What we do next
+Hours of the {premises}
+{Thing} list {d2} v{d2}
+Inside this {thing}
+Sum {money}
+{thing} {money}
+{Thing} {num} {money}
+Your money appears (read on below) on every row.
+wget -q http://{word}.example/{d3}
+SELECT id, amount FROM {word} WHERE amount > {d2}
+while x < {d2}: send(x, {d3})
+run --limit {d2} --pause {d3}s
+if total > {d2}: print(total, {d3})
+net = sum(row.amount for row in rows[:{d2}])
+x = \\frac{{{d2}}}{{{d3}}}
+y = 1.{d2} a + 2.{d3} b
+{d2}.{d2}.20{d2} at {d2}:{d2}
+On {weekday} the {thing} is {state}.
+{weekday}: {thing} {state}
+{place}, {weekday}
+In {place} the {thing} costs {money}.
+{word} {word} {word} {word} {num}
+The {word} {word} of {word} {num} and {word}.
+{flead} {firm}{ftail}
+{flead} {firm}{ftail}
+{flead} {firm}{ftail}
+{flead} {firm}{ftail}
+{firm}{ftail}
+{firm}{ftail}
+{firm}{ftail}
+{firm}, {doc} {d5}
+{firm}, {thing} {d5}
+{nlead} {firm}{ftail}
+The {cap} {thing} {state}
+The {firm}{ftail}
+{flead} the {cap} {thing}
+{Thing} {state}
+{Doc} {state}
+{Thing} {doc}
+{clead} {code}{itail}
+{clead} {code}{itail}
+{clead} {code}{itail}
+{clead} {code}, {money}
+{clead} {d8}{itail}
+{clead} {d6}{itail}
+{clead} {d13}{itail}
+{clead} {d3} {d4} {d2}{itail}
+{clead} {d4} {d4} {d3}
+SELECT {word}, {word} FROM {word}
+def {word}({word}): return {word}[{d2}]
+{word}({word}, {d2})
+{place} {state} {weekday}
+{alead} {place}{ptail}
+{alead} {roadname}{ptail}
 """.strip().split("\n")
 
-FIRST = "Aoife Wilf Hamza Dario Nadia Lorcan Mirela Tilda Marta Rufus Noor Callum Ines Tomas Greta Leila Zofia Anselm Bram Casper Elin Emeka Hanne Jonas Kofi Odile Oskar Ottilie Petra Pia Piers Ravi Signe Sunniva Tadeo Yusuf Aiko Zoë Søren Jürgen Łucja Chloé André Bettina Maria Peter Anna Thomas Sarah David Laura James Emma Paul Julia Mark Ruth Ivan Olga Ahmed Fatima Chen Yuki Pablo Lucia Nils Björn Márta István René Zoé".split()
-_HEAD = "drum kest pell thorn wex yar zell hask fenn bracken quill narr mold osc ulm vel corv gris hol lind marr tarn jask bel cran dun har kel lor mar nor pen ros sel tor wal ash birk".split()
-_LINK = "a e o i u el en ar or un is ow ol am".split()
-_TAIL = "feather moor ratti thorpe wick strand holt sen ski gate lake by dell croft vane more stad berg mann ini ova".split()
-_PLACE_TAIL = "ford bury combe wold ness ville heim stead mere ton ham by dorf".split()
-_ROAD_STEM = "field well mill brook moor bury gate".split()
-_UK_ROAD = "Street Road Lane Avenue Close Court Drive Hill Rise Way Place Terrace".split()
-_US_ROAD = "St Ave Blvd Dr. Parkway Road Lane Street Dr Ave.".split()
-_DE_ROAD = "straße weg allee str. gasse platz".split()
-_ITEMS = "dust sheet|work gloves|oat biscuit|USB-C lead|LED panel|notebook A5|hex bolt|standing charge|unit rate energy|flat white|diesel|single room|copper elbow|cable tie|paint roller|first aid kit|toner cartridge|drill bit set|phone charger|garden hose|desk fan|printer paper".split("|")
-_FIRM = "Timber|Fuels|Pharmacy|Books|Grocers|Energy|Telecom|Hotel|Tools|Rail|Office|Hardware|Electrical|Cafe|Parts Direct|Foods|Bank".split("|")
+# Common first names of many countries.
+FIRST = (
+    "James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth Richard Susan Joseph Karen Charles Nancy Daniel Lisa Matthew Betty Anthony Sandra Steven Ashley Andrew Donna Kenneth Emily George Carol Kevin Amanda Brian Melissa Edward Deborah Ronald Rebecca Timothy Helen "
+    "Hans Ursula Klaus Ingrid Wolfgang Helga Stefan Sabine Jürgen Jörg Käthe Pierre Marie Jean Françoise Michel Hélène René Zoé Giovanni Giulia Marco Chiara Luca Carlos Carmen José Dolores Inés Joaquín Piotr Agnieszka Łukasz Małgorzata Jan Tereza Jiří Zdeněk Lars Astrid Erik Sigrid Bjørn Søren Åsa Mikko Aino "
+    "Mehmet Ayşe Emre Elif Ali Omar Layla Khalid Amina Raj Priya Arjun Sunita Wei Mei Hiroshi Yuki Kenji Min-jun Kwame Ngozi Tunde Amara Dmitri Svetlana Boris Natasha Siobhan Niamh Declan Rhys Gwen Angus Isla Bo Al Jo Ed Mo Kim"
+).split()
+_ONSET = "b bl br c ch cl cr d dr f fl fr g gl gr h j k kl kn l m n p pl pr qu r s sch sh sk sl sm sn sp st str sw t th tr v w wh y z".split()
+_NUCLEUS = "a a a e e e i i i o o o u u ai ea ee ie oa oo ou au y ä ö ü é".split()
+_CODA = ["", "", "", *"b ck d ff g l ll lt m mp n nd ng nt p r rd rk rl rm rn rs rt s sk ss st t th x".split()]
+_NAME_END = "son man mann er ers sen ski ska ov ova ini ez wood well by stead croft more more ley worth s o i a ard el ell".split()
+_PLACE_END = "ton ham ford bury ley by wick thorpe field mouth bridge pool burg dorf hausen stadt ville court heim berg mere stead ness ow le port".split()
+_ROAD_END = "field well mill moor brook gate hill wood water bank ing er".split()
+_UK_ROAD = "Street Road Lane Avenue Close Court Drive Hill Rise Way Place Terrace Gardens Crescent Grove Row Mews Square".split()
+_US_ROAD = "St St. Ave Ave. Blvd Blvd. Dr Dr. Rd Rd. Ln Pkwy Parkway Street Avenue Drive Road Lane Circle".split()
+_DE_ROAD = "straße strasse str. weg platz gasse allee ring ufer damm".split()
+_THING = (
+    "mug|tea towel|brass screw|wall lamp|HDMI cable|ring binder B5|oak shelf|bicycle pump|service fee|tyre change|green tea|petrol|double room|steel pipe|zip bag|glue stick|sewing kit|ink bottle|saw blade|power bank|watering can|ceiling light|photo paper|kettle|frying pan|pillow case|door mat|window cleaner|car wash|train ticket|pepper mill|light switch|rain coat|"
+    "tennis racket|chess set|yearly plan|gas meter|water filter|coffee beans|wool scarf|tool box|steel rope|candle|mirror|battery AA|safety goggles|timber board|sandwich|parking space|annual licence|data plan|router X2|spare wheel|seat cover|copper wire|pack of nails|soap bar"
+).split("|")
+_NLEAD = "Signed by|Booked by|On behalf of|c/o|Attn:|Contact:|Received from|Handed to|Paid by|Speak to|Regards from|Your adviser is|Driver:|Cashier|Guest|Patient|Tenant:|Prepared by|Approved by|Best,|Warm regards,|Respectfully,|The caller was|We met|Collected by|As agreed with|for|by|with|and|from|Customer|Client:|Owner|Mr and Mrs|Recipient:|thanks to|Meet|Payer|Bearer|Subscriber|Insured|Passenger|Resident|Employee|Member|Witness|Buyer".split("|")
+_NTAIL = ["", "", ".", ".", ",", " on {weekday}", " at {num}", ", {role}", " ({role})", " today.", " and team", " tel {phone}", " <{email}>", ", {place}", ", {thing} {num}", " – {thing} {num}", " has {done} it."]
+_ALEAD = "at|to|from|near|Address:|Deliver to|Ship to|lives at|moved to|the site|Collect from|Return to|Billing address:|Located at|Registered office|visit|property|Meet us at|and|for".split("|")
+_ATAIL = ["", "", ".", ".", " on {weekday}.", " and ring {phone}.", " is {state}.", " by {num}", ". The {thing} is {state}.", ". {firm}", "\n{firm}", " before {weekday}", ". {Thing} {num}"]
+_PLEAD = "call|ring|phone|tel|Tel:|mobile|fax|text|WhatsApp|dial|on|reach us on|hotline|or|number|contact|at|phone number is|to".split("|")
+_PTAIL = ["", "", ".", ".", " today", " for {thing}.", " or write", ", ask for {first}", " on {weekday}", " ({role})", " soon."]
+_ILEAD = "NI|NI number|NINO|insurance no|SSN|SSN:|social security no.|social security number|identity number|ID number|ID|national insurance|number|form".split("|")
+_ITAIL = ["", "", ".", ".", " is {state}", " on {weekday}", ". Thank you.", ", {doc} {num}", " was {done}.", " for {thing}"]
+_ELEAD = "mail|write to|email:|Email|reach us at|contact|send it to|copy to|via|at|under|to".split("|")
+_FLEAD = "from|by|at|with|via|sold by|packed by|shipped by|on behalf of|your|visit|Regards from|The team of|Thank you,|Shop:|Merchant|Seller:|to|through|Sent by|today".split("|")
+_FTAIL = ["", "", ".", ",", " {money}", ", {money}", " - {thing}", " in {place}", ", {doc} {num}", " today.", " Ltd", " {num}", ", {word} {d5}", " left {thing}", " is {state}"]
+_CLEAD = "order|Order|purchase|ref|Ref:|invoice|tracking|batch|lot|serial|barcode|account|customer no|policy|case|ticket|item|parcel|VAT|code|Booking".split("|")
+_DOC = "invoice|bill|contract|letter|form|estimate|price list|warranty|account|notice of delivery|record|summary".split("|")
+_STATE = "ready|late|lost|on the way|back in stock|sold out|due|closed|paid|complete|in review|fine|wet|open".split("|")
+_DONE = "signed|accepted|checked|collected|taken|packed|handled|fetched|prepared|opened|served|received|approved|repaired|picked up|returned|booked|paid".split("|")
+_ROLE = "sales|billing|customer care|manager|accounts team|driver|support|secretary|head of purchasing|stores".split("|")
+_PREMISES = "shop|store|office|depot|warehouse|site|branch|showroom|workshop|garage|outlet|market".split("|")
+_TRADE = "Bakery|Plumbing|Motors|Stationers|Clinic|Insurance|Travel|Florist|Garden Centre|Software|Logistics|Media|Dairy|Butchers|Supplies|Group|Services|Trading|Direct|Wholesale|Gas|Water|Airways|Hotel|Pharmacy|Books|Cafe|Foods|Energy|Electrical|Hardware|Bank|Tools|Telecom|Office|Parts|Rail|Timber|Grocers|Fuels".split("|")
+_WORDS = "the our a this each every with from about under over after before new old small large next first last big early full empty order price week month year day box desk floor room street house water paper light time work need want keep send call give take make find show hold move pay read write check and or but if when then than only also just not".split()
+
+
+_LEADS = {"nlead": _NLEAD, "alead": _ALEAD, "plead": _PLEAD, "ilead": _ILEAD, "elead": _ELEAD, "flead": _FLEAD, "clead": _CLEAD}
+_TAILS = {"{ntail}": _NTAIL, "{atail}": _ATAIL, "{ptail}": _PTAIL, "{itail}": _ITAIL, "{ftail}": _FTAIL}
+#: Words that firms have in their names, for the tagger's features.
+TRADE_WORDS = frozenset(w.lower() for t in _TRADE for w in t.split()) | {"company", "ltd", "limited", "plc", "gmbh", "inc", "llp", "sons", "shop", "store", "stores", "partners", "brothers", "centre"}
 
 
 class Filler:
@@ -157,146 +370,172 @@ class Filler:
     def digits(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
 
-    def syllables(self, tail: list[str] = _TAIL) -> str:
+    def stem(self, low: int = 1, high: int = 3) -> str:
         r = self.r
-        return (r.choice(_HEAD) + r.choice(_LINK) + r.choice(tail)).capitalize()
+        return "".join(r.choice(_ONSET) + r.choice(_NUCLEUS) + (r.choice(_CODA) if r.random() < 0.6 else "") for _ in range(r.randint(low, high)))
+
+    def cap(self) -> str:
+        return self.stem(2, 3).capitalize()
+
+    def word(self) -> str:
+        return self.r.choice(_WORDS) if self.r.random() < 0.6 else self.stem()
 
     def surname(self) -> str:
-        s = self.syllables()
-        x = self.r.random()
-        if x < 0.12:
-            return f"{s}-{self.syllables()}"
+        r = self.r
+        s = (self.stem(1, 2) + r.choice(_NAME_END)).capitalize() if r.random() < 0.6 else self.cap()
+        x = r.random()
+        if x < 0.1:
+            return f"{s}-{self.cap()}"
+        if x < 0.16:
+            return f"O{r.choice(['’', chr(39), chr(39)])}{s}"
         if x < 0.2:
-            return f"O'{s}"
-        if x < 0.22:
-            return f"Mc{s}"
-        return s
+            return f"{r.choice(['Mc', 'Mac'])}{s}"
+        return f"{r.choice(['van', 'de', 'von', 'da', 'al'])} {s}" if x < 0.23 else s
 
     def first(self) -> str:
-        return self.r.choice(FIRST) if self.r.random() < 0.75 else self.syllables(["a", "o", "us", "en", "in", "ette"])[:8].capitalize()
+        r = self.r
+        return r.choice(FIRST) if r.random() < 0.6 else self.stem(1, 2)[:9].capitalize()
 
     def name(self) -> str:
-        if self.listed_names and self.r.random() < 0.2:
-            return self.r.choice(self.listed_names)
-        return f"{self.first()} {self.surname()}"
+        r = self.r
+        if self.listed_names and r.random() < 0.2:
+            return r.choice(self.listed_names)
+        middle = r.choice(["", "", "", "", "", "", f"{r.choice('ABCDEGHJKLMNPRST')}. ", f"{self.first()} "])
+        return f"{self.first()} {middle}{self.surname()}"
+
+    def turned(self) -> str:
+        return f"{self.surname()}, {self.first()}"
+
+    def initial(self) -> str:
+        return f"{self.r.choice('ABCDEFGHIJKLMNOPRSTUVWYZ')}. {self.surname()}"
 
-    def road(self) -> str:
+    def upper(self) -> str:
+        return self.name().upper()
+
+    def lower(self) -> str:
+        return self.name().lower()
+
+    def place(self) -> str:
+        return (self.stem(1, 2) + self.r.choice(_PLACE_END)).capitalize() if self.r.random() < 0.8 else self.cap()
+
+    def placeupper(self) -> str:
+        return self.place().upper()
+
+    def roadname(self) -> str:
         r = self.r
-        return f"{(r.choice(_HEAD) + r.choice(_LINK) + r.choice(_ROAD_STEM)).capitalize()} {r.choice(_UK_ROAD)}"
+        return f"{(self.stem(1, 2) + r.choice(_ROAD_END)).capitalize() if r.random() < 0.7 else self.cap()} {r.choice(_UK_ROAD)}"
 
     def postcode(self) -> str:
         r = self.r
-        code = f"{r.choice('QVZXJ')}{r.choice(['', 'K', 'T', 'X', 'Q'])}{r.randint(1, 29)} {r.randint(1, 9)}{r.choice('ABDEGHJLNPQ')}{r.choice('ABDEGHJLNPQ')}"
-        return code.lower() if r.random() < 0.08 else code
+        letters = "ABCDEFGHIJKLMNOPRSTUVWXYZ"
+        code = f"{r.choice(letters)}{r.choice(['', *letters])}{r.randint(1, 99)}{r.choice(['', '', '', 'A', 'W'])} {r.randint(0, 9)}{r.choice(letters)}{r.choice(letters)}"
+        return code.lower() if r.random() < 0.1 else code
 
     def address(self) -> str:
         r = self.r
-        place = self.syllables(_PLACE_TAIL)
         kind = r.random()
-        if kind < 0.55:
-            unit = r.choice(["", "", "", f"Flat {r.randint(1, 60)}, ", f"Unit {r.choice('ABCDE')}, ", f"Apt {r.randint(1, 60)}, "])
-            return f"{unit}{r.randint(1, 290)}{r.choice(['', '', '', 'a', 'B'])} {self.road()}, {place}, {self.postcode()}"
-        if kind < 0.8:
-            unit = r.choice(["", f", Apt {r.randint(1, 60)}", f" #{r.randint(1, 99)}"])
-            street = (r.choice(_HEAD) + r.choice(_LINK) + r.choice(_ROAD_STEM)).capitalize()
-            return f"{r.randint(100, 9999)} {r.choice(['', 'N. ', 'West ', 'S. ', 'East '])}{street} {r.choice(_US_ROAD)}{unit}, {place}, {r.choice('ZXQV')}{r.choice('QW')} {self.digits(5)}"
-        street = (r.choice(_HEAD) + r.choice(_LINK) + r.choice(_ROAD_STEM)).capitalize() + r.choice(_DE_ROAD)
-        return f"{street} {r.randint(1, 150)}, {self.digits(5)} {place}"
+        if kind < 0.5:
+            unit = r.choice(["", "", "", f"Flat {r.randint(1, 99)}, ", f"Unit {r.choice('ABCDEFG')}{r.choice(['', r.randint(1, 9)])}, ", f"Apt {r.randint(1, 99)}, ", f"{self.cap()} House, ", f"Suite {r.randint(1, 40)}, ", f"flat {r.randint(1, 30)}{r.choice('abc')}, "])
+            end = r.choice([f", {self.postcode()}", f", {self.postcode()}", f", {self.postcode()}", f" {self.postcode()}", ""])
+            return f"{unit}{r.randint(1, 300)}{r.choice(['', '', '', '', 'a', 'B'])} {self.roadname()}, {self.place()}{end}"
+        if kind < 0.78:
+            unit = r.choice(["", "", f", Apt {r.randint(1, 99)}", f" #{r.randint(1, 99)}", f", Suite {r.randint(1, 900)}", f" Unit {r.randint(1, 20)}"])
+            side = r.choice(["", "", "", "N. ", "S. ", "East ", "West ", "N ", "SW "])
+            state = "".join(r.choice("ABCDEFGHIKLMNOPQRSTUVWXYZ") for _ in range(2))
+            return f"{r.randint(1, 9999)} {side}{self.cap()} {r.choice(_US_ROAD)}{unit}, {self.place()}, {state} {self.digits(5)}{r.choice(['', '', '', '-' + self.digits(4)])}"
+        end = r.choice(_DE_ROAD)
+        street = self.stem(1, 3).capitalize() + r.choice([end, end, " " + end.capitalize()])
+        return f"{street} {r.randint(1, 150)}{r.choice(['', '', '', 'a', 'c'])}, {self.digits(5)} {self.place()}"
 
     def email(self) -> str:
         r = self.r
-        f, s = r.choice(FIRST).lower(), self.syllables().lower()
-        local = r.choice([f"{f}.{s}", f"{f}_{s}{r.randint(1, 99)}", f"{f}-{s}", f"{s}.{f}", f"{f[0]}{s}", f"{f}{r.randint(1, 99)}", f"{f}+shop"])
-        out = f"{local}@{r.choice(['mailhaven.example', 'inbox.test', 'web-post.test', 'home.brisk.example', 'post.net', 'mail.co.uk'])}"
-        return out.upper() if r.random() < 0.08 else out
+        f, s = r.choice(FIRST).lower(), self.stem(1, 3)
+        local = r.choice([f"{f}.{s}", f"{f}_{s}", f"{f}_{s}{r.randint(1, 99)}", f"{f}-{s}", f"{s}.{f}", f"{f[0]}{s}", f"{f[0]}.{s}", f"{f}{r.randint(1, 2000)}", f"{s}", f"{s}{f[0]}", f"{f}+{s}"])
+        host = r.choice([f"{self.stem(1, 3)}.example", f"{self.stem(1, 2)}-{self.stem(1, 2)}.test", f"mail.{self.stem(1, 3)}.org", f"{self.stem(1, 3)}.co.uk", f"{self.stem(1, 3)}.com", f"{self.stem(1, 2)}.de", f"{self.stem(1, 2)}.{self.stem(1, 2)}.net"])
+        out = f"{local}@{host}"
+        return out.upper() if r.random() < 0.06 else out
 
     def hidden(self) -> str:
         return self.email().replace("@", self.r.choice(["(at)", " [at] ", " at ", " (at) ", "[at]"]))
 
     def phone(self) -> str:
         r, d = self.r, self.digits
-        a, b, c = d(3), d(3), d(4)
+        uk = f"{r.choice('123578')}{d(3)}"
         return r.choice([
-            f"07700 900{a}", f"07700900{a}", f"07700-900-{a}", f"(07700) 900{a}", f"+44 7700 900{a}", f"+44 (0)7700 900{a}", f"0044 7700 900{a}", f"+447700900{a}",
-            f"020 7946 0{a}", f"0207 946 0{a}", f"(020) 7946 0{a}", f"+44 20 7946 0{a}", f"+442079460{a}", f"01632 960{a}", f"01632-960{a}", f"+44 1632 960 {a}", f"0113 496 0{a}",
-            f"{r.choice(['202', '303', '415', '617', '808'])}-555-{c}", f"{r.choice(['202', '303', '415'])}.555.{c}", f"({r.choice(['202', '303', '617'])}) 555-{c}", f"1-808-555-{c}", f"+1 617 555 {c}",
-            f"030 / 23125 {b}", f"+49 30 23125 {b}", f"+33 1 99 00 {d(2)} {d(2)}", f"030 23125 {b}",
+            f"0{uk} {d(6)}", f"0{uk}{d(6)}", f"0{uk}-{d(3)}-{d(3)}", f"0{uk}-{d(6)}", f"(0{uk}) {d(6)}", f"0{uk} {d(3)} {d(3)}", f"+44 {uk} {d(6)}", f"+44 (0){uk} {d(6)}", f"0044 {uk} {d(6)}", f"+44{uk}{d(6)}", f"+44 {uk} {d(3)} {d(3)}",
+            f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"(0{d(2)}) {d(4)} {d(4)}", f"+44 {d(2)} {d(4)} {d(4)}", f"+44{d(10)}",
+            f"{r.randint(201, 989)}-{d(3)}-{d(4)}", f"{r.randint(201, 989)}.{d(3)}.{d(4)}", f"({r.randint(201, 989)}) {d(3)}-{d(4)}", f"1-{r.randint(201, 989)}-{d(3)}-{d(4)}", f"+1 {r.randint(201, 989)} {d(3)} {d(4)}", f"+1-{r.randint(201, 989)}-{d(3)}-{d(4)}",
+            f"0{d(2)} / {d(5)} {d(3)}", f"0{d(3)}/{d(7)}", f"+49 {d(2)} {d(5)} {d(3)}", f"+49 {d(3)} {d(7)}", f"+33 {r.randint(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(2)} {d(5)} {d(3)}", f"0{r.randint(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}",
         ])
 
     def id(self) -> str:
         r, d = self.r, self.digits
-        two = r.choice(["ZZ", "TN", "GB", "NK", "QQ", "BG", "AB", "JK"])
-        last = r.choice("ABCD")
-        x, y, z = d(2), d(2), d(2)
-        out = r.choice([f"{two}{x}{y}{z}{last}", f"{two} {x} {y} {z} {last}", f"{two}-{x}-{y}-{z}-{last}", f"{two} {x}{y}{z} {last}"])
-        kind = r.random()
-        if kind < 0.5:
-            return out.lower() if r.random() < 0.12 else out
-        if kind < 0.8:
-            sep = r.choice(["-", "–", " ", " "])
-            return f"{r.choice(['000', '666', '123'])}{sep}{x}{sep}{d(4)}"
-        return r.choice([f"X{d(8)}", f"ZX{d(8)}", f"{d(9)}"]) if kind < 0.99 else f"{r.choice('ABC')}{d(7)}"
+        letters = "ABCEGHJKLMNOPQRSTWXYZ"
+        two, last, x, y, z = r.choice(letters) + r.choice(letters), r.choice("ABCD"), d(2), d(2), d(2)
+        out = r.choice([f"{two}{x}{y}{z}{last}", f"{two} {x} {y} {z} {last}", f"{two}-{x}-{y}-{z}-{last}", f"{two} {x}{y}{z} {last}", f"{two}{x}{y}{z} {last}"])
+        if r.random() < 0.6:
+            return out.lower() if r.random() < 0.2 else out
+        sep = r.choice(["-", "-", "–", " ", " "])
+        return f"{d(3)}{sep}{x}{sep}{d(4)}"
+
+    def passport(self) -> str:
+        r, d = self.r, self.digits
+        letters = "ABCEGHJKLMNOPQRSTWXYZ"
+        return r.choice([d(9), f"{r.choice(letters)}{d(8)}", f"{r.choice(letters)}{r.choice(letters)}{d(7)}", f"{r.choice(letters)}{r.choice(letters)}{d(8)}", f"{r.choice(letters)}{d(7)}"])
 
     def firm(self) -> str:
         r = self.r
-        a, b, f = self.syllables(), self.syllables(), r.choice(_FIRM)
-        return r.choice([f"{a} {f}", f"{a} & {b} {f}", f"The {a} {f} Company", f"{a}", f"{a} & {b} Ltd", f"{a} {f} Ltd"])
+        a, b, f = self.cap() if r.random() < 0.5 else self.place(), self.cap() if r.random() < 0.5 else self.surname(), r.choice(_TRADE)
+        legal = r.choice(["Ltd", "Limited", "plc", "GmbH", "Inc.", "LLP"])
+        return r.choice([f"{a} {f}", f"{a} {f}", f"{a} & {b} {f}", f"The {a} {f} Company", f"The {a} {f}", a, f"{a} & {b}", f"{a} & {b} {legal}", f"{a} {f} {legal}", f"{a} {r.choice(_TRADE)} {f}", f"{a} & Sons"])
+
+    def money(self) -> str:
+        return self.r.choice([f"{self.r.choice('£€$')}{self.r.randint(1, 2000)}.{self.digits(2)}", f"{self.r.randint(1, 900)}.{self.digits(2)} {self.r.choice(['GBP', 'EUR', 'USD'])}"])
+
+    def code(self) -> str:
+        s = self.stem(1, 2)[: self.r.randint(2, 3)].upper()
+        return self.r.choice([f"{s}-{self.digits(8)}", f"{s}{self.digits(8)}", f"{s} {self.digits(8)}", f"{s}-{self.digits(6)}-{self.digits(2)}", f"{s}{self.digits(5)}", f"{s}-{self.digits(8)}-{self.stem(1, 1).upper()}-{self.r.randint(1, 9)}"])
+
+    def num(self) -> str:
+        return str(self.r.randint(1, self.r.choice([9, 99, 999, 99999])))
 
     def fill(self, slot: str) -> str:
         r = self.r
-        if slot == "listed":
-            return f"{self.surname()}, {self.first()}"
-        if slot == "initial":
-            return f"{r.choice('ABCDEFHJLMNPRTZ')}. {self.surname()}"
-        if slot == "upper":
-            return self.name().upper()
-        if slot == "lower":
-            return self.name().lower()
-        if slot == "place":
-            return self.syllables(_PLACE_TAIL)
-        if slot == "placeupper":
-            return self.syllables(_PLACE_TAIL).upper()
-        if slot == "title":
-            return r.choice(["Mr", "Mrs", "Ms", "Mx", "Dr", "Prof."])
-        if slot == "weekday":
-            return r.choice(["Monday", "Tuesday", "Friday"])
-        if slot == "item":
-            return r.choice(_ITEMS)
-        if slot == "letter":
-            return r.choice("MRLKBX")
-        if slot == "handle":
-            return self.syllables().lower()
-        if slot == "money":
-            return f"{r.choice('£€$')}{r.randint(1, 900)}.{self.digits(2)}"
-        if slot == "order":
-            s = self.syllables()[:2].upper()
-            return r.choice([f"{s}-{self.digits(8)}", f"{s}{self.digits(8)}", f"{s} {self.digits(8)}", f"{s}-{self.digits(8)}-SHIP-{r.randint(1, 3)}"])
-        if slot == "n":
-            return str(r.randint(1, 50))
-        if slot[0] == "n" and slot[1:].isdigit():
+        if slot[0] == "d" and slot[1:].isdigit():
             return self.digits(int(slot[1:]))
+        lists = {"title": ["Mr", "Mrs", "Ms", "Mx", "Miss", "Dr", "Dr.", "Prof.", "Mr."], "weekday": ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"], "thing": _THING, "doc": _DOC, "state": _STATE, "done": _DONE, "role": _ROLE, "premises": _PREMISES, "letter": list("ABCDEFGHKLMNPRSTX")}
+        if slot in lists:
+            return r.choice(lists[slot])
+        if slot in _LEADS:
+            return r.choice(_LEADS[slot])
+        if slot.lower() in lists:
+            return r.choice(lists[slot.lower()]).capitalize()
         return getattr(self, slot)()
 
 
-def labelled_table(listed_names: list[str], per_sentence: int = 40, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """(text, [(start, end, kind)]): a few thousand sentences, some of several sentences."""
-    import re
-
+def labelled_table(listed_names: list[str], per_frame: int = 40, seed: int = 7, frames: tuple[str, ...] | None = None) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """(text, [(start, end, kind)]): a few thousand rows, some of several sentences."""
     f = Filler(seed, listed_names)
     single = []
-    for sentence in SENTENCES:
-        literal = sentence.replace("{{", "\x01").replace("}}", "\x02")
-        for _ in range(per_sentence):
+    for frame in frames if frames is not None else (*FRAMES, *PLAIN):
+        literal = frame.replace("{{", "\x01").replace("}}", "\x02")
+        for _ in range(per_frame):
             text, spans = "", []
             at = 0
-            for m in re.finditer(r"\{(\w+)\}", literal):
-                text += literal[at : m.start()]
+            chosen = literal
+            for slot, tails in _TAILS.items():
+                if slot in chosen:
+                    chosen = chosen.replace(slot, f.r.choice(tails))
+            for m in re.finditer(r"\{(\w+)\}", chosen):
+                text += chosen[at : m.start()]
                 value = f.fill(m[1])
+                if not text and m[1] == "done":
+                    value = value.capitalize()
                 if m[1] in SLOTS:
                     spans.append((len(text), len(text) + len(value), SLOTS[m[1]]))
                 text += value
                 at = m.end()
-            text = (text + literal[at:]).replace("\x01", "{").replace("\x02", "}")
+            text = (text + chosen[at:]).replace("\x01", "{").replace("\x02", "}")
             if f.r.random() < 0.25 and any(k == "address" for _, _, k in spans):
                 text = re.sub(r", (?=[A-Z0-9])", lambda m: ",\n" if spans[-1][0] < m.start() < spans[-1][1] or f.r.random() < 0.3 else m[0], text)
             single.append((text, spans))
@@ -312,3 +551,9 @@ def labelled_table(listed_names: list[str], per_sentence: int = 40, seed: int =
         rows.append((text, spans))
         k += n
     return rows
+
+
+def split_frames(part: int, of: int = 5) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(frames to train on, frames kept out): every ``of``-th frame is kept out."""
+    every = (*FRAMES, *PLAIN)
+    return tuple(x for k, x in enumerate(every) if k % of != part), tuple(x for k, x in enumerate(every) if k % of == part)

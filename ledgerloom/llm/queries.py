@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..workspace import table
 from . import bpe, linkage, markup, mixing, nearest, pii, spans, survivors
@@ -37,7 +38,12 @@ def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.structure(table(spark, sf_dir, "mail_messages"))
+    return markup.structure(table(spark, sf_dir, "mail_messages")).select("delivery_id", "element", "element_text")
+
+
+def p7_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many elements come from winning containers, and how many by the fallback."""
+    return markup.structure(table(spark, sf_dir, "mail_messages")).groupBy("chosen").agg(F.count(F.lit(1)).alias("elements"))
 
 
 def p7_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +67,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_characters(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_confidence": p2_confidence, "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_clean_text": p7_clean_text, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p2_confidence": p2_confidence, "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_chosen": p7_chosen, "p7_clean_text": p7_clean_text, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 SQL: dict[str, str] = {}
 
 SQL["p4_found"] = """

@@ -62,7 +62,21 @@ def test_clean_text_is_read_as_the_structure(spark):
     assert markup.clean_text(df.limit(0)).count() == 0
 
 
-NAMES = ("Marta Moldelski", "Wilf Moldargate")
+def test_losing_container_changes_the_output(spark):
+    """A menu of links loses on its host; on one page of it stands real text, which stays."""
+    menu = "<nav class='m1'><ul><li><a href='/a'>All offers of this week</a></li><li><a href='/b'>Help pages</a></li></ul></nav>"
+    page = lambda n, top=menu: f"{top}<div><h1>Title {n}</h1><p>Your order of {n} mugs was packed today.</p></div>"
+    rows = [(n, "shop@h.example", page(n)) for n in range(4)] + [(9, "shop@h.example", page(9, "<nav class='m2'><ul><li>Only words here</li></ul></nav>"))]
+    df = spark.createDataFrame(rows, "delivery_id bigint, from_addr string, body_html string")
+    full = {(r.delivery_id, r.element_text): r.chosen for r in markup.structure(df).collect()}
+    assert full[0, "Help pages"] is False and full[0, "Title 0"] is True and full[9, "Only words here"] is True
+    less = {(r.delivery_id, r.element_text) for r in markup.structure(df, fallback=False).collect()}
+    assert (0, "Help pages") not in less and (0, "Title 0") in less and (9, "Only words here") in less
+    clean = {r.delivery_id: r.clean for r in markup.clean_text(df).collect()}
+    assert clean[1] == "# Title 1\nYour order of 1 mugs was packed today." and clean[9].startswith("- Only words here")
+
+
+NAMES = pii.Names.of(["Marta Moldelski", "Wilf Moldargate"])
 
 
 def found(text):
@@ -72,9 +86,10 @@ def found(text):
 
 
 def test_held_out_accuracy():
-    """Sentences filled with other names, numbers and places than in training."""
-    tagger = pii.trained(NAMES)
-    table = pii_examples.labelled_table([], per_sentence=2, seed=99)
+    """Frames that were never trained on, filled with other names, numbers and places."""
+    train_on, kept_out = pii_examples.split_frames(0)
+    tagger = pii.train(NAMES, frames=train_on)
+    table = pii_examples.labelled_table([], per_frame=6, seed=99, frames=kept_out)
     right = wrong = missed = 0
     for (text, marked), spans in zip(table, pii.find_spans([t for t, _ in table], tagger)):
         want = {(k, pii.checked(k, text[a:b])) for a, b, k in marked}
@@ -82,7 +97,7 @@ def test_held_out_accuracy():
         right += len(want & got)
         wrong += len(got - want)
         missed += len(want - got)
-    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
+    assert right / (right + wrong) > 0.85 and right / (right + missed) > 0.85
 
 
 def test_sentences():
@@ -96,7 +111,7 @@ def test_sentences():
 def test_personal_data_table(spark):
     rows = [(1, "Dear Mr Bram Wexarby,\r\ntext 07700 900123 on arrival.", "<p>Dear <b>Bram</b> Wexarby,</p>", ['"Wexarby, Bram" <bram@inbox.test>'], "x"), (2, None, None, None, "y"), (3, "", "", [], "z"), (4, "word " * 50_000, None, [None], "w")]
     df = spark.createDataFrame(rows, "delivery_id bigint, body_text string, body_html string, to_addrs array<string>, field_name string")
-    block = spark.createDataFrame([("literal_name", n) for n in NAMES], "entry_kind string, entry_text string")
+    block = spark.createDataFrame([("literal_name", n) for n in NAMES.some], "entry_kind string, entry_text string")
     got = {tuple(r) for r in pii.personal_data(df.unionByName(df), block).collect()}
     assert (1, "body_text", "person_name", "Bram Wexarby") in got and (1, "to_addrs", "email", "bram@inbox.test") in got and (1, "to_addrs", "person_name", "Wexarby, Bram") in got
     assert (1, "body_html", "person_name", "Bram Wexarby") in got and {g[0] for g in got} == {1}
