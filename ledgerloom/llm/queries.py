@@ -67,7 +67,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_characters(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_confidence": p2_confidence, "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_chosen": p7_chosen, "p7_clean_text": p7_clean_text, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+def p10_without_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.without_shared(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_confidence": p2_confidence, "p3_found": p3_found, "p3_survivors": p3_survivors, "p4_found": p4_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p7_found": p7_found, "p7_chosen": p7_chosen, "p7_clean_text": p7_clean_text, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_without_shared": p10_without_shared}
 SQL: dict[str, str] = {}
 
 SQL["p4_found"] = """

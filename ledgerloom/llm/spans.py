@@ -1,19 +1,25 @@
-"""Passages that stand verbatim in more than one document.
-
-A passage of ``min_chars`` characters contains at least one anchor: the k-gram of
-least hash among its ``min_chars - k + 1`` k-grams.  Anchors depend on the passage
-alone, so two documents with a common passage have a common anchor, and only the
-surroundings of anchors that stand in two documents need be compared.  These
-surroundings form small reference shards; a suffix automaton is built over each
-shard and its texts are streamed through for matching statistics, counting only
-states that another document reaches too.  A shard beyond ``SHARD_TEXTS`` texts
-(boilerplate in a third of all documents) is compared by the hashes of all its
-passages instead, a plain aggregation without any group in one task.  Equal
-documents are collapsed first; equal surroundings too.
+"""Passages that stand verbatim in more than one document, by suffix automata.
+
+The reference is the set of passages of ``min_chars`` characters that two different
+texts hold, each taken once, from the text of least id, and joined to longer pieces
+where they follow each other.  Pieces form shards; a suffix automaton is built over
+each bounded block of a shard and broadcast, as many at a time as ``PASS_BYTES``
+allow.  Whole documents are streamed through the automata of their shards for
+matching statistics, and every maximal match of ``min_chars`` characters or more is
+a span of the document and of the text that the piece came from.
+
+Which passages form the reference, and which shards a document meets, is found by
+hashes beforehand.  That filter is exact: a passage contains a k-gram of least hash
+among its k-grams, which depends on the passage alone; only passages whose such
+gram stands in two texts are hashed as a whole, and those of one hash in two texts
+are taken.  All of this is plain aggregation, so boilerplate in a third of all
+documents is one row per task, and it adds its text to the reference once.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..workspace import settle
+from ..workspace import scratch_path, settle
 
 MIN_CHARS = 200
 ANCHOR = 64
-#: Distinct texts of one reference shard; larger ones take the exact other way.
-SHARD_TEXTS = 256
+#: Characters of one automaton; a shard with more is a list of automata.
+SHARD_CHARS = 150_000
+#: Packed automata that are broadcast at a time.
+PASS_BYTES = 48_000_000
 #: Characters whose hashes are computed at once.
 CHUNK_CHARS = 2_000_000
 
@@ -75,90 +83,115 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(tail[: n - w + 1], head[w - 1 : n])
 
 
-def _chunk_anchors(texts: list[str], k: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the text, hash and position of each anchor."""
+def _chunks(pdf: pd.DataFrame, *columns: str) -> Iterator[list[tuple]]:
+    """Rows in lists of about CHUNK_CHARS characters of text."""
+    rows, size = [], 0
+    for row in zip(pdf["doc_id"], pdf["text"], *(pdf[c] for c in columns), strict=True):
+        rows.append(row)
+        size += len(row[1])
+        if size >= CHUNK_CHARS:
+            yield rows
+            rows, size = [], 0
+    if rows:
+        yield rows
+
+
+def _windows(texts: list[str], k: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every passage of ``min_chars``: text, position in it and least hash of its k-grams; and all code points."""
     codes = [_codes(t) for t in texts]
     lengths = np.array([len(c) for c in codes])
     joined = np.concatenate(codes)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    h = gram_hashes(joined, k)
-    w = min_chars - k + 1
-    bits = np.uint64(max(1, int(len(h) - 1).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    # the position in the low bits makes the leftmost of equal hashes the least
-    marked = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    least = _sliding_min(marked, w)
-    inside = np.zeros(len(joined) + 1, dtype=np.int32)  # +1 and -1 at the ends of valid passage starts
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, starts + lengths - min_chars + 1, -1)
-    valid = np.cumsum(inside)[: len(least)] > 0
-    at = np.unique(least[valid] & low).astype(np.int64)
-    doc = np.searchsorted(starts, at, side="right") - 1
-    return doc, h[at].view(np.int64), at - starts[doc]
-
-
-def _anchors(k: int, min_chars: int):
+    least = _sliding_min(gram_hashes(joined, k), min_chars - k + 1)
+    doc = np.repeat(np.arange(len(texts)), lengths)[: len(least)]
+    at = np.arange(len(least)) - starts[doc]
+    inside = at <= lengths[doc] - min_chars  # a passage does not run into the next text
+    return doc[inside], at[inside], least[inside].view(np.int64), joined
+
+
+def _fingerprints(k: int, min_chars: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, texts, size = [], [], 0
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids.append(doc_id)
-                texts.append(text)
-                size += len(text)
-                if size >= CHUNK_CHARS:
-                    yield frame(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield frame(ids, texts)
-
-    def frame(ids: list, texts: list[str]) -> pd.DataFrame:
-        doc, fp, pos = _chunk_anchors(texts, k, min_chars)
-        return pd.DataFrame({"doc_id": np.asarray(ids, dtype=np.int64)[doc], "fp": fp, "pos": pos.astype(np.int32)})
+            for rows in _chunks(pdf):
+                doc, _, fp, _ = _windows([t for _, t in rows], k, min_chars)
+                new = np.ones(len(fp), dtype=bool)
+                new[1:] = (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1])
+                ids = np.array([d for d, _ in rows], dtype=np.int64)
+                yield pd.DataFrame({"doc_id": ids[doc[new]], "fp": fp[new]}).drop_duplicates()
 
     return run
 
 
-class Automaton:
-    """Suffix automaton over several texts; each state knows up to two owners.
+def _passages(k: int, min_chars: int):
+    """Hashes of the passages whose least k-gram is one of the document's common ones."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for rows in _chunks(pdf, "fps"):
+                for doc_id, text, fps in rows:
+                    _, at, fp, codes = _windows([text], k, min_chars)
+                    known = np.isin(fp, np.asarray(fps))
+                    h1, h2 = (gram_hashes(codes, min_chars, seed).view(np.int64) for seed in (1, 2))
+                    yield pd.DataFrame({"doc_id": np.int64(doc_id), "a": at[known].astype(np.int32), "fp": fp[known], "h1": h1[known], "h2": h2[known]})
+
+    return run
+
+
+def _pieces(min_chars: int):
+    """Runs of passages that follow each other in one shard, with their text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc_id, text, starts, shards in zip(pdf["doc_id"], pdf["text"], pdf["starts"], pdf["shards"], strict=True):
+                order = np.argsort(starts, kind="stable")
+                at, shard = np.asarray(starts)[order], np.asarray(shards)[order]
+                cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(shard) != 0)) + 1
+                for run_at, run_shard in zip(np.split(at, cuts), np.split(shard, cuts), strict=True):
+                    out.append((int(run_shard[0]), doc_id, int(run_at[0]), text[run_at[0] : run_at[-1] + min_chars]))
+            yield pd.DataFrame(out, columns=["shard", "doc_id", "start", "piece"])
+
+    return run
 
-    Only states of at least ``least`` characters carry owners: shorter matches
-    never matter.
-    """
 
-    def __init__(self, least: int):
-        self.least = least
-        self.next: list[dict[str, int]] = [{}]
+class Automaton:
+    """Suffix automaton over several pieces; a state knows where its first string ends."""
+
+    def __init__(self):
+        self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
-        self.one: list[int | None] = [None]
-        self.two = [False]
+        self.end = [0]
+        self.chars = 0
+        self.pieces: list[tuple[int, int, int]] = []  # first character here, document, first character there
 
-    def _state(self, length: int, nxt: dict[str, int], link: int) -> int:
+    def _state(self, length: int, nxt: dict[int, int], link: int, end: int) -> int:
         self.next.append(nxt)
         self.link.append(link)
         self.length.append(length)
-        self.one.append(None)
-        self.two.append(False)
+        self.end.append(end)
         return len(self.length) - 1
 
-    def _clone(self, p: int, q: int, c: str) -> int:
+    def _clone(self, p: int, q: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
-        copy = self._state(length[p] + 1, dict(nxt[q]), link[q])
+        copy = self._state(length[p] + 1, dict(nxt[q]), link[q], self.end[q])
         link[q] = copy
         while p >= 0 and nxt[p].get(c) == q:
             nxt[p][c] = copy
             p = link[p]
         return copy
 
-    def add(self, text: str) -> None:
+    def add(self, text: str, doc: int = 0, start: int = 0) -> None:
         nxt, link, length = self.next, self.link, self.length
+        self.pieces.append((self.chars, doc, start))
         last = 0
-        for c in text:
+        for c in _codes(text).tolist():
+            self.chars += 1
             q = nxt[last].get(c)
-            if q is not None:  # another text went here before
+            if q is not None:  # another piece went here before
                 last = q if length[q] == length[last] + 1 else self._clone(last, q, c)
                 continue
-            cur = self._state(length[last] + 1, {}, 0)
+            cur = self._state(length[last] + 1, {}, 0, self.chars)
             p = last
             while p >= 0 and c not in nxt[p]:
                 nxt[p][c] = cur
@@ -168,91 +201,129 @@ class Automaton:
                 link[cur] = q if length[q] == length[p] + 1 else self._clone(p, q, c)
             last = cur
 
-    def own(self, text: str, owner: int, twice: bool) -> None:
-        """Mark the states of all suffixes of all prefixes with their owner."""
-        nxt, link, length, one, two, least = self.next, self.link, self.length, self.one, self.two, self.least
-        state = 0
-        for c in text:
-            state = nxt[state][c]
-            s = state
-            while s > 0 and length[s] >= least and not two[s]:
-                if one[s] is None:
-                    one[s] = owner
-                    two[s] = twice
-                elif one[s] != owner or twice:
-                    two[s] = True
-                else:
-                    break  # its suffixes have this owner too
-                s = link[s]
-
-    def shared(self, text: str, owner: int) -> list[tuple[int, int]]:
-        """Maximal [start, end) of ``text`` that another owner's text holds too."""
-        nxt, link, length, one, two, least = self.next, self.link, self.length, self.one, self.two, self.least
-        spans: list[list[int]] = []
-        state = 0
-        for end, c in enumerate(text, 1):
-            state = nxt[state][c]
-            s, best = state, min(length[state], end)
-            while best >= least and not two[s] and one[s] == owner:
-                s = link[s]
-                best = length[s]
-            if best >= least:
-                start = end - best
-                while spans and spans[-1][0] >= start:
-                    spans.pop()
-                if spans and start <= spans[-1][1]:
-                    spans[-1][1] = end
-                else:
-                    spans.append([start, end])
-        return [tuple(s) for s in spans]
-
-
-def shard_spans(texts: list[str], owners: list[int], twice: list[bool], least: int) -> list[list[tuple[int, int]]]:
-    """For each text of a shard the spans shared with another owner."""
-    auto = Automaton(least)
-    for t in texts:
-        auto.add(t)
-    for t, o, d in zip(texts, owners, twice, strict=True):
-        auto.own(t, o, d)
-    return [[(0, len(t))] if d else auto.shared(t, o) for t, o, d in zip(texts, owners, twice, strict=True)]
-
-
-def _by_automata(min_chars: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def packed(self) -> bytes:
+        """Plain arrays: most states have one way on; the others' ways stand in a list."""
+        n = len(self.length)
+        char, to = np.full(n, -1, dtype=np.int32), np.full(n, -1, dtype=np.int32)
+        forks = []
+        for s, ways in enumerate(self.next):
+            if len(ways) == 1:
+                char[s], to[s] = next(iter(ways.items()))
+            elif ways:
+                char[s] = -2
+                forks.extend((s, c, q) for c, q in ways.items())
+        arrays = (char, to, np.array(self.link, dtype=np.int32), np.array(self.length, dtype=np.int32), np.array(self.end, dtype=np.int32))
+        return zlib.compress(pickle.dumps((*arrays, np.array(forks, dtype=np.int32).reshape(-1, 3), np.array(self.pieces, dtype=np.int64))), 1)
+
+
+class Reader:
+    """A packed automaton through which documents are streamed."""
+
+    def __init__(self, blob: bytes):
+        char, to, link, length, end, forks, self.pieces = pickle.loads(zlib.decompress(blob))
+        self.char, self.to, self.link, self.length, self.end = char.data, to.data, link.data, length.data, end.data
+        self.forks = {(s << 21) | c: q for s, c, q in forks.tolist()}
+        self.begins = self.pieces[:, 0]
+
+    def matches(self, codes: list[int], least: int) -> list[tuple[int, int, int]]:
+        """(start, end, end here) of the maximal matches of at least ``least`` characters."""
+        char, to, link, length, end, forks = self.char, self.to, self.link, self.length, self.end, self.forks.get
         out = []
-        for fp, group in pdf.groupby("fp", sort=False):
-            texts = group["region"].tolist()
-            twice = (group["first_doc"] != group["last_doc"]).tolist()
-            found = shard_spans(texts, group["first_doc"].tolist(), twice, min_chars)
-            for key, spans in zip(group["region_key"], found, strict=True):
-                out.extend((fp, key, a, b) for a, b in spans)
-        return pd.DataFrame(out, columns=["fp", "region_key", "a", "b"])
-
-    return run
-
+        state = n = 0
+        start = here = -1  # of the open match
+        for at, c in enumerate(codes):
+            while True:
+                k = char[state]
+                q = to[state] if k == c else forks((state << 21) | c, -1) if k == -2 else -1
+                if q >= 0:
+                    state = q
+                    n += 1
+                    break
+                if state == 0:
+                    break
+                state = link[state]
+                n = length[state]
+            if n >= least:
+                if here + 1 != end[state] or at + 1 - n != start:
+                    if start >= 0:
+                        out.append((start, at, here))
+                    start = at + 1 - n
+                here = end[state]
+            elif start >= 0:
+                out.append((start, at, here))
+                start = here = -1
+        if start >= 0:
+            out.append((start, len(codes), here))
+        return out
+
+    def place(self, end: int) -> tuple[int, int]:
+        """The document, and the character after the last one there, of a match's end here."""
+        first, doc, start = self.pieces[np.searchsorted(self.begins, end, side="left") - 1]
+        return int(doc), int(start + end - first)
+
+
+def _build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One packed automaton for each block; its pieces come one after the other."""
+    key, auto = None, None
+
+    def done() -> pd.DataFrame:
+        blob = auto.packed()
+        return pd.DataFrame({"shard": [key[0]], "bytes": [20 * len(auto.length)], "blob": [blob]})
+
+    for pdf in batches:
+        for shard, block, doc_id, start, piece in zip(pdf["shard"], pdf["block"], pdf["doc_id"], pdf["start"], pdf["piece"], strict=True):
+            if auto is not None and ((shard, block) != key or auto.chars + len(piece) > 2 * SHARD_CHARS):
+                yield done()
+                auto = None
+            if auto is None:
+                key, auto = (shard, block), Automaton()
+            auto.add(piece, doc_id, start)
+    if auto is not None:
+        yield done()
+
+
+_READERS: dict[tuple, Reader] = {}
+
+
+def _stream(shared, mark: str, min_chars: int):
+    """Spans of each document and of the texts that the matched pieces came from."""
 
-def _regions(k: int, min_chars: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if any(m != mark for m, _ in _READERS):
+            _READERS.clear()
         for pdf in batches:
-            out = []
-            for doc_id, text, fps, poss in zip(pdf["doc_id"], pdf["text"], pdf["fps"], pdf["poss"], strict=True):
-                for fp, pos in zip(fps, poss, strict=True):
-                    start = max(0, pos - (min_chars - k))
-                    out.append((doc_id, fp, start, text[start : pos + min_chars]))
-            yield pd.DataFrame(out, columns=["doc_id", "fp", "start", "region"])
+            copies: dict[int, list[tuple[int, int]]] = {}
+            kept: dict[int, list[tuple[int, int]]] = {}
+            for doc_id, text, shards in zip(pdf["doc_id"], pdf["text"], pdf["shards"], strict=True):
+                codes = _codes(text).tolist()
+                for n, (shard, blob) in enumerate(shared.value):
+                    if shard not in shards:
+                        continue
+                    if (mark, n) not in _READERS:
+                        _READERS[mark, n] = Reader(blob)
+                    reader = _READERS[mark, n]
+                    for a, b, here in reader.matches(codes, min_chars):
+                        x, end = reader.place(here)
+                        if x != doc_id:
+                            copies.setdefault(doc_id, []).append((a, b))
+                            kept.setdefault(x, []).append((end - (b - a), end))
+                        elif end != b:  # the text has its own passage once more
+                            kept.setdefault(x, []).append((a, b))
+            rows = [(d, a, b, side) for spans, side in ((copies, True), (kept, False)) for d, every in spans.items() for a, b in _joined(every)]
+            yield pd.DataFrame(rows, columns=["doc_id", "a", "b", "copied"])
 
     return run
 
 
-def _windows(min_chars: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for fp, key, d1, d2, text in zip(pdf["fp"], pdf["region_key"], pdf["first_doc"], pdf["last_doc"], pdf["region"], strict=True):
-                codes = _codes(text)
-                h1, h2 = gram_hashes(codes, min_chars, 1), gram_hashes(codes, min_chars, 2)
-                yield pd.DataFrame({"fp": fp, "region_key": key, "first_doc": d1, "last_doc": d2, "a": np.arange(len(h1), dtype=np.int32), "h1": h1.view(np.int64), "h2": h2.view(np.int64)})
-
-    return run
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that touch or overlap made one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [tuple(s) for s in out]
 
 
 def _total(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -275,38 +346,64 @@ def _one_text_each(documents: DataFrame, min_chars: int) -> DataFrame:
     return long.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last_doc"))
 
 
+def _passes(sizes: list[int]) -> list[tuple[int, int]]:
+    """[first, last] of automata that fit together into PASS_BYTES."""
+    out: list[tuple[int, int]] = []
+    total = 0
+    for n, size in enumerate(sizes):
+        if out and total + size <= PASS_BYTES:
+            out[-1] = (out[-1][0], n)
+            total += size
+        else:
+            out.append((n, n))
+            total = size
+    return out
+
+
 def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, a, b): pieces [a, b) of documents without an equal twin that other documents hold.
+    """(doc_id, a, b, copied): pieces [a, b) of one document of each distinct text that other texts hold.
 
-    The pieces of one document may touch or overlap.
+    ``copied`` tells the spans of which another document keeps the reference copy.
+    The spans of one document may touch or overlap.
     """
+    spark = documents.sparkSession
     k = min(anchor, min_chars)
     groups = _one_text_each(documents, min_chars)
-    texts = documents.select("doc_id", "text").join(groups.select("doc_id", "last_doc"), "doc_id").dropDuplicates(["doc_id"])
-    texts = settle(texts)
-    anchors = settle(texts.select("doc_id", "text").mapInPandas(_anchors(k, min_chars), "doc_id bigint, fp bigint, pos int"))
-    common = anchors.groupBy("fp").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("fp")
-    mine = anchors.join(common, "fp").groupBy("doc_id").agg(F.collect_list("fp").alias("fps"), F.collect_list("pos").alias("poss"))
-    cut = texts.join(mine, "doc_id")
-    regions = cut.select("doc_id", "text", "fps", "poss").mapInPandas(_regions(k, min_chars), "doc_id bigint, fp bigint, start int, region string")
-    regions = settle(regions.withColumn("region_key", F.md5("region")))
-    distinct = regions.groupBy("fp", "region_key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("region").alias("region"))
-    # an anchor with one text in one document only repeats inside it
-    sizes = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("n_texts"), F.max(F.col("first_doc") != F.col("last_doc")).alias("some"), F.sum(F.length("region")).alias("chars"))
-    distinct = settle(distinct.join(sizes, "fp").where("n_texts > 1 or some"))
-    same = distinct.where("n_texts = 1").select("fp", "region_key", F.lit(0).alias("a"), F.length("region").alias("b"))
-    few = distinct.where(f"n_texts > 1 and n_texts <= {SHARD_TEXTS}")
-    n_shards = max(1, int((few.agg(F.sum(F.length("region"))).first()[0] or 0) // 200_000))
-    columns = ["fp", "region_key", "first_doc", "last_doc", "region"]
-    by_automata = few.select(*columns).groupBy(F.pmod("fp", F.lit(n_shards))).applyInPandas(_by_automata(min_chars), "fp bigint, region_key string, a int, b int")
-    # the exact way for boilerplate: which passage hashes do two documents have
-    many = distinct.where(f"n_texts > {SHARD_TEXTS}").select(*columns)
-    windows = many.mapInPandas(_windows(min_chars), "fp bigint, region_key string, first_doc bigint, last_doc bigint, a int, h1 bigint, h2 bigint")
-    both = windows.groupBy("h1", "h2").agg(F.min("first_doc").alias("x"), F.max("last_doc").alias("y")).where("x <> y").select("h1", "h2")
-    by_hash = windows.join(both, ["h1", "h2"]).select("fp", "region_key", "a", (F.col("a") + min_chars).alias("b"))
-    pieces = same.unionByName(by_automata).unionByName(by_hash)
-    placed = regions.select("doc_id", "fp", "region_key", "start").join(pieces, ["fp", "region_key"])
-    return placed.select("doc_id", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).distinct()
+    texts = settle(documents.select("doc_id", "text").join(groups.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]))
+    prints = settle(texts.mapInPandas(_fingerprints(k, min_chars), "doc_id bigint, fp bigint"))
+    common = prints.groupBy("fp").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("fp")
+    mine = prints.join(common, "fp").groupBy("doc_id").agg(F.collect_list("fp").alias("fps"))
+    candidates = settle(texts.join(mine, "doc_id"))
+    passages = candidates.mapInPandas(_passages(k, min_chars), "doc_id bigint, a int, fp bigint, h1 bigint, h2 bigint")
+    once = passages.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("y"), F.min_by("a", "doc_id").alias("a"), F.min("fp").alias("fp"))
+    reference = settle(once.where("doc_id <> y").select("doc_id", "a", "fp"))
+    n_shards = 1 + reference.count() * 2 // SHARD_CHARS
+    shard = lambda fp: F.pmod(F.xxhash64(fp), F.lit(n_shards)).cast("int")
+    by_text = reference.groupBy("doc_id").agg(F.collect_list(F.struct("a", shard("fp").alias("shard"))).alias("p"))
+    by_text = by_text.select("doc_id", F.col("p.a").alias("starts"), F.col("p.shard").alias("shards"))
+    pieces = candidates.select("doc_id", "text").join(by_text, "doc_id").mapInPandas(_pieces(min_chars), "shard int, doc_id bigint, start int, piece string")
+    pieces = settle(pieces)
+    # a shard that one gram fills beyond the limit is spread over blocks
+    blocks = pieces.groupBy("shard").agg(F.ceil(F.sum(F.length("piece")) / F.lit(SHARD_CHARS)).alias("blocks"))
+    placed = pieces.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.col("blocks")))
+    built = placed.repartition("shard", "block").sortWithinPartitions("shard", "block").mapInPandas(_build, "shard int, bytes bigint, blob binary")
+    built = settle(built)
+    wanted = settle(reference.select("fp").distinct())
+    routes = candidates.select("doc_id", F.explode("fps").alias("fp")).join(wanted, "fp").groupBy("doc_id").agg(F.collect_set(shard("fp")).alias("shards"))
+    routed = settle(candidates.select("doc_id", "text").join(routes, "doc_id"))
+    order = [F.col("shard"), F.xxhash64("blob")]
+    sizes = built.select("shard", F.xxhash64("blob").alias("mark"), "bytes").orderBy("shard", "mark").collect()  # three numbers an automaton
+    where = scratch_path(spark, "spans")
+    spans_schema = "doc_id bigint, a int, b int, copied boolean"
+    spark.createDataFrame([], spans_schema).write.parquet(f"{where}/pass=-1")
+    for n, (first, last) in enumerate(_passes([r["bytes"] for r in sizes])):
+        part = sizes[first : last + 1]
+        chosen = built.where(order[0].between(part[0].shard, part[-1].shard) & order[1].isin(*[r.mark for r in part])).collect()
+        shared = spark.sparkContext.broadcast([(r.shard, bytes(r.blob)) for r in chosen])
+        shards = F.array(*[F.lit(s) for s in sorted({r.shard for r in chosen})])
+        routed.where(F.arrays_overlap("shards", shards)).mapInPandas(_stream(shared, f"{where}/{n}", min_chars), spans_schema).write.parquet(f"{where}/pass={n}")
+        shared.destroy()
+    return spark.read.schema(spans_schema).parquet(*[f"{where}/pass={n}" for n in range(-1, len(_passes([r["bytes"] for r in sizes])))])
 
 
 def shared_characters(documents: DataFrame, min_chars: int = MIN_CHARS, anchor: int = ANCHOR) -> DataFrame:
@@ -315,9 +412,9 @@ def shared_characters(documents: DataFrame, min_chars: int = MIN_CHARS, anchor:
     Texts are compared code point by code point.  Null texts and texts shorter than
     ``min_chars`` share nothing, repeats inside one document alone do not count, and
     a row repeated under one doc_id is the same document.  Documents with equal
-    texts share all of it.  The result is exact at every size.
+    texts share all of it.  There is one way for all sizes.
     """
-    spans = shared_spans(documents, min_chars, anchor)
+    spans = shared_spans(documents, min_chars, anchor).select("doc_id", "a", "b").distinct()
     total = F.pandas_udf(_total, "bigint")
     parts = spans.groupBy("doc_id").agg(F.collect_list("a").alias("as"), F.collect_list("b").alias("bs")).select("doc_id", total("as", "bs").alias("shared_chars"))
     groups = _one_text_each(documents, min_chars)
@@ -326,22 +423,31 @@ def shared_characters(documents: DataFrame, min_chars: int = MIN_CHARS, anchor:
     return twins.unionByName(parts.join(twins.select("doc_id"), "doc_id", "left_anti"))
 
 
-def without_shared(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, text) with shared passages removed, except from one document of equal texts."""
-    spans = shared_spans(documents, min_chars).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
-
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for text, parts in zip(texts, spans, strict=True):
-            if text is None or parts is None:
-                out.append(text)
-                continue
-            kept, at = [], 0
-            for p in parts:
-                if p["a"] > at:
-                    kept.append(text[at : p["a"]])
-                at = max(at, p["b"])
-            out.append("".join([*kept, text[at:]]))
-        return pd.Series(out, dtype=object)
-
-    return documents.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", F.pandas_udf(cut, "string")("text", "spans").alias("text"))
+def _without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    out = []
+    for text, parts in zip(texts, spans, strict=True):
+        if text is None or parts is None:
+            out.append(text)
+            continue
+        kept, at = [], 0
+        for p in parts:
+            if p["a"] > at:
+                kept.append(text[at : p["a"]])
+            at = max(at, p["b"])
+        out.append("".join([*kept, text[at:]]))
+    return pd.Series(out, dtype=object)
+
+
+def without_shared(documents: DataFrame, min_chars: int = MIN_CHARS, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, text): every shared passage is left in one document and removed from the others.
+
+    It stays in the text of least doc_id that holds it; a document of at least
+    ``min_chars`` whose text equals that of a smaller doc_id comes out empty.  Null
+    and short texts stay as they are; a row comes out for each row.
+    """
+    cut = shared_spans(documents, min_chars, anchor).where("copied").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    groups = _one_text_each(documents, min_chars)
+    keyed = documents.select("doc_id", "text", F.when(F.length("text") >= min_chars, F.sha2("text", 256)).alias("text_key"))
+    firsts = keyed.join(groups.select("text_key", F.col("doc_id").alias("first_doc")), "text_key", "left").join(cut, "doc_id", "left")
+    whole = F.pandas_udf(_without, "string")("text", "spans")
+    return firsts.select("doc_id", F.when(F.col("first_doc") < F.col("doc_id"), F.lit("")).otherwise(whole).alias("text"))
