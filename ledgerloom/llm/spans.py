@@ -32,11 +32,11 @@ from ..workspace import scratch_path, settle
 MIN_CHARS = 200
 ANCHOR = 64
 #: Characters of one automaton; a shard with more is a list of automata.
-SHARD_CHARS = 150_000
+SHARD_CHARS = 100_000
 #: Packed automata that are broadcast at a time.
-PASS_BYTES = 48_000_000
+PASS_BYTES = 32_000_000
 #: Characters whose hashes are computed at once.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -96,8 +96,8 @@ def _chunks(pdf: pd.DataFrame, *columns: str) -> Iterator[list[tuple]]:
         yield rows
 
 
-def _windows(texts: list[str], k: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every passage of ``min_chars``: text, position in it and least hash of its k-grams; and all code points."""
+def _windows(texts: list[str], k: int, min_chars: int) -> tuple[np.ndarray, ...]:
+    """For every passage of ``min_chars``: text, position in it and in all, least hash of its k-grams; and all code points."""
     codes = [_codes(t) for t in texts]
     lengths = np.array([len(c) for c in codes])
     joined = np.concatenate(codes)
@@ -106,14 +106,14 @@ def _windows(texts: list[str], k: int, min_chars: int) -> tuple[np.ndarray, np.n
     doc = np.repeat(np.arange(len(texts)), lengths)[: len(least)]
     at = np.arange(len(least)) - starts[doc]
     inside = at <= lengths[doc] - min_chars  # a passage does not run into the next text
-    return doc[inside], at[inside], least[inside].view(np.int64), joined
+    return doc[inside], at[inside], np.flatnonzero(inside), least[inside].view(np.int64), joined
 
 
 def _fingerprints(k: int, min_chars: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for rows in _chunks(pdf):
-                doc, _, fp, _ = _windows([t for _, t in rows], k, min_chars)
+                doc, _, _, fp, _ = _windows([t for _, t in rows], k, min_chars)
                 new = np.ones(len(fp), dtype=bool)
                 new[1:] = (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1])
                 ids = np.array([d for d, _ in rows], dtype=np.int64)
@@ -128,27 +128,25 @@ def _passages(k: int, min_chars: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for rows in _chunks(pdf, "fps"):
-                for doc_id, text, fps in rows:
-                    _, at, fp, codes = _windows([text], k, min_chars)
-                    known = np.isin(fp, np.asarray(fps))
-                    h1, h2 = (gram_hashes(codes, min_chars, seed).view(np.int64) for seed in (1, 2))
-                    yield pd.DataFrame({"doc_id": np.int64(doc_id), "a": at[known].astype(np.int32), "fp": fp[known], "h1": h1[known], "h2": h2[known]})
+                doc, at, where, fp, codes = _windows([r[1] for r in rows], k, min_chars)
+                known = np.isin(fp, np.concatenate([r[2] for r in rows]))
+                ids, place = np.array([r[0] for r in rows], dtype=np.int64), where[known]
+                h1, h2 = (gram_hashes(codes, min_chars, seed).view(np.int64)[place] for seed in (1, 2))
+                yield pd.DataFrame({"doc_id": ids[doc[known]], "a": at[known].astype(np.int32), "fp": fp[known], "h1": h1, "h2": h2})
 
     return run
 
 
 def _pieces(min_chars: int):
-    """Runs of passages that follow each other in one shard, with their text."""
+    """Runs of passages that follow each other, with their text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for doc_id, text, starts, shards in zip(pdf["doc_id"], pdf["text"], pdf["starts"], pdf["shards"], strict=True):
-                order = np.argsort(starts, kind="stable")
-                at, shard = np.asarray(starts)[order], np.asarray(shards)[order]
-                cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(shard) != 0)) + 1
-                for run_at, run_shard in zip(np.split(at, cuts), np.split(shard, cuts), strict=True):
-                    out.append((int(run_shard[0]), doc_id, int(run_at[0]), text[run_at[0] : run_at[-1] + min_chars]))
+            for doc_id, text, shard, starts in zip(pdf["doc_id"], pdf["text"], pdf["shard"], pdf["starts"], strict=True):
+                at = np.sort(starts)
+                for run_at in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):
+                    out.append((shard, doc_id, int(run_at[0]), text[run_at[0] : run_at[-1] + min_chars]))
             yield pd.DataFrame(out, columns=["shard", "doc_id", "start", "piece"])
 
     return run
@@ -378,18 +376,17 @@ def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, anchor: int =
     once = passages.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("y"), F.min_by("a", "doc_id").alias("a"), F.min("fp").alias("fp"))
     reference = settle(once.where("doc_id <> y").select("doc_id", "a", "fp"))
     n_shards = 1 + reference.count() * 2 // SHARD_CHARS
-    shard = lambda fp: F.pmod(F.xxhash64(fp), F.lit(n_shards)).cast("int")
-    by_text = reference.groupBy("doc_id").agg(F.collect_list(F.struct("a", shard("fp").alias("shard"))).alias("p"))
-    by_text = by_text.select("doc_id", F.col("p.a").alias("starts"), F.col("p.shard").alias("shards"))
+    shard = F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int")
+    by_text = reference.groupBy("doc_id").agg(F.collect_list("a").alias("starts")).withColumn("shard", shard)
     pieces = candidates.select("doc_id", "text").join(by_text, "doc_id").mapInPandas(_pieces(min_chars), "shard int, doc_id bigint, start int, piece string")
     pieces = settle(pieces)
-    # a shard that one gram fills beyond the limit is spread over blocks
+    # a shard that long texts fill beyond the limit is spread over blocks
     blocks = pieces.groupBy("shard").agg(F.ceil(F.sum(F.length("piece")) / F.lit(SHARD_CHARS)).alias("blocks"))
     placed = pieces.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.col("blocks")))
     built = placed.repartition("shard", "block").sortWithinPartitions("shard", "block").mapInPandas(_build, "shard int, bytes bigint, blob binary")
     built = settle(built)
-    wanted = settle(reference.select("fp").distinct())
-    routes = candidates.select("doc_id", F.explode("fps").alias("fp")).join(wanted, "fp").groupBy("doc_id").agg(F.collect_set(shard("fp")).alias("shards"))
+    wanted = reference.select("fp", shard.alias("shard")).distinct()
+    routes = candidates.select("doc_id", F.explode("fps").alias("fp")).join(wanted, "fp").groupBy("doc_id").agg(F.collect_set("shard").alias("shards"))
     routed = settle(candidates.select("doc_id", "text").join(routes, "doc_id"))
     order = [F.col("shard"), F.xxhash64("blob")]
     sizes = built.select("shard", F.xxhash64("blob").alias("mark"), "bytes").orderBy("shard", "mark").collect()  # three numbers an automaton
