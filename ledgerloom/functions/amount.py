@@ -29,11 +29,11 @@ def amount_bucket(amount: Column, cfg: MatchConfig) -> Column:
     return F.floor(F.abs(amount) / cfg.bucket_minor) * F.signum(amount).cast("bigint")
 
 
-def bucket_matches(txn: Column, receipt: Column, rel: Column, cfg: MatchConfig) -> Column:
+def bucket_matches(txn: Column, slip: Column, rel: Column, cfg: MatchConfig) -> Column:
     """Buckets may differ by a span that the transaction's amount allows."""
     fixed = cfg.loose_abs // cfg.bucket_minor + 1
     moving = F.floor(F.abs(txn * rel / cfg.bucket_minor)).cast("bigint") * F.signum(txn).cast("bigint") + 1
-    return F.abs(amount_bucket(txn, cfg) - amount_bucket(receipt, cfg)) <= F.greatest(F.lit(fixed), moving)
+    return F.abs(amount_bucket(txn, cfg) - amount_bucket(slip, cfg)) <= F.greatest(F.lit(fixed), moving)
 
 
 def log_bucket(amount: Column, cfg: MatchConfig) -> Column:
@@ -52,23 +52,23 @@ def _decay(diff: Column, abs_tol: float, rel: float, larger: Column, depth: floa
     return F.when(most == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - diff / most * depth))
 
 
-def amount_similarity(txn: Column, receipt: Column, txn_currency: Column, receipt_currency: Column, cfg: MatchConfig) -> Column:
+def amount_similarity(txn: Column, slip: Column, txn_currency: Column, slip_currency: Column, cfg: MatchConfig) -> Column:
     """Ordered bands: equal, tip, partial capture, rounding, cashback, plain tolerance."""
     b = cfg.bands
-    diff, larger = F.abs(txn - receipt), F.greatest(txn, receipt)
+    diff, larger = F.abs(txn - slip), F.greatest(txn, slip)
     ratio = _ratio(diff, larger)
-    tip = (receipt <= txn) & ((diff <= b.tip_abs) | (ratio <= b.tip_rel))
+    tip = (slip <= txn) & ((diff <= b.tip_abs) | (ratio <= b.tip_rel))
     most_partial = F.greatest(F.lit(b.partial_abs), (F.lit(b.partial_rel) * larger).cast("bigint"))
-    partial = (txn >= receipt) & (diff <= most_partial)
+    partial = (txn >= slip) & (diff <= most_partial)
     partial_score = F.greatest(F.lit(0.0), 1 - diff / F.greatest(most_partial.cast("double"), F.lit(b.partial_rel) * larger) * 0.2)
     return (
-        F.when(txn_currency != receipt_currency, 0.0)
-        .when(txn == receipt, 1.0)
+        F.when(txn_currency != slip_currency, 0.0)
+        .when(txn == slip, 1.0)
         .when(larger == 0, 1.0)
         .when(tip, _decay(diff, b.tip_abs, b.tip_rel, larger, 0.2))
         .when(partial, partial_score)
         .when(diff <= b.fx_rounding, 0.95)
-        .when((receipt > txn) & (diff <= b.cashback_abs), _decay(diff, b.cashback_abs, 0.05, larger, 0.2))
+        .when((slip > txn) & (diff <= b.cashback_abs), _decay(diff, b.cashback_abs, 0.05, larger, 0.2))
         .when((diff <= cfg.abs_tolerance) | (ratio <= cfg.rel_tolerance), _decay(diff, cfg.abs_tolerance, cfg.rel_tolerance, larger, 0.25))
         .otherwise(0.0)
     )

@@ -1,4 +1,4 @@
-"""How complete an extracted receipt is."""
+"""How complete an extracted slip is."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Time between a transaction and its receipt."""
+"""Time between a transaction and its slip."""
 
 from __future__ import annotations
 
@@ -8,23 +8,23 @@ from pyspark.sql import functions as F
 from ..config import MatchConfig
 
 
-def gap_micros(txn_at: Column, receipt_at: Column) -> Column:
-    return F.unix_micros(receipt_at) - F.unix_micros(txn_at)
+def gap_micros(txn_at: Column, slip_at: Column) -> Column:
+    return F.unix_micros(slip_at) - F.unix_micros(txn_at)
 
 
-def within_window(txn_at: Column, receipt_at: Column, cfg: MatchConfig) -> Column:
-    """A receipt may come up to the lead before and up to the lag after; both bounds count."""
-    return gap_micros(txn_at, receipt_at).between(-cfg.max_lead_us, cfg.max_lag_us)
+def within_window(txn_at: Column, slip_at: Column, cfg: MatchConfig) -> Column:
+    """A slip may come up to the lead before and up to the lag after; both bounds count."""
+    return gap_micros(txn_at, slip_at).between(-cfg.max_lead_us, cfg.max_lag_us)
 
 
-def temporal_similarity(txn_at: Column, receipt_at: Column, cfg: MatchConfig) -> Column:
-    gap = gap_micros(txn_at, receipt_at)
+def temporal_similarity(txn_at: Column, slip_at: Column, cfg: MatchConfig) -> Column:
+    gap = gap_micros(txn_at, slip_at)
     window = F.when(gap < 0, cfg.max_lead_us).otherwise(cfg.max_lag_us)
     return F.when(F.abs(gap) > window, 0.0).otherwise(1 - F.abs(gap) / window * cfg.temporal_decay)
 
 
-def delta_seconds(txn_at: Column, receipt_at: Column) -> Column:
-    return F.abs(gap_micros(txn_at, receipt_at)) / 1e6
+def delta_seconds(txn_at: Column, slip_at: Column) -> Column:
+    return F.abs(gap_micros(txn_at, slip_at)) / 1e6
 
 
 def local_date(at: Column, offset_sec: Column) -> Column:

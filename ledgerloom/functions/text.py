@@ -57,7 +57,7 @@ def table_total(html: Column) -> Column:
     return F.try_element_at(amounts, F.lit(-1))
 
 
-def receipt_total(body: Column) -> Column:
+def body_total(body: Column) -> Column:
     """Total including VAT, inline, table, paid, GBP, refund; the last three end the search once they match."""
     paid, gbp, refund = (capture(body, p) for p in (TOTAL_PAID, TOTAL_GBP, REFUND))
     late = F.when(paid.isNotNull(), matched_minor(paid)).when(gbp.isNotNull(), matched_minor(gbp)).when(refund.isNotNull(), matched_minor(refund))
@@ -66,7 +66,7 @@ def receipt_total(body: Column) -> Column:
 
 def first_total(text: Column, html_visible: Column) -> Column:
     """From the text part, else from the visible HTML."""
-    return F.coalesce(F.when(text != "", receipt_total(text)), F.when(html_visible != "", receipt_total(html_visible)))
+    return F.coalesce(F.when(text != "", body_total(text)), F.when(html_visible != "", body_total(html_visible)))
 
 
 def order_ref(text: Column) -> Column:

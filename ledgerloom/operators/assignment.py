@@ -11,14 +11,14 @@ from ..config import MatchConfig
 from ..workspace import settle
 
 TXN_REASON = "ambiguous transaction candidates within margin"
-RECEIPT_REASON = "ambiguous receipt candidates within margin"
+SLIP_REASON = "ambiguous receipt candidates within margin"
 #: Written tables of chosen edges that are gathered into one.
 GATHER = 16
 
 
 def rank_order() -> list[Column]:
     """Total order of candidates: confidence, then ids."""
-    return [F.col("confidence").desc(), F.col("transaction_id").asc(), F.col("receipt_id").asc()]
+    return [F.col("confidence").desc(), F.col("transaction_id").asc(), F.col("slip_id").asc()]
 
 
 def distinguishable(cfg: MatchConfig, a: str, b: str) -> Column:
@@ -40,15 +40,15 @@ def ambiguous_keys(scored: DataFrame, key: str, cfg: MatchConfig) -> DataFrame:
     return pair.where("b is not null").where((F.col("a.confidence") - F.col("b.confidence") <= cfg.ambiguity_margin) & ~distinguishable(cfg, "a", "b")).select("scope", key)
 
 
-def widened_receipts(scored: DataFrame, txns: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Ambiguous receipts and all receipts of ambiguous transactions with two or more."""
-    tied = scored.join(txns, ["scope", "transaction_id"]).select("scope", "transaction_id", "receipt_id").distinct()
+def widened_slips(scored: DataFrame, txns: DataFrame, slips: DataFrame) -> DataFrame:
+    """Ambiguous slips and all slips of ambiguous transactions with two or more."""
+    tied = scored.join(txns, ["scope", "transaction_id"]).select("scope", "transaction_id", "slip_id").distinct()
     crowded = tied.groupBy("scope", "transaction_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("scope", "transaction_id")
-    more = tied.join(crowded, ["scope", "transaction_id"]).select("scope", "receipt_id")
-    return receipts.unionByName(more).distinct()
+    more = tied.join(crowded, ["scope", "transaction_id"]).select("scope", "slip_id")
+    return slips.unionByName(more).distinct()
 
 
-def conflict_rows(scored: DataFrame, txns: DataFrame, receipts: DataFrame) -> DataFrame:
+def conflict_rows(scored: DataFrame, txns: DataFrame, slips: DataFrame) -> DataFrame:
     """(scope, side, id, competing, top_confidence, reason); competing lists all scored candidates."""
 
     def side(name: str, ids: DataFrame, key: str, other: str, reason: str) -> DataFrame:
@@ -57,7 +57,7 @@ def conflict_rows(scored: DataFrame, txns: DataFrame, receipts: DataFrame) -> Da
         rows = mine.groupBy("scope", key).agg(rivals.alias("competing"), F.max("confidence").alias("top_confidence"))
         return rows.select("scope", F.lit(name).alias("side"), F.col(key).alias("id"), "competing", "top_confidence", F.lit(reason).alias("reason"))
 
-    return side("transaction", txns, "transaction_id", "receipt_id", TXN_REASON).unionByName(side("receipt", receipts, "receipt_id", "transaction_id", RECEIPT_REASON))
+    return side("transaction", txns, "transaction_id", "slip_id", TXN_REASON).unionByName(side("slip", slips, "slip_id", "transaction_id", SLIP_REASON))
 
 
 def greedy_one_to_one(candidates: DataFrame) -> DataFrame:
@@ -76,15 +76,15 @@ def greedy_one_to_one(candidates: DataFrame) -> DataFrame:
     rounds = 0
     while True:
         best_t = left.withColumn("__n", F.row_number().over(Window.partitionBy("scope", "transaction_id").orderBy(*rank_order()))).where("__n = 1").drop("__n")
-        best_r = left.select("scope", "transaction_id", "receipt_id", "confidence").withColumn("__n", F.row_number().over(Window.partitionBy("scope", "receipt_id").orderBy(*rank_order()))).where("__n = 1").select("scope", "transaction_id", "receipt_id")
-        chosen = settle(best_t.join(best_r, ["scope", "transaction_id", "receipt_id"]))
+        best_r = left.select("scope", "transaction_id", "slip_id", "confidence").withColumn("__n", F.row_number().over(Window.partitionBy("scope", "slip_id").orderBy(*rank_order()))).where("__n = 1").select("scope", "transaction_id", "slip_id")
+        chosen = settle(best_t.join(best_r, ["scope", "transaction_id", "slip_id"]))
         if chosen.isEmpty():
             break
         taken = chosen if taken is None else taken.unionByName(chosen)
         rounds += 1
         if rounds % GATHER == 0:
             taken = settle(taken)
-        left = settle(left.join(chosen.select("scope", "transaction_id"), ["scope", "transaction_id"], "left_anti").join(chosen.select("scope", "receipt_id"), ["scope", "receipt_id"], "left_anti"), instead_of=left)
+        left = settle(left.join(chosen.select("scope", "transaction_id"), ["scope", "transaction_id"], "left_anti").join(chosen.select("scope", "slip_id"), ["scope", "slip_id"], "left_anti"), instead_of=left)
     return taken if taken is not None else spark.createDataFrame([], candidates.schema)
 
 
@@ -103,6 +103,6 @@ def resolve(scored: DataFrame, cfg: MatchConfig) -> tuple[DataFrame, DataFrame]:
     """Matches and conflicts of scored candidates; conflicts are set aside before assignment."""
     scored = settle(scored)
     txns = settle(ambiguous_keys(scored, "transaction_id", cfg))
-    receipts = settle(widened_receipts(scored, txns, ambiguous_keys(scored, "receipt_id", cfg)))
-    free = scored.where(F.col("confidence") >= cfg.min_confidence).join(txns, ["scope", "transaction_id"], "left_anti").join(receipts, ["scope", "receipt_id"], "left_anti")
-    return greedy_one_to_one(free), conflict_rows(scored, txns, receipts)
+    slips = settle(widened_slips(scored, txns, ambiguous_keys(scored, "slip_id", cfg)))
+    free = scored.where(F.col("confidence") >= cfg.min_confidence).join(txns, ["scope", "transaction_id"], "left_anti").join(slips, ["scope", "slip_id"], "left_anti")
+    return greedy_one_to_one(free), conflict_rows(scored, txns, slips)

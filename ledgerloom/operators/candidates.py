@@ -1,9 +1,9 @@
-"""Candidate pairs of transactions and receipts.
+"""Candidate pairs of transactions and slips.
 
-Receipts that name their transaction outright are paired first.  For the others a
+Slips that name their transaction outright are paired first.  For the others a
 range condition on time and a band condition on amounts are turned into one
 equi-join: a transaction is copied to the days and the amount steps that its
-windows touch, a receipt stays in one of each, so no pair arises twice and the
+windows touch, a slip stays in one of each, so no pair arises twice and the
 exact conditions are left as residuals of a hash-partitioned join.
 """
 
@@ -26,18 +26,18 @@ def one_row_each(rows: DataFrame, key: str, order: str = "ordinal") -> DataFrame
     return rows.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
 
 
-def exact_references(txns: DataFrame, receipts: DataFrame) -> DataFrame:
-    """(transaction_id, receipt_id) of till receipts that name a transaction.
+def exact_references(txns: DataFrame, slips: DataFrame) -> DataFrame:
+    """(transaction_id, slip_id) of till slips that name a transaction.
 
     The reference may be a transaction's external reference or its id; of several
-    transactions the one that came first in the input is taken.  Two receipts may
+    transactions the one that came first in the input is taken.  Two slips may
     name one transaction.
     """
-    named = receipts.where("source = 'pos' and transaction_ref <> ''").select("scope", "receipt_id", "transaction_ref", F.col("ordinal").alias("r_ordinal"))
+    named = slips.where("source = 'pos' and transaction_ref <> ''").select("scope", "slip_id", "transaction_ref", F.col("ordinal").alias("r_ordinal"))
     by_ref = txns.where("external_ref <> ''").select("scope", F.col("external_ref").alias("transaction_ref"), "transaction_id", "ordinal")
     by_id = txns.select("scope", F.col("transaction_id").alias("transaction_ref"), "transaction_id", "ordinal")
     hits = named.join(by_ref, ["scope", "transaction_ref"]).unionByName(named.join(by_id, ["scope", "transaction_ref"]))
-    return hits.groupBy("scope", "receipt_id").agg(F.min_by("transaction_id", "ordinal").alias("transaction_id"), F.min("r_ordinal").alias("r_ordinal"))
+    return hits.groupBy("scope", "slip_id").agg(F.min_by("transaction_id", "ordinal").alias("transaction_id"), F.min("r_ordinal").alias("r_ordinal"))
 
 
 def leave_out(rows: DataFrame, taken: DataFrame, key: str) -> DataFrame:
@@ -49,10 +49,10 @@ def _day(at: Column) -> Column:
     return F.floor(F.unix_micros(at) / DAY_US)
 
 
-def candidate_pairs(txns: DataFrame, receipts: DataFrame, cfg: MatchConfig) -> DataFrame:
+def candidate_pairs(txns: DataFrame, slips: DataFrame, cfg: MatchConfig) -> DataFrame:
     """Pairs of equal scope and currency within the time window, tolerance and bucket span."""
     t = txns.select("scope", "currency", "transaction_id", "merchant", "mcc", "amount_minor", "occurred_at").where("occurred_at is not null and amount_minor is not null")
-    r = receipts.select("scope", "currency", "receipt_id", F.col("source").alias("receipt_source"), "supplier", "raw_merchant_hint", "total_minor", "issued_at").where("issued_at is not null and total_minor is not null")
+    r = slips.select("scope", "currency", "slip_id", F.col("source").alias("slip_source"), "supplier", "raw_merchant_hint", "total_minor", "issued_at").where("issued_at is not null and total_minor is not null")
     at = F.unix_micros("occurred_at")
     days = F.sequence(F.floor((at - cfg.max_lead_us) / DAY_US), F.floor((at + cfg.max_lag_us) / DAY_US))
     step = A.log_bucket(F.col("amount_minor"), cfg)
@@ -69,19 +69,19 @@ def candidate_pairs(txns: DataFrame, receipts: DataFrame, cfg: MatchConfig) -> D
     ).drop("day", "step")
 
 
-def scored_candidates(txns: DataFrame, receipts: DataFrame, cfg: MatchConfig, resolver=M.default_resolver) -> DataFrame:
+def scored_candidates(txns: DataFrame, slips: DataFrame, cfg: MatchConfig, resolver=M.default_resolver) -> DataFrame:
     """Candidates above the merchant floor with their signals and confidence."""
-    pairs = M.with_merchant_score(candidate_pairs(txns, receipts, cfg), resolver, "merchant_signal")
+    pairs = M.with_merchant_score(candidate_pairs(txns, slips, cfg), resolver, "merchant_signal")
     if cfg.min_merchant > 0:
         pairs = pairs.where(F.col("merchant_signal") >= cfg.min_merchant)
     amount = A.amount_similarity(F.col("amount_minor"), F.col("total_minor"), F.col("currency"), F.col("currency"), cfg)
     signals = pairs.select(
-        "scope", "transaction_id", "receipt_id", "receipt_source", amount.alias("amount_signal"),
+        "scope", "transaction_id", "slip_id", "slip_source", amount.alias("amount_signal"),
         T.temporal_similarity(F.col("occurred_at"), F.col("issued_at"), cfg).alias("temporal_signal"),
         T.delta_seconds(F.col("occurred_at"), F.col("issued_at")).alias("delta_sec"), "merchant_signal",
         M.mcc_corroboration(F.col("mcc"), F.col("supplier"), F.col("raw_merchant_hint")).alias("mcc_signal"),
     )
-    return signals.withColumn("confidence", confidence(cfg)).where("confidence > 0").drop("receipt_source")
+    return signals.withColumn("confidence", confidence(cfg)).where("confidence > 0").drop("slip_source")
 
 
 def confidence(cfg: MatchConfig) -> Column:
@@ -93,7 +93,7 @@ def confidence(cfg: MatchConfig) -> Column:
     boost = F.lit(1.0)
     for source, factor in cfg.source_boost:
         if factor > 0 and factor != 1:
-            boost = F.when(F.col("receipt_source") == source, factor).otherwise(boost)
+            boost = F.when(F.col("slip_source") == source, factor).otherwise(boost)
     return F.least(F.lit(1.0), total * boost)
 
 

@@ -121,7 +121,7 @@ def _shop(supplier: str, pattern: str, groups: int = 1, subject: str | None = No
 def _fuel() -> Column:
     s = _sender()
     supplier = F.when(F.contains(s, F.lit("bp.com")), "BP").when(F.contains(s, F.lit("shell.com")), "Shell").when(F.contains(s, F.lit("esso.com")), "Esso").otherwise("Fuel")
-    found = text.receipt_total(_body())
+    found = text.body_total(_body())
     total = F.coalesce(found, F.lit(0)).cast("bigint")
     net = fuel_net(total)
     items = F.array(F.struct(F.lit("Fuel").alias("description"), net.alias("net_minor"), (total - net).alias("vat_minor"))).cast(text.LINE_TYPE)
@@ -132,7 +132,7 @@ def _utility() -> Column:
     s = _sender()
     supplier = F.when(F.contains(s, F.lit("edf")), "EDF").when(F.contains(s, F.lit("octopus")), "Octopus Energy").when(F.contains(s, F.lit("britishgas")), "British Gas").otherwise("Utility")
     body = _body()
-    schema, plain = documents.json_ld_total(body), text.receipt_total(body)
+    schema, plain = documents.json_ld_total(body), text.body_total(body)
     ref = text.capture(body, ACCOUNT_REF)
     items = text.line_items(_seen(), with_vat=True)
     how = F.when(schema.isNotNull(), "schema_org").when(plain.isNotNull(), "html")
@@ -188,7 +188,7 @@ def classified(messages: DataFrame) -> DataFrame:
 
 
 def extract(messages: DataFrame, extra: tuple[Extractor, ...] = ()) -> DataFrame:
-    """Extracted receipts of classified messages; marketing and statements give none.
+    """Extracted slips of classified messages; marketing and statements give none.
 
     Every route is a filter of its own, so an expensive expression (structured data,
     PDF) is planned for its messages only.

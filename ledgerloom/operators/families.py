@@ -52,12 +52,12 @@ def resolve_families(extracted: DataFrame) -> DataFrame:
     return winners.unionByName(kept).withColumn("merged_from", F.coalesce("merged_from", F.array().cast("array<string>")))
 
 
-def canonical_receipts(resolved: DataFrame) -> DataFrame:
-    """Receipts the matcher takes; rows without supplier or positive total are left out."""
+def canonical_slips(resolved: DataFrame) -> DataFrame:
+    """Slips the matcher takes; rows without supplier or positive total are left out."""
     rows = resolved.where("supplier <> '' and total_minor > 0")
     rid = F.when(F.coalesce("source_message_id", F.lit("")) != "", F.col("source_message_id")).otherwise(F.col("family_key"))
     return rows.select(
-        "ordinal", rid.alias("receipt_id"), F.lit("email").alias("source"), "supplier", F.lit("").alias("raw_merchant_hint"), "total_minor", "currency", "issued_at", "issued_offset_sec",
+        "ordinal", rid.alias("slip_id"), F.lit("email").alias("source"), "supplier", F.lit("").alias("raw_merchant_hint"), "total_minor", "currency", "issued_at", "issued_offset_sec",
         F.when(F.coalesce("order_ref", F.lit("")) != "", F.col("order_ref")).otherwise(rid).alias("external_ref"), F.lit("").alias("transaction_ref"),
         F.when(F.coalesce("category", F.lit("")) != "", F.col("category")).otherwise("uncategorised").alias("category"), "line_items", F.size("line_items").alias("n_lines"),
     )

@@ -15,13 +15,13 @@ def ratio(n: Column, d: Column) -> Column:
 
 
 def last_labels(labels: DataFrame) -> DataFrame:
-    """One receipt per transaction; of several labels the last counts."""
-    return labels.groupBy("scope", "transaction_id").agg(F.max_by("receipt_id", "ordinal").alias("expected"))
+    """One slip per transaction; of several labels the last counts."""
+    return labels.groupBy("scope", "transaction_id").agg(F.max_by("slip_id", "ordinal").alias("expected"))
 
 
 def judged_matches(matches: DataFrame, labels: DataFrame) -> DataFrame:
     """Matches with ``correct``; a match without label counts as false."""
-    return matches.join(last_labels(labels), ["scope", "transaction_id"], "left").withColumn("correct", F.coalesce(F.col("expected") == F.col("receipt_id"), F.lit(False)))
+    return matches.join(last_labels(labels), ["scope", "transaction_id"], "left").withColumn("correct", F.coalesce(F.col("expected") == F.col("slip_id"), F.lit(False)))
 
 
 def violations(expectations: DataFrame, actual: DataFrame) -> DataFrame:
@@ -31,15 +31,15 @@ def violations(expectations: DataFrame, actual: DataFrame) -> DataFrame:
     return joined.where(F.col("got") != F.col("outcome")).select("scope", "side", "id", F.col("outcome").alias("want"), "got")
 
 
-def per_scope(result: MatchResult, transactions: DataFrame, receipts: DataFrame, labels: DataFrame, expectations: DataFrame, actual: DataFrame, limits: GateThresholds) -> DataFrame:
+def per_scope(result: MatchResult, transactions: DataFrame, slips: DataFrame, labels: DataFrame, expectations: DataFrame, actual: DataFrame, limits: GateThresholds) -> DataFrame:
     """One row of metrics per scenario, with its verdict."""
     count = lambda df, name: df.groupBy("scope").agg(F.count(F.lit(1)).alias(name))
     judged = judged_matches(result.matches, labels).groupBy("scope").agg(F.count(F.lit(1)).alias("matched"), F.count_if("correct").alias("correct"), F.countDistinct("transaction_id").alias("matched_txns"))
     unclear = expectations.where("genuinely_ambiguous").select("scope", "side", "id").distinct().withColumn("meant", F.lit(True))
     conflicts = result.conflicts.select("scope", "side", "id").join(unclear, ["scope", "side", "id"], "left").groupBy("scope").agg(F.count(F.lit(1)).alias("conflicts"), F.count_if("meant").alias("meant"))
-    scopes = transactions.select("scope").unionByName(receipts.select("scope")).distinct()
+    scopes = transactions.select("scope").unionByName(slips.select("scope")).distinct()
     rows = scopes
-    for part in (count(transactions, "n_txn"), count(receipts, "n_receipt"), count(labels, "n_label"), judged, conflicts, count(violations(expectations, actual), "n_violation")):
+    for part in (count(transactions, "n_txn"), count(slips, "n_slip"), count(labels, "n_label"), judged, conflicts, count(violations(expectations, actual), "n_violation")):
         rows = rows.join(part, "scope", "left")
     rows = rows.na.fill(0)
     one = lambda c: F.greatest(F.col(c), F.lit(1))
@@ -48,7 +48,7 @@ def per_scope(result: MatchResult, transactions: DataFrame, receipts: DataFrame,
         "*", ratio(F.col("correct"), one("matched")).alias("precision"), ratio(F.col("correct"), one("n_label")).alias("recall"), false.alias("false_matches"), ratio(false, one("matched")).alias("false_match_rate"),
         ratio(F.col("matched"), one("n_txn")).alias("match_rate"), ratio(F.col("conflicts"), one("n_txn")).alias("conflict_rate"),
         F.when(F.col("conflicts") == 0, 1.0).otherwise(ratio(F.col("meant"), F.col("conflicts"))).alias("conflict_correctness"),
-        (one("n_receipt") - F.col("matched")).alias("unmatched_receipts"), (one("n_txn") - F.col("matched_txns")).alias("unmatched_transactions"),
+        (one("n_slip") - F.col("matched")).alias("unmatched_receipts"), (one("n_txn") - F.col("matched_txns")).alias("unmatched_transactions"),
     )
     crowded, hard = F.col("scope").isin(*limits.crowded_classes), F.col("scope").isin(*limits.hard_classes) & (F.col("scope") != "ambiguous")
     fine = (F.col("n_violation") == 0) & (F.col("false_match_rate") <= limits.max_fmr)
@@ -81,18 +81,18 @@ def failure_reasons(total: DataFrame, rows: DataFrame, limits: GateThresholds, d
     return [text for bad, text in checks if bad] + [f"hard class {r[0]} recall below threshold" for r in weak]
 
 
-def itemisation(receipts: DataFrame, weights: DataFrame) -> DataFrame:
-    """Share of cohort weight whose merchant has an itemised receipt; 0 without weights."""
-    itemised = receipts.where("n_lines > 0").select(F.col("supplier").alias("merchant")).distinct()
+def itemisation(slips: DataFrame, weights: DataFrame) -> DataFrame:
+    """Share of cohort weight whose merchant has an itemised slip; 0 without weights."""
+    itemised = slips.where("n_lines > 0").select(F.col("supplier").alias("merchant")).distinct()
     covered = weights.join(itemised, "merchant", "left_semi").agg(F.sum("weight").alias("c"))
     whole = weights.agg(F.sum("weight").alias("w"))
     both = covered.withColumn("k", F.lit(0)).join(whole.withColumn("k", F.lit(0)), "k")
     return both.select(ratio(F.coalesce("c", F.lit(0.0)), F.col("w")).alias("rate"))
 
 
-def category_accuracy(labels: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Labels (receipt_id, expected) against receipts; a missing receipt counts as wrong."""
-    right = labels.join(receipts.select("receipt_id", "category"), "receipt_id", "left")
+def category_accuracy(labels: DataFrame, slips: DataFrame) -> DataFrame:
+    """Labels (slip_id, expected) against slips; a missing slip counts as wrong."""
+    right = labels.join(slips.select("slip_id", "category"), "slip_id", "left")
     return right.agg(ratio(F.count_if(F.col("category") == F.col("expected")), F.count(F.lit(1))).alias("accuracy"))
 
 

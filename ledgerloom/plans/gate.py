@@ -37,9 +37,9 @@ class GateRun:
 
 def evaluate(suite: Suite, cfg: MatchConfig, limits: GateThresholds) -> tuple[DataFrame, DataFrame]:
     """(metrics per scope, outcome of every record)."""
-    result = match(suite.transactions, suite.receipts, cfg)
-    actual = settle(outcomes(result, suite.transactions, suite.receipts))
-    rows = metrics.per_scope(result, suite.transactions, suite.receipts, suite.labels, suite.expectations, actual, limits)
+    result = match(suite.transactions, suite.slips, cfg)
+    actual = settle(outcomes(result, suite.transactions, suite.slips))
+    rows = metrics.per_scope(result, suite.transactions, suite.slips, suite.labels, suite.expectations, actual, limits)
     return settle(rows), actual
 
 

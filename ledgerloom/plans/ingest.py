@@ -1,4 +1,4 @@
-"""From messages to canonical receipts."""
+"""From messages to canonical slips."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.extraction import Extractor, classified, extract
-from ..operators.families import canonical_receipts, resolve_families
+from ..operators.families import canonical_slips, resolve_families
 from ..workspace import settle
 
 
@@ -17,7 +17,7 @@ class Ingested:
     classified: DataFrame
     extracted: DataFrame
     resolved: DataFrame
-    receipts: DataFrame
+    slips: DataFrame
     pending_ocr: DataFrame
 
 
@@ -31,4 +31,4 @@ def ingest(messages: DataFrame, since=None, extra: tuple[Extractor, ...] = ()) -
     seen = classified(messages)
     found = settle(extract(seen, extra))  # read several times below
     resolved = resolve_families(found)
-    return Ingested(seen, found, resolved, canonical_receipts(resolved), found.where("grade = 'requires_ocr'"))
+    return Ingested(seen, found, resolved, canonical_slips(resolved), found.where("grade = 'requires_ocr'"))

@@ -12,7 +12,7 @@ from ..operators.candidates import exact_references, leave_out, scored_candidate
 from ..workspace import settle
 
 _TXN = {"scope": "string", "ordinal": "bigint", "transaction_id": "string", "source": "string", "merchant": "string", "mcc": "string", "amount_minor": "bigint", "currency": "string", "occurred_at": "timestamp", "external_ref": "string"}
-_RECEIPT = {"scope": "string", "ordinal": "bigint", "receipt_id": "string", "source": "string", "supplier": "string", "raw_merchant_hint": "string", "total_minor": "bigint", "currency": "string", "issued_at": "timestamp", "transaction_ref": "string"}
+_SLIP = {"scope": "string", "ordinal": "bigint", "slip_id": "string", "source": "string", "supplier": "string", "raw_merchant_hint": "string", "total_minor": "bigint", "currency": "string", "issued_at": "timestamp", "transaction_ref": "string"}
 
 
 def _shaped(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -27,19 +27,19 @@ def _shaped(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.select(*out)
 
 
-def match(txns: DataFrame, receipts: DataFrame, cfg: MatchConfig | None = None, resolver=default_resolver) -> MatchResult:
+def match(txns: DataFrame, slips: DataFrame, cfg: MatchConfig | None = None, resolver=default_resolver) -> MatchResult:
     """Every record ends matched, in conflict or unmatched.
 
     Ids are unique within a ``scope``, a column that keeps separate datasets apart
     and may be absent.
     """
     cfg = cfg or MatchConfig()
-    t, r = _shaped(txns, _TXN), _shaped(receipts, _RECEIPT)
+    t, r = _shaped(txns, _TXN), _shaped(slips, _SLIP)
     exact = settle(exact_references(t, r))
-    rest_t, rest_r = leave_out(t, exact, "transaction_id"), leave_out(r, exact, "receipt_id")
+    rest_t, rest_r = leave_out(t, exact, "transaction_id"), leave_out(r, exact, "slip_id")
     chosen, conflicts = resolve(scored_candidates(rest_t, rest_r, cfg, resolver), cfg)
-    sure = exact.select("scope", "transaction_id", "receipt_id", F.lit(1.0).alias("confidence"), F.lit("exact_ref").alias("method"), F.create_map(F.lit("exact_ref"), F.lit(1.0)).alias("signals"))
-    scored = chosen.select("scope", "transaction_id", "receipt_id", "confidence", F.lit("scored").alias("method"), signal_map().alias("signals"))
+    sure = exact.select("scope", "transaction_id", "slip_id", F.lit(1.0).alias("confidence"), F.lit("exact_ref").alias("method"), F.create_map(F.lit("exact_ref"), F.lit(1.0)).alias("signals"))
+    scored = chosen.select("scope", "transaction_id", "slip_id", "confidence", F.lit("scored").alias("method"), signal_map().alias("signals"))
     matches = sure.unionByName(scored).withColumn("outcome", F.lit("matched"))
     conflicts = settle(conflicts)
     gone = lambda side, key: matches.select("scope", key).unionByName(conflicts.where(F.col("side") == side).select("scope", F.col("id").alias(key)))
@@ -47,19 +47,19 @@ def match(txns: DataFrame, receipts: DataFrame, cfg: MatchConfig | None = None,
         matches,
         conflicts,
         leave_out(t, gone("transaction", "transaction_id"), "transaction_id").select("scope", "ordinal", "transaction_id"),
-        leave_out(r, gone("receipt", "receipt_id"), "receipt_id").select("scope", "ordinal", "receipt_id"),
+        leave_out(r, gone("slip", "slip_id"), "slip_id").select("scope", "ordinal", "slip_id"),
     )
 
 
-def outcomes(result: MatchResult, txns: DataFrame, receipts: DataFrame) -> DataFrame:
+def outcomes(result: MatchResult, txns: DataFrame, slips: DataFrame) -> DataFrame:
     """(scope, side, id, outcome) of every record; conflict outranks matched outranks unmatched."""
     m = result.matches
     seen = (
         m.select("scope", F.lit("transaction").alias("side"), F.col("transaction_id").alias("id"), F.lit(1).alias("rank"))
-        .unionByName(m.select("scope", F.lit("receipt").alias("side"), F.col("receipt_id").alias("id"), F.lit(1).alias("rank")))
+        .unionByName(m.select("scope", F.lit("slip").alias("side"), F.col("slip_id").alias("id"), F.lit(1).alias("rank")))
         .unionByName(result.conflicts.select("scope", "side", "id", F.lit(2).alias("rank")))
         .unionByName(result.unmatched_transactions.select("scope", F.lit("transaction").alias("side"), F.col("transaction_id").alias("id"), F.lit(0).alias("rank")))
-        .unionByName(result.unmatched_receipts.select("scope", F.lit("receipt").alias("side"), F.col("receipt_id").alias("id"), F.lit(0).alias("rank")))
+        .unionByName(result.unmatched_receipts.select("scope", F.lit("slip").alias("side"), F.col("slip_id").alias("id"), F.lit(0).alias("rank")))
     )
     word = F.element_at(F.array(F.lit("unmatched"), F.lit("matched"), F.lit("conflict")), F.col("rank") + 1)
     return seen.groupBy("scope", "side", "id").agg(F.max("rank").alias("rank")).select("scope", "side", "id", word.alias("outcome"))

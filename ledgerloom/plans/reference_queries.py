@@ -48,14 +48,14 @@ def txns(spark: SparkSession, d: str) -> DataFrame:
     return CA.one_row_each(rows, "transaction_id")
 
 
-def receipts(spark: SparkSession, d: str) -> DataFrame:
+def slips(spark: SparkSession, d: str) -> DataFrame:
     """Slips; every seventh till slip names a transaction, which the table leaves open."""
     ref = F.when((F.col("source") == "pos") & (F.col("ordinal") % 7 == 0), F.concat(F.lit("txn-"), F.lpad(F.col("ordinal").cast("string"), 9, "0"))).otherwise("")
     rows = table(spark, d, "slips").select(
-        F.lit("").alias("scope"), "ordinal", F.col("slip_id").alias("receipt_id"), "source", "supplier", "raw_merchant_hint", "total_minor", "currency", "issued_at", "issued_offset_sec", "category",
+        F.lit("").alias("scope"), "ordinal", "slip_id", "source", "supplier", "raw_merchant_hint", "total_minor", "currency", "issued_at", "issued_offset_sec", "category",
         ref.alias("transaction_ref"), F.size("line_items").alias("n_lines"), "line_items",
     )
-    return CA.one_row_each(rows, "receipt_id")
+    return CA.one_row_each(rows, "slip_id")
 
 
 def mails(spark: SparkSession, d: str) -> DataFrame:
@@ -76,11 +76,11 @@ _TXN = "txn AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITIO
 _REC = """rec AS (SELECT * EXCLUDE (n), CASE WHEN source = 'pos' AND ordinal % 7 = 0 THEN 'txn-' || lpad(ordinal::VARCHAR, 9, '0') ELSE '' END ref
   FROM (SELECT *, row_number() OVER (PARTITION BY slip_id ORDER BY ordinal) n FROM slips) WHERE n = 1)"""
 _EXACT = """hit AS (SELECT r.slip_id, t.transaction_id, t.ordinal FROM rec r JOIN txn t ON r.ref <> '' AND (t.transaction_id = r.ref OR (t.external_ref <> '' AND t.external_ref = r.ref))),
-exact AS (SELECT slip_id AS receipt_id, arg_min(transaction_id, ordinal) AS transaction_id FROM hit GROUP BY slip_id)"""
+exact AS (SELECT slip_id, arg_min(transaction_id, ordinal) AS transaction_id FROM hit GROUP BY slip_id)"""
 _NORM = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(coalesce({0}, ''))), '^(sq \*|sumup\*|paypal \*|pp\*)', ''), '[^a-z0-9]+', '', 'g'), '[0-9]+$', '')"
 _GAP = "(epoch_us(issued_at) - epoch_us(occurred_at))"
 _REL = "greatest(0.04, CASE WHEN mcc = '5541' THEN 0.2 ELSE 0.0 END)"
-_PAIR = f"""pair AS (SELECT t.transaction_id, r.slip_id AS receipt_id, t.merchant, t.mcc, t.amount_minor, t.currency, t.occurred_at, r.supplier, r.raw_merchant_hint, r.total_minor, r.issued_at
+_PAIR = f"""pair AS (SELECT t.transaction_id, r.slip_id, t.merchant, t.mcc, t.amount_minor, t.currency, t.occurred_at, r.supplier, r.raw_merchant_hint, r.total_minor, r.issued_at
   FROM t0 t JOIN r0 r ON t.currency = r.currency AND r.issued_at BETWEEN t.occurred_at - INTERVAL 48 HOURS AND t.occurred_at + INTERVAL 168 HOURS
   WHERE (abs(amount_minor - total_minor) <= 200 OR CASE WHEN greatest(amount_minor, total_minor) = 0 THEN abs(amount_minor - total_minor) = 0
            ELSE abs(amount_minor - total_minor)::DOUBLE / greatest(amount_minor, total_minor) <= {_REL} END)
@@ -96,29 +96,29 @@ _SCORED = f"""named AS (SELECT *, {_NORM.format("merchant")} nt, {_NORM.format("
   abs(amount_minor - total_minor)::DOUBLE diff, greatest(amount_minor, total_minor)::DOUBLE big, {_GAP} gap, lower(coalesce(supplier, '') || ' ' || coalesce(raw_merchant_hint, '')) txt FROM pair),
 mm AS (SELECT *, greatest(CASE WHEN nt = '' OR ns = '' THEN 0.0 WHEN nt = ns THEN 1.0 WHEN contains(nt, ns) OR contains(ns, nt) THEN CASE WHEN length(nt) >= 3 AND length(ns) >= 3 THEN 1.0 ELSE 0.85 END ELSE 0.0 END,
   CASE WHEN nt = '' OR nh = '' THEN 0.0 WHEN nt = nh THEN 1.0 WHEN contains(nt, nh) OR contains(nh, nt) THEN CASE WHEN length(nt) >= 3 AND length(nh) >= 3 THEN 1.0 ELSE 0.85 END ELSE 0.0 END)::DOUBLE merchant_signal FROM named),
-scored AS (SELECT transaction_id, receipt_id, amount_signal, temporal_signal, merchant_signal, mcc_signal, delta_sec,
+scored AS (SELECT transaction_id, slip_id, amount_signal, temporal_signal, merchant_signal, mcc_signal, delta_sec,
   least(1.0, 0.42 * amount_signal + 0.23 * temporal_signal + 0.3 * merchant_signal + 0.05 * mcc_signal) confidence FROM (
   SELECT *, {_AMOUNT} amount_signal, 1 - abs(gap)::DOUBLE / (CASE WHEN gap < 0 THEN 172800000000 ELSE 604800000000 END) * 0.35 temporal_signal, {_MCC} mcc_signal, abs(gap) / 1e6 delta_sec FROM mm WHERE merchant_signal >= 0.55))"""
-_T0 = "t0 AS (SELECT * FROM txn WHERE transaction_id NOT IN (SELECT transaction_id FROM exact)), r0 AS (SELECT * FROM rec WHERE slip_id NOT IN (SELECT receipt_id FROM exact))"
+_T0 = "t0 AS (SELECT * FROM txn WHERE transaction_id NOT IN (SELECT transaction_id FROM exact)), r0 AS (SELECT * FROM rec WHERE slip_id NOT IN (SELECT slip_id FROM exact))"
 _BASE = f"WITH {_TXN}, {_REC}, {_EXACT}, {_T0}, {_PAIR}, {_SCORED}"
 
 
 def _ambiguous_sql(name: str, key: str) -> str:
     return f"""{name} AS (SELECT {key} FROM (SELECT *, row_number() OVER w n, lead(confidence) OVER w c2, lead(amount_signal) OVER w a2, lead(merchant_signal) OVER w m2, lead(delta_sec) OVER w d2
-  FROM scored WHERE confidence >= 0.82 WINDOW w AS (PARTITION BY {key} ORDER BY confidence DESC, transaction_id, receipt_id))
+  FROM scored WHERE confidence >= 0.82 WINDOW w AS (PARTITION BY {key} ORDER BY confidence DESC, transaction_id, slip_id))
   WHERE n = 1 AND c2 IS NOT NULL AND confidence - c2 <= 0.02 AND NOT (abs(amount_signal - a2) > 0.01 OR abs(merchant_signal - m2) > 0.01 OR abs(delta_sec - d2) > 120))"""
 
 
-_CONFLICT = f"""{_ambiguous_sql("ct", "transaction_id")}, {_ambiguous_sql("cr0", "receipt_id")},
-wide AS (SELECT transaction_id FROM scored WHERE transaction_id IN (SELECT * FROM ct) GROUP BY 1 HAVING count(DISTINCT receipt_id) >= 2),
-cr AS (SELECT receipt_id FROM cr0 UNION SELECT receipt_id FROM scored WHERE transaction_id IN (SELECT * FROM wide))"""
+_CONFLICT = f"""{_ambiguous_sql("ct", "transaction_id")}, {_ambiguous_sql("cr0", "slip_id")},
+wide AS (SELECT transaction_id FROM scored WHERE transaction_id IN (SELECT * FROM ct) GROUP BY 1 HAVING count(DISTINCT slip_id) >= 2),
+cr AS (SELECT slip_id FROM cr0 UNION SELECT slip_id FROM scored WHERE transaction_id IN (SELECT * FROM wide))"""
 
 
 def _greedy_sql(rounds: int = 12) -> str:
-    parts = ["e0 AS (SELECT transaction_id, receipt_id, confidence FROM scored WHERE confidence >= 0.82 AND transaction_id NOT IN (SELECT * FROM ct) AND receipt_id NOT IN (SELECT * FROM cr))"]
+    parts = ["e0 AS (SELECT transaction_id, slip_id, confidence FROM scored WHERE confidence >= 0.82 AND transaction_id NOT IN (SELECT * FROM ct) AND slip_id NOT IN (SELECT * FROM cr))"]
     for k in range(rounds):
-        parts.append(f"b{k} AS (SELECT transaction_id, receipt_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY confidence DESC, transaction_id, receipt_id) x, row_number() OVER (PARTITION BY receipt_id ORDER BY confidence DESC, transaction_id, receipt_id) y FROM e{k}) WHERE x = 1 AND y = 1)")
-        parts.append(f"e{k + 1} AS (SELECT * FROM e{k} WHERE transaction_id NOT IN (SELECT transaction_id FROM b{k}) AND receipt_id NOT IN (SELECT receipt_id FROM b{k}))")
+        parts.append(f"b{k} AS (SELECT transaction_id, slip_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY confidence DESC, transaction_id, slip_id) x, row_number() OVER (PARTITION BY slip_id ORDER BY confidence DESC, transaction_id, slip_id) y FROM e{k}) WHERE x = 1 AND y = 1)")
+        parts.append(f"e{k + 1} AS (SELECT * FROM e{k} WHERE transaction_id NOT IN (SELECT transaction_id FROM b{k}) AND slip_id NOT IN (SELECT slip_id FROM b{k}))")
     parts.append("chosen AS (" + " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(rounds)) + ")")
     return ", ".join(parts)
 
@@ -127,15 +127,15 @@ _GREEDY = _greedy_sql()
 
 
 def _scored(spark: SparkSession, d: str, resolver=M.containment_resolver) -> DataFrame:
-    t, r = txns(spark, d), receipts(spark, d)
+    t, r = txns(spark, d), slips(spark, d)
     exact = CA.exact_references(t, r)
-    return CA.scored_candidates(CA.leave_out(t, exact, "transaction_id"), CA.leave_out(r, exact, "receipt_id"), CFG, resolver)
+    return CA.scored_candidates(CA.leave_out(t, exact, "transaction_id"), CA.leave_out(r, exact, "slip_id"), CFG, resolver)
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    t, r = txns(spark, d), receipts(spark, d)
+    t, r = txns(spark, d), slips(spark, d)
     exact = CA.exact_references(t, r)
-    return CA.candidate_pairs(CA.leave_out(t, exact, "transaction_id"), CA.leave_out(r, exact, "receipt_id"), CFG)
+    return CA.candidate_pairs(CA.leave_out(t, exact, "transaction_id"), CA.leave_out(r, exact, "slip_id"), CFG)
 
 
 # -------------------------------------------------------------------- filters, joins
@@ -154,24 +154,24 @@ def f2_kind_gate(spark, d):
 @query("f3_skip_taken", f"WITH {_TXN}, {_REC}, {_EXACT} SELECT transaction_id FROM txn WHERE transaction_id NOT IN (SELECT transaction_id FROM exact)")
 def f3_skip_taken(spark, d):
     t = txns(spark, d)
-    return CA.leave_out(t, CA.exact_references(t, receipts(spark, d)), "transaction_id").select("transaction_id")
+    return CA.leave_out(t, CA.exact_references(t, slips(spark, d)), "transaction_id").select("transaction_id")
 
 
-@query("f6_within_tolerance", f"WITH {_TXN}, {_REC} SELECT t.transaction_id, r.slip_id AS receipt_id FROM txn t JOIN rec r ON t.currency = r.currency AND t.occurred_at = r.issued_at - INTERVAL 0 SECOND WHERE abs(amount_minor - total_minor) <= 50 OR (greatest(amount_minor, total_minor) <> 0 AND abs(amount_minor - total_minor)::DOUBLE / greatest(amount_minor, total_minor) <= 0.02)")
+@query("f6_within_tolerance", f"WITH {_TXN}, {_REC} SELECT t.transaction_id, r.slip_id FROM txn t JOIN rec r ON t.currency = r.currency AND t.occurred_at = r.issued_at - INTERVAL 0 SECOND WHERE abs(amount_minor - total_minor) <= 50 OR (greatest(amount_minor, total_minor) <> 0 AND abs(amount_minor - total_minor)::DOUBLE / greatest(amount_minor, total_minor) <= 0.02)")
 def f6_within_tolerance(spark, d):
-    pairs = txns(spark, d).alias("t").join(receipts(spark, d).alias("r"), (F.col("t.currency") == F.col("r.currency")) & (F.col("t.occurred_at") == F.col("r.issued_at")))
-    return pairs.where(A.within_tolerance(F.col("amount_minor"), F.col("total_minor"), CFG.abs_tolerance, F.lit(CFG.rel_tolerance))).select("transaction_id", "receipt_id")
+    pairs = txns(spark, d).alias("t").join(slips(spark, d).alias("r"), (F.col("t.currency") == F.col("r.currency")) & (F.col("t.occurred_at") == F.col("r.issued_at")))
+    return pairs.where(A.within_tolerance(F.col("amount_minor"), F.col("total_minor"), CFG.abs_tolerance, F.lit(CFG.rel_tolerance))).select("transaction_id", "slip_id")
 
 
-@query("f6_within_tolerance_blocked", f"WITH {_TXN}, {_REC}, {_EXACT}, {_T0}, {_PAIR} SELECT transaction_id, receipt_id FROM pair WHERE abs(amount_minor - total_minor) <= 50 OR (greatest(amount_minor, total_minor) <> 0 AND abs(amount_minor - total_minor)::DOUBLE / greatest(amount_minor, total_minor) <= 0.02)")
+@query("f6_within_tolerance_blocked", f"WITH {_TXN}, {_REC}, {_EXACT}, {_T0}, {_PAIR} SELECT transaction_id, slip_id FROM pair WHERE abs(amount_minor - total_minor) <= 50 OR (greatest(amount_minor, total_minor) <> 0 AND abs(amount_minor - total_minor)::DOUBLE / greatest(amount_minor, total_minor) <= 0.02)")
 def f6_within_tolerance_blocked(spark, d):
     """The filter over the blocked pairs in the window; equal instants, as above, are rare."""
-    return _pairs(spark, d).where(A.within_tolerance(F.col("amount_minor"), F.col("total_minor"), CFG.abs_tolerance, F.lit(CFG.rel_tolerance))).select("transaction_id", "receipt_id")
+    return _pairs(spark, d).where(A.within_tolerance(F.col("amount_minor"), F.col("total_minor"), CFG.abs_tolerance, F.lit(CFG.rel_tolerance))).select("transaction_id", "slip_id")
 
 
-@query("f14_itemised", f"WITH {_REC} SELECT slip_id AS receipt_id FROM rec WHERE len(line_items) > 0")
+@query("f14_itemised", f"WITH {_REC} SELECT slip_id FROM rec WHERE len(line_items) > 0")
 def f14_itemised(spark, d):
-    return receipts(spark, d).where(GR.is_itemised(F.col("line_items"))).select("receipt_id")
+    return slips(spark, d).where(GR.is_itemised(F.col("line_items"))).select("slip_id")
 
 
 @query("f15_bearing", "SELECT kind, count(*) AS n FROM extracted WHERE kind IN ('purchase_receipt', 'credit_note', 'dispatch_notice') GROUP BY kind")
@@ -179,63 +179,63 @@ def f15_bearing(spark, d):
     return table(spark, d, "extracted").where(C.is_bearing(F.col("kind"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j1_exact_refs", f"WITH {_TXN}, {_REC}, {_EXACT} SELECT transaction_id, receipt_id FROM exact")
+@query("j1_exact_refs", f"WITH {_TXN}, {_REC}, {_EXACT} SELECT transaction_id, slip_id FROM exact")
 def j1_exact_refs(spark, d):
-    return CA.exact_references(txns(spark, d), receipts(spark, d)).select("transaction_id", "receipt_id")
+    return CA.exact_references(txns(spark, d), slips(spark, d)).select("transaction_id", "slip_id")
 
 
-@query("j2_candidate_interval_join", f"WITH {_TXN}, {_REC}, {_EXACT}, {_T0}, {_PAIR} SELECT transaction_id, receipt_id FROM pair")
+@query("j2_candidate_interval_join", f"WITH {_TXN}, {_REC}, {_EXACT}, {_T0}, {_PAIR} SELECT transaction_id, slip_id FROM pair")
 def j2_candidates(spark, d):
-    return _pairs(spark, d).select("transaction_id", "receipt_id")
+    return _pairs(spark, d).select("transaction_id", "slip_id")
 
 
-@query("f9_merchant_floor", f"{_BASE} SELECT transaction_id, receipt_id, merchant_signal FROM scored")
+@query("f9_merchant_floor", f"{_BASE} SELECT transaction_id, slip_id, merchant_signal FROM scored")
 def f9_merchant_floor(spark, d):
-    return _scored(spark, d).select("transaction_id", "receipt_id", "merchant_signal")
+    return _scored(spark, d).select("transaction_id", "slip_id", "merchant_signal")
 
 
-@query("n8_confidence", f"{_BASE} SELECT transaction_id, receipt_id, round(confidence, 6) AS confidence FROM scored")
+@query("n8_confidence", f"{_BASE} SELECT transaction_id, slip_id, round(confidence, 6) AS confidence FROM scored")
 def n8_confidence(spark, d):
-    return _scored(spark, d).select("transaction_id", "receipt_id", F.round("confidence", 6).alias("confidence"))
+    return _scored(spark, d).select("transaction_id", "slip_id", F.round("confidence", 6).alias("confidence"))
 
 
-@query("j5_label_join", f"{_BASE}, label AS (SELECT transaction_id, max(receipt_id) AS expected FROM pair GROUP BY 1), {_CONFLICT}, {_GREEDY} SELECT c.transaction_id, c.receipt_id, coalesce(l.expected = c.receipt_id, false) AS correct FROM chosen c LEFT JOIN label l USING (transaction_id)")
+@query("j5_label_join", f"{_BASE}, label AS (SELECT transaction_id, max(slip_id) AS expected FROM pair GROUP BY 1), {_CONFLICT}, {_GREEDY} SELECT c.transaction_id, c.slip_id, coalesce(l.expected = c.slip_id, false) AS correct FROM chosen c LEFT JOIN label l USING (transaction_id)")
 def j5_label_join(spark, d):
     labels = _labels(spark, d)
     chosen, _ = AS.resolve(_scored(spark, d), CFG)
-    return ME.judged_matches(chosen, labels).select("transaction_id", "receipt_id", "correct")
+    return ME.judged_matches(chosen, labels).select("transaction_id", "slip_id", "correct")
 
 
 def _labels(spark, d):
-    """Stand-in labels: of each transaction's candidates the receipt with the largest id."""
-    return _pairs(spark, d).groupBy("scope", "transaction_id").agg(F.max("receipt_id").alias("receipt_id")).withColumn("ordinal", F.lit(0))
+    """Stand-in labels: of each transaction's candidates the slip with the largest id."""
+    return _pairs(spark, d).groupBy("scope", "transaction_id").agg(F.max("slip_id").alias("slip_id")).withColumn("ordinal", F.lit(0))
 
 
 @query("j6_category_accuracy", f"WITH {_REC}, want AS (SELECT slip_id, first_value(category) OVER (PARTITION BY supplier ORDER BY slip_id) AS expected FROM rec WHERE supplier IS NOT NULL) SELECT round(count(*) FILTER (rec.category = want.expected) / count(*)::DOUBLE, 6) AS accuracy FROM want LEFT JOIN rec USING (slip_id)")
 def j6_category_accuracy(spark, d):
     from pyspark.sql import Window
 
-    r = receipts(spark, d)
-    want = r.where("supplier is not null").select("receipt_id", F.first("category").over(Window.partitionBy("supplier").orderBy("receipt_id")).alias("expected"))
+    r = slips(spark, d)
+    want = r.where("supplier is not null").select("slip_id", F.first("category").over(Window.partitionBy("supplier").orderBy("slip_id")).alias("expected"))
     return ME.category_accuracy(want, r).select(F.round("accuracy", 6).alias("accuracy"))
 
 
 @query("a6_itemisation_rate", f"WITH {_REC}, w AS (SELECT supplier, count(*)::DOUBLE AS weight FROM rec WHERE supplier IS NOT NULL GROUP BY 1) SELECT round(sum(weight) FILTER (supplier IN (SELECT supplier FROM rec WHERE len(line_items) > 0)) / sum(weight), 6) AS rate FROM w")
 def a6_itemisation_rate(spark, d):
-    r = receipts(spark, d)
+    r = slips(spark, d)
     weights = r.where("supplier is not null").groupBy(F.col("supplier").alias("merchant")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return ME.itemisation(r, weights).select(F.round("rate", 6).alias("rate"))
 
 
-@query("j8_outcomes", f"{_BASE}, {_CONFLICT}, {_GREEDY}, m AS (SELECT transaction_id, receipt_id FROM exact UNION ALL SELECT transaction_id, receipt_id FROM chosen) SELECT 'transaction' AS side, transaction_id AS id, CASE WHEN transaction_id IN (SELECT * FROM ct) THEN 'conflict' WHEN transaction_id IN (SELECT transaction_id FROM m) THEN 'matched' ELSE 'unmatched' END AS outcome FROM txn UNION ALL SELECT 'receipt', slip_id, CASE WHEN slip_id IN (SELECT * FROM cr) THEN 'conflict' WHEN slip_id IN (SELECT receipt_id FROM m) THEN 'matched' ELSE 'unmatched' END FROM rec")
+@query("j8_outcomes", f"{_BASE}, {_CONFLICT}, {_GREEDY}, m AS (SELECT transaction_id, slip_id FROM exact UNION ALL SELECT transaction_id, slip_id FROM chosen) SELECT 'transaction' AS side, transaction_id AS id, CASE WHEN transaction_id IN (SELECT * FROM ct) THEN 'conflict' WHEN transaction_id IN (SELECT transaction_id FROM m) THEN 'matched' ELSE 'unmatched' END AS outcome FROM txn UNION ALL SELECT 'slip', slip_id, CASE WHEN slip_id IN (SELECT * FROM cr) THEN 'conflict' WHEN slip_id IN (SELECT slip_id FROM m) THEN 'matched' ELSE 'unmatched' END FROM rec")
 def j8_outcomes(spark, d):
-    t, r = txns(spark, d), receipts(spark, d)
+    t, r = txns(spark, d), slips(spark, d)
     return outcomes(match(t, r, CFG, M.containment_resolver), t, r).select("side", "id", "outcome")
 
 
 @query("j10_unmatched", f"{_BASE}, {_CONFLICT}, {_GREEDY} SELECT transaction_id FROM txn WHERE transaction_id NOT IN (SELECT transaction_id FROM exact UNION ALL SELECT transaction_id FROM chosen UNION ALL SELECT transaction_id FROM ct)")
 def j10_unmatched(spark, d):
-    return match(txns(spark, d), receipts(spark, d), CFG, M.containment_resolver).unmatched_transactions.select("transaction_id")
+    return match(txns(spark, d), slips(spark, d), CFG, M.containment_resolver).unmatched_transactions.select("transaction_id")
 
 
 # ------------------------------------------------------------- ranking and assignment
@@ -246,18 +246,18 @@ def w1_ambiguous_transactions(spark, d):
     return AS.ambiguous_keys(_scored(spark, d), "transaction_id", CFG).select("transaction_id")
 
 
-@query("w1_ambiguous_receipts", f"{_BASE}, {_ambiguous_sql('cr0', 'receipt_id')} SELECT receipt_id FROM cr0")
-def w1_ambiguous_receipts(spark, d):
-    return AS.ambiguous_keys(_scored(spark, d), "receipt_id", CFG).select("receipt_id")
+@query("w1_ambiguous_slips", f"{_BASE}, {_ambiguous_sql('cr0', 'slip_id')} SELECT slip_id FROM cr0")
+def w1_ambiguous_slips(spark, d):
+    return AS.ambiguous_keys(_scored(spark, d), "slip_id", CFG).select("slip_id")
 
 
-@query("a4_widened_receipts", f"{_BASE}, {_CONFLICT} SELECT receipt_id FROM cr")
-def a4_widened_receipts(spark, d):
+@query("a4_widened_slips", f"{_BASE}, {_CONFLICT} SELECT slip_id FROM cr")
+def a4_widened_slips(spark, d):
     s = settle(_scored(spark, d))
-    return AS.widened_receipts(s, AS.ambiguous_keys(s, "transaction_id", CFG), AS.ambiguous_keys(s, "receipt_id", CFG)).select("receipt_id")
+    return AS.widened_slips(s, AS.ambiguous_keys(s, "transaction_id", CFG), AS.ambiguous_keys(s, "slip_id", CFG)).select("slip_id")
 
 
-@query("a3_conflict_rows", f"{_BASE}, {_CONFLICT} SELECT 'transaction' AS side, transaction_id AS id, count(*) AS n_competing, min(receipt_id) AS first_competing, round(max(confidence), 6) AS top_confidence FROM scored WHERE transaction_id IN (SELECT * FROM ct) GROUP BY 2 UNION ALL SELECT 'receipt', receipt_id, count(*), min(transaction_id), round(max(confidence), 6) FROM scored WHERE receipt_id IN (SELECT * FROM cr) GROUP BY 2")
+@query("a3_conflict_rows", f"{_BASE}, {_CONFLICT} SELECT 'transaction' AS side, transaction_id AS id, count(*) AS n_competing, min(slip_id) AS first_competing, round(max(confidence), 6) AS top_confidence FROM scored WHERE transaction_id IN (SELECT * FROM ct) GROUP BY 2 UNION ALL SELECT 'slip', slip_id, count(*), min(transaction_id), round(max(confidence), 6) FROM scored WHERE slip_id IN (SELECT * FROM cr) GROUP BY 2")
 def a3_conflict_rows(spark, d):
     _, conflicts = AS.resolve(_scored(spark, d), CFG)
     return conflicts.select("side", "id", F.size("competing").cast("bigint").alias("n_competing"), F.get("competing", F.lit(0))["id"].alias("first_competing"), F.round("top_confidence", 6).alias("top_confidence"))
@@ -268,19 +268,19 @@ def a2_top_confidence(spark, d):
     return _scored(spark, d).groupBy("transaction_id").agg(F.round(F.max("confidence"), 6).alias("top_confidence"))
 
 
-@query("w2_greedy_assignment", f"{_BASE}, {_CONFLICT}, {_GREEDY} SELECT transaction_id, receipt_id, round(confidence, 6) AS confidence FROM chosen")
+@query("w2_greedy_assignment", f"{_BASE}, {_CONFLICT}, {_GREEDY} SELECT transaction_id, slip_id, round(confidence, 6) AS confidence FROM chosen")
 def w2_greedy_assignment(spark, d):
     chosen, _ = AS.resolve(_scored(spark, d), CFG)
-    return chosen.select("transaction_id", "receipt_id", F.round("confidence", 6).alias("confidence"))
+    return chosen.select("transaction_id", "slip_id", F.round("confidence", 6).alias("confidence"))
 
 
 @query("e8_match_default")
 def e8_match_default(spark, d):
-    m = match(txns(spark, d), receipts(spark, d)).matches
-    return m.select("transaction_id", "receipt_id", "method", F.round("confidence", 6).alias("confidence"))
+    m = match(txns(spark, d), slips(spark, d)).matches
+    return m.select("transaction_id", "slip_id", "method", F.round("confidence", 6).alias("confidence"))
 
 
-@query("a5_match_metrics", f"{_BASE}, label AS (SELECT transaction_id, max(receipt_id) AS expected FROM pair GROUP BY 1), {_CONFLICT}, {_GREEDY} SELECT count(*) AS matched, count(*) FILTER (l.expected = c.receipt_id) AS correct, round(count(*) FILTER (l.expected = c.receipt_id) / greatest(count(*), 1)::DOUBLE, 6) AS precision, round(count(*) FILTER (l.expected = c.receipt_id) / (SELECT greatest(count(*), 1)::DOUBLE FROM label), 6) AS recall FROM chosen c LEFT JOIN label l USING (transaction_id)")
+@query("a5_match_metrics", f"{_BASE}, label AS (SELECT transaction_id, max(slip_id) AS expected FROM pair GROUP BY 1), {_CONFLICT}, {_GREEDY} SELECT count(*) AS matched, count(*) FILTER (l.expected = c.slip_id) AS correct, round(count(*) FILTER (l.expected = c.slip_id) / greatest(count(*), 1)::DOUBLE, 6) AS precision, round(count(*) FILTER (l.expected = c.slip_id) / (SELECT greatest(count(*), 1)::DOUBLE FROM label), 6) AS recall FROM chosen c LEFT JOIN label l USING (transaction_id)")
 def a5_match_metrics(spark, d):
     labels = _labels(spark, d)
     chosen, _ = AS.resolve(_scored(spark, d), CFG)
@@ -337,9 +337,9 @@ def n1_amount_bands(spark, d):
     return _pairs(spark, d).select("amount_minor", "total_minor", F.round(A.amount_similarity(F.col("amount_minor"), F.col("total_minor"), c, c, CFG), 6).alias("score")).distinct()
 
 
-@query("d2_temporal_decay", f"WITH {_TXN}, {_REC}, {_EXACT}, {_T0}, {_PAIR} SELECT transaction_id, receipt_id, round(1 - abs({_GAP})::DOUBLE / (CASE WHEN {_GAP} < 0 THEN 172800000000 ELSE 604800000000 END) * 0.35, 6) AS score FROM pair")
+@query("d2_temporal_decay", f"WITH {_TXN}, {_REC}, {_EXACT}, {_T0}, {_PAIR} SELECT transaction_id, slip_id, round(1 - abs({_GAP})::DOUBLE / (CASE WHEN {_GAP} < 0 THEN 172800000000 ELSE 604800000000 END) * 0.35, 6) AS score FROM pair")
 def d2_temporal_decay(spark, d):
-    return _pairs(spark, d).select("transaction_id", "receipt_id", F.round(T.temporal_similarity(F.col("occurred_at"), F.col("issued_at"), CFG), 6).alias("score"))
+    return _pairs(spark, d).select("transaction_id", "slip_id", F.round(T.temporal_similarity(F.col("occurred_at"), F.col("issued_at"), CFG), 6).alias("score"))
 
 
 @query("d3_local_date", "SELECT ordinal, strftime(make_timestamp(epoch_us(issued_at) + coalesce(issued_offset_sec, 0)::BIGINT * 1000000), '%Y-%m-%d') AS day FROM slips WHERE issued_at IS NOT NULL")
@@ -453,9 +453,9 @@ def a14_resolved_rows(spark, d):
     return FA.resolve_families(_extracted(spark, d)).select("extracted_id")
 
 
-@query("f13_canonical", f"WITH {_FAM}, {_WIN}, kept AS (SELECT extracted_id FROM win UNION ALL SELECT extracted_id FROM fp JOIN dec USING (family) WHERE decision NOT IN ('forwarded', 'best') OR (credit AND decision = 'best')) SELECT CASE WHEN coalesce(source_message_id, '') <> '' THEN source_message_id ELSE family_key END AS receipt_id, supplier, total_minor, CASE WHEN coalesce(category, '') <> '' THEN category ELSE 'uncategorised' END AS category FROM extracted JOIN kept USING (extracted_id) WHERE supplier <> '' AND total_minor > 0")
+@query("f13_canonical", f"WITH {_FAM}, {_WIN}, kept AS (SELECT extracted_id FROM win UNION ALL SELECT extracted_id FROM fp JOIN dec USING (family) WHERE decision NOT IN ('forwarded', 'best') OR (credit AND decision = 'best')) SELECT CASE WHEN coalesce(source_message_id, '') <> '' THEN source_message_id ELSE family_key END AS slip_id, supplier, total_minor, CASE WHEN coalesce(category, '') <> '' THEN category ELSE 'uncategorised' END AS category FROM extracted JOIN kept USING (extracted_id) WHERE supplier <> '' AND total_minor > 0")
 def f13_canonical(spark, d):
-    return FA.canonical_receipts(FA.resolve_families(_extracted(spark, d))).select("receipt_id", "supplier", "total_minor", "category")
+    return FA.canonical_slips(FA.resolve_families(_extracted(spark, d))).select("slip_id", "supplier", "total_minor", "category")
 
 
 # ---------------------------------------------------------------------------- text
@@ -498,7 +498,7 @@ def x5_inline_total(spark, d):
 SELECT delivery_id, coalesce({_minor_sql("a")}, {_minor_sql("b")}, CASE WHEN p IS NOT NULL THEN {_minor_sql("p")} WHEN g IS NOT NULL THEN {_minor_sql("g")} WHEN r IS NOT NULL THEN {_minor_sql("r")} END) AS total FROM c""")
 def x6_total_cascade(spark, d):
     m = table(spark, d, "mail_messages").where("body_text is not null and not contains(lower(body_text), '<tr')")
-    return m.select("delivery_id", X.receipt_total(F.col("body_text")).alias("total"))
+    return m.select("delivery_id", X.body_total(F.col("body_text")).alias("total"))
 
 
 @query("x8_order_ref", f"SELECT delivery_id, coalesce({_cap(X.ORDER_REF, 'body_text')}, '') AS order_ref FROM mail_messages WHERE body_text IS NOT NULL")
@@ -578,7 +578,7 @@ def c12_fuel(spark, d):
 def e7_ingest(spark, d):
     from .ingest import ingest
 
-    return ingest(mails(spark, d)).receipts.select("receipt_id", "supplier", "total_minor", "currency", "external_ref", "category", "n_lines")
+    return ingest(mails(spark, d)).slips.select("slip_id", "supplier", "total_minor", "currency", "external_ref", "category", "n_lines")
 
 
 # ---------------------------------------------------------------------- scrubbing
@@ -687,7 +687,7 @@ def s8_split_addresses(spark, d):
 @query("g1_generated_pairs", "SELECT i AS ordinal, 'generated_tip-' || i || '-t' AS transaction_id, 100000 + 30000 * i AS amount_minor, 100000 + 30000 * i - 150 AS total_minor, epoch_us(TIMESTAMPTZ '2026-03-15 14:30:00+00') + i * 37 * 3600000000 AS at FROM range(2275) r(i)")
 def g1_generated_pairs(spark, d):
     s = SY.generated_pairs(spark, 2275, SY.PROFILES[0])
-    t = s.transactions.join(s.labels.select("transaction_id", "receipt_id"), "transaction_id").join(s.receipts.select("receipt_id", "total_minor"), "receipt_id")
+    t = s.transactions.join(s.labels.select("transaction_id", "slip_id"), "transaction_id").join(s.slips.select("slip_id", "total_minor"), "slip_id")
     return t.select("ordinal", "transaction_id", "amount_minor", "total_minor", F.unix_micros("occurred_at").alias("at"))
 
 

@@ -11,8 +11,8 @@ from ..functions.scrub import Blocklist
 
 SCHEMA = (
     "name string, transactions array<struct<id:string,merchant:string,mcc:string,amount_minor:bigint,currency:string,occurred_at:string>>, "
-    "receipts array<struct<id:string,supplier:string,amount_minor:bigint,currency:string,issued_at:string,itemised:boolean,category:string,source:string,transaction_ref:string>>, "
-    "labels array<struct<transaction_id:string,receipt_id:string>>, expect_match boolean, expect_conflict boolean, expect_precision_min double, expect_fmr_max double"
+    "slips array<struct<id:string,supplier:string,amount_minor:bigint,currency:string,issued_at:string,itemised:boolean,category:string,source:string,transaction_ref:string>>, "
+    "labels array<struct<transaction_id:string,slip_id:string>>, expect_match boolean, expect_conflict boolean, expect_precision_min double, expect_fmr_max double"
 )
 
 
@@ -33,11 +33,11 @@ def scenario_transactions(scenarios: DataFrame) -> DataFrame:
     return t.select("scope", F.col("ordinal").cast("bigint"), F.col("x.id").alias("transaction_id"), F.lit("synthetic").alias("source"), "x.merchant", "x.mcc", "x.amount_minor", "x.currency", F.to_timestamp("x.occurred_at").alias("occurred_at"), _offset(F.col("x.occurred_at")).alias("occurred_offset_sec"))
 
 
-def scenario_receipts(scenarios: DataFrame) -> DataFrame:
-    """Any source but pos is mail; an itemised receipt has one line of its whole total."""
-    r = scenarios.select(F.col("name").alias("scope"), F.posexplode("receipts").alias("ordinal", "x"))
+def scenario_slips(scenarios: DataFrame) -> DataFrame:
+    """Any source but pos is mail; an itemised slip has one line of its whole total."""
+    r = scenarios.select(F.col("name").alias("scope"), F.posexplode("slips").alias("ordinal", "x"))
     return r.select(
-        "scope", F.col("ordinal").cast("bigint"), F.col("x.id").alias("receipt_id"), F.when(F.col("x.source") == "pos", "pos").otherwise("email").alias("source"), "x.supplier", F.lit("").alias("raw_merchant_hint"),
+        "scope", F.col("ordinal").cast("bigint"), F.col("x.id").alias("slip_id"), F.when(F.col("x.source") == "pos", "pos").otherwise("email").alias("source"), "x.supplier", F.lit("").alias("raw_merchant_hint"),
         F.col("x.amount_minor").alias("total_minor"), "x.currency", F.to_timestamp("x.issued_at").alias("issued_at"), _offset(F.col("x.issued_at")).alias("issued_offset_sec"), "x.category", F.coalesce("x.transaction_ref", F.lit("")).alias("transaction_ref"),
         F.when(F.coalesce("x.itemised", F.lit(False)), 1).otherwise(0).alias("n_lines"),
     )
@@ -45,7 +45,7 @@ def scenario_receipts(scenarios: DataFrame) -> DataFrame:
 
 def scenario_labels(scenarios: DataFrame) -> DataFrame:
     x = scenarios.select(F.col("name").alias("scope"), F.posexplode("labels").alias("ordinal", "x"))
-    return x.select("scope", F.col("ordinal").cast("bigint"), "x.transaction_id", "x.receipt_id")
+    return x.select("scope", F.col("ordinal").cast("bigint"), "x.transaction_id", "x.slip_id")
 
 
 def load_blocklist(path: str) -> Blocklist:

@@ -1,4 +1,4 @@
-"""Candidates as a stream: transactions and receipts joined within the time window."""
+"""Candidates as a stream: transactions and slips joined within the time window."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from ..functions import amount as A
 from ..plans.matcher import match
 
 
-def streaming_candidates(txns: DataFrame, receipts: DataFrame, cfg: MatchConfig | None = None, late: str = "1 day") -> DataFrame:
+def streaming_candidates(txns: DataFrame, slips: DataFrame, cfg: MatchConfig | None = None, late: str = "1 day") -> DataFrame:
     """Stream-stream interval join; state is dropped once the watermark passes the window.
 
     Both sides need event times; amounts are compared as in the batch form, merchants
@@ -19,12 +19,12 @@ def streaming_candidates(txns: DataFrame, receipts: DataFrame, cfg: MatchConfig
     cfg = cfg or MatchConfig()
     lead, lag = cfg.max_lead_us // 1_000_000, cfg.max_lag_us // 1_000_000
     t = txns.withWatermark("occurred_at", late).alias("t")
-    r = receipts.withWatermark("issued_at", late).alias("r")
+    r = slips.withWatermark("issued_at", late).alias("r")
     window = f"r.issued_at >= t.occurred_at - interval {lead} seconds and r.issued_at <= t.occurred_at + interval {lag} seconds"
     rel = A.loose_relative(F.col("t.mcc"), cfg)
     a, b = F.col("t.amount_minor"), F.col("r.total_minor")
     pairs = t.join(r, F.expr(f"t.currency = r.currency and {window}"))
-    return pairs.where(A.within_tolerance(a, b, cfg.loose_abs, rel) & A.bucket_matches(a, b, rel, cfg)).select("t.transaction_id", "r.receipt_id", "t.occurred_at", "r.issued_at", "t.amount_minor", "r.total_minor")
+    return pairs.where(A.within_tolerance(a, b, cfg.loose_abs, rel) & A.bucket_matches(a, b, rel, cfg)).select("t.transaction_id", "r.slip_id", "t.occurred_at", "r.issued_at", "t.amount_minor", "r.total_minor")
 
 
 def assign_batch(write, cfg: MatchConfig | None = None):
@@ -36,7 +36,7 @@ def assign_batch(write, cfg: MatchConfig | None = None):
 
     def run(batch: DataFrame, batch_id: int) -> None:
         t = batch.where("side = 'transaction'").select("ordinal", F.col("id").alias("transaction_id"), F.col("name").alias("merchant"), "mcc", F.col("amount").alias("amount_minor"), "currency", F.col("at").alias("occurred_at"))
-        r = batch.where("side = 'receipt'").select("ordinal", F.col("id").alias("receipt_id"), F.lit("email").alias("source"), F.col("name").alias("supplier"), F.col("amount").alias("total_minor"), "currency", F.col("at").alias("issued_at"))
+        r = batch.where("side = 'slip'").select("ordinal", F.col("id").alias("slip_id"), F.lit("email").alias("source"), F.col("name").alias("supplier"), F.col("amount").alias("total_minor"), "currency", F.col("at").alias("issued_at"))
         write(match(t, r, cfg).matches, batch_id)
 
     return run

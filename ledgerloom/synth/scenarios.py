@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TXN_DDL = "scope string, ordinal bigint, transaction_id string, source string, merchant string, mcc string, amount_minor bigint, currency string, occurred_at timestamp, occurred_offset_sec int, settled_at timestamp, external_ref string"
-RECEIPT_DDL = "scope string, ordinal bigint, receipt_id string, source string, supplier string, raw_merchant_hint string, total_minor bigint, currency string, issued_at timestamp, issued_offset_sec int, category string, transaction_ref string, n_lines int"
-LABEL_DDL = "scope string, ordinal bigint, transaction_id string, receipt_id string"
+SLIP_DDL = "scope string, ordinal bigint, slip_id string, source string, supplier string, raw_merchant_hint string, total_minor bigint, currency string, issued_at timestamp, issued_offset_sec int, category string, transaction_ref string, n_lines int"
+LABEL_DDL = "scope string, ordinal bigint, transaction_id string, slip_id string"
 EXPECT_DDL = "scope string, side string, id string, outcome string, genuinely_ambiguous boolean"
 BOUND_DDL = "scope string, transaction_id string, max_amount_diff bigint, max_lag_hours int"
 
@@ -35,7 +35,7 @@ COHORT = (
 @dataclass
 class Suite:
     transactions: DataFrame
-    receipts: DataFrame
+    slips: DataFrame
     labels: DataFrame
     expectations: DataFrame
     bounds: DataFrame
@@ -44,7 +44,7 @@ class Suite:
         return Suite(*[a.unionByName(b) for a, b in zip(self.frames(), other.frames(), strict=True)])
 
     def frames(self) -> tuple[DataFrame, ...]:
-        return self.transactions, self.receipts, self.labels, self.expectations, self.bounds
+        return self.transactions, self.slips, self.labels, self.expectations, self.bounds
 
 
 class _Draft:
@@ -70,11 +70,11 @@ class _Draft:
 
     def expect(self, scope, outcome, tids, rids):
         self.want += [(scope, "transaction", i, outcome, outcome == "conflict") for i in tids]
-        self.want += [(scope, "receipt", i, outcome, outcome == "conflict") for i in rids]
+        self.want += [(scope, "slip", i, outcome, outcome == "conflict") for i in rids]
 
     def suite(self, spark: SparkSession) -> Suite:
         return Suite(
-            spark.createDataFrame(self.t, TXN_DDL), spark.createDataFrame(self.r, RECEIPT_DDL), spark.createDataFrame(self.labels, LABEL_DDL),
+            spark.createDataFrame(self.t, TXN_DDL), spark.createDataFrame(self.r, SLIP_DDL), spark.createDataFrame(self.labels, LABEL_DDL),
             spark.createDataFrame(self.want, EXPECT_DDL), spark.createDataFrame([], BOUND_DDL),
         )
 
@@ -145,18 +145,18 @@ def _frames(rows: DataFrame, scope: str, outcome: str, label: bool) -> Suite:
         text("GBP").alias("currency"), _at(F.col("t_hours")).alias("occurred_at"), F.lit(0).alias("occurred_offset_sec"), F.lit(None).cast("timestamp").alias("settled_at"), text("").alias("external_ref"),
     )
     r = rows.select(
-        text(scope).alias("scope"), F.col("i").alias("ordinal"), F.col("rid").alias("receipt_id"), text("email").alias("source"), "supplier", text("").alias("raw_merchant_hint"), F.col("total").cast("bigint").alias("total_minor"),
+        text(scope).alias("scope"), F.col("i").alias("ordinal"), F.col("rid").alias("slip_id"), text("email").alias("source"), "supplier", text("").alias("raw_merchant_hint"), F.col("total").cast("bigint").alias("total_minor"),
         text("GBP").alias("currency"), _at(F.col("r_hours")).alias("issued_at"), F.lit(0).alias("issued_offset_sec"), text("").alias("category"), text("").alias("transaction_ref"), F.lit(0).alias("n_lines"),
     )
-    labels = rows.where(F.lit(label)).select(text(scope).alias("scope"), F.col("i").alias("ordinal"), F.col("tid").alias("transaction_id"), F.col("rid").alias("receipt_id"))
+    labels = rows.where(F.lit(label)).select(text(scope).alias("scope"), F.col("i").alias("ordinal"), F.col("tid").alias("transaction_id"), F.col("rid").alias("slip_id"))
     unclear = F.lit(outcome == "conflict")
     want = rows.select(text(scope).alias("scope"), text("transaction").alias("side"), F.col("tid").alias("id"), text(outcome).alias("outcome"), unclear.alias("genuinely_ambiguous"))
-    want = want.unionByName(rows.select(text(scope).alias("scope"), text("receipt").alias("side"), F.col("rid").alias("id"), text(outcome).alias("outcome"), unclear.alias("genuinely_ambiguous")))
+    want = want.unionByName(rows.select(text(scope).alias("scope"), text("slip").alias("side"), F.col("rid").alias("id"), text(outcome).alias("outcome"), unclear.alias("genuinely_ambiguous")))
     return Suite(t, r, labels, want, rows.sparkSession.createDataFrame([], BOUND_DDL))
 
 
 def identical_cluster(spark: SparkSession, n: int, scope: str, prefix: str, merchant: str, supplier: str, mcc: str, amount: int, hours: float) -> Suite:
-    """n equal transactions and receipts at one instant: nothing may be matched."""
+    """n equal transactions and slips at one instant: nothing may be matched."""
     i = F.col("id")
     rows = spark.range(n).select(
         i.alias("i"), F.concat(F.lit(f"{prefix}-t-"), i).alias("tid"), F.concat(F.lit(f"{prefix}-r-"), i).alias("rid"), F.lit(merchant).alias("merchant"), F.lit(supplier).alias("supplier"),
@@ -214,7 +214,7 @@ def generated_pairs(spark: SparkSession, n: int, noise: Noise, seed: int = 42) -
 
 
 def near_duplicates(spark: SparkSession, n: int) -> Suite:
-    """Equal purchases five minutes apart: each must match its own receipt."""
+    """Equal purchases five minutes apart: each must match its own slip."""
     i = F.col("id")
     at = F.lit(300.0) + i * 5 / 60.0
     rows = spark.range(n).select(
@@ -225,7 +225,7 @@ def near_duplicates(spark: SparkSession, n: int) -> Suite:
 
 
 def refunds(spark: SparkSession, n: int) -> Suite:
-    """Negative receipts, which match nothing."""
+    """Negative slips, which match nothing."""
     i = F.col("id")
     rows = spark.range(n).select(
         i.alias("i"), F.concat(F.lit("g-ref-t-"), i).alias("tid"), F.concat(F.lit("g-ref-r-"), i).alias("rid"), F.lit("AMAZON UK").alias("merchant"), F.lit("Amazon").alias("supplier"),
@@ -250,7 +250,7 @@ def generated_suite(spark: SparkSession, n: int, seed: int = 42) -> Suite:
 def bounds_hold(suite: Suite, slack: int = 50) -> DataFrame:
     """(scope, holds): whether every labelled pair keeps within its claimed noise."""
     pairs = suite.labels.join(suite.transactions.select("scope", "transaction_id", "amount_minor", "currency", "occurred_at"), ["scope", "transaction_id"])
-    pairs = pairs.join(suite.receipts.select("scope", "receipt_id", "total_minor", F.col("currency").alias("r_currency"), "issued_at"), ["scope", "receipt_id"]).join(suite.bounds, ["scope", "transaction_id"], "left")
+    pairs = pairs.join(suite.slips.select("scope", "slip_id", "total_minor", F.col("currency").alias("r_currency"), "issued_at"), ["scope", "slip_id"]).join(suite.bounds, ["scope", "transaction_id"], "left")
     close = (F.abs(F.col("amount_minor") - F.col("total_minor")) <= F.col("max_amount_diff") + slack) & (F.col("currency") == F.col("r_currency"))
     soon = F.abs(F.unix_micros("issued_at") - F.unix_micros("occurred_at")) <= F.col("max_lag_hours") * F.lit(3_600_000_000)
     return pairs.groupBy("scope").agg(F.bool_and(F.coalesce(close & soon, F.lit(False))).alias("holds"))

@@ -24,9 +24,9 @@ def test_fields_by_merchant(spark):
     scan = [("scan.pdf", "application/pdf", bytearray(b"%PDF-1.4 no text"))]
     df = mails(spark, [
         ("o@amazon.co.uk", "Your order", "Order #AMZ-7 \nOrder total: £24.99\nPens £20.00\nshipment id 9", None, None),
-        ("r@screwfix.com", "Receipt", "Order ref: SF12\nTotal £45.00\nDrill £37.50", None, None),
-        ("n@toolstation.com", "order YWW55", None, "<p>Receipt</p><table><tr><td>Total</td><td>£22.50</td></tr></table>", None),
-        ("f@shell.com", "Receipt", "Total paid: £60.00", None, None),
+        ("r@screwfix.com", "Slip", "Order ref: SF12\nTotal £45.00\nDrill £37.50", None, None),
+        ("n@toolstation.com", "order YWW55", None, "<p>Slip</p><table><tr><td>Total</td><td>£22.50</td></tr></table>", None),
+        ("f@shell.com", "Slip", "Total paid: £60.00", None, None),
         ("b@octopus.energy", "Invoice", None, '<p>Account ref: ACC9</p><table><tr><td>Total</td><td>£120.00</td></tr></table>', None),
         ("a@trader.example", "Invoice", None, None, pdf),
         ("a@trader.example", "Invoice", None, None, scan),
@@ -100,6 +100,6 @@ def test_family_table(spark):
 
 
 def test_since_and_empty(spark):
-    df = mails(spark, [("r@screwfix.com", "Receipt", "Order ref: SF12\nTotal £45.00", None, None)])
-    assert ingest(df, since=datetime(2026, 1, 15, 9)).receipts.count() == 1
-    assert ingest(df, since=datetime(2026, 1, 16)).receipts.count() == 0
+    df = mails(spark, [("r@screwfix.com", "Slip", "Order ref: SF12\nTotal £45.00", None, None)])
+    assert ingest(df, since=datetime(2026, 1, 15, 9)).slips.count() == 1
+    assert ingest(df, since=datetime(2026, 1, 16)).slips.count() == 0

@@ -50,7 +50,7 @@ def test_hand_written_scenarios(spark):
 
 def test_golden_confidences(spark):
     suite = hand_written(spark)
-    scored = {(r.scope, r.transaction_id, r.receipt_id): r for r in scored_candidates(suite.transactions, suite.receipts, CFG).collect()}
+    scored = {(r.scope, r.transaction_id, r.slip_id): r for r in scored_candidates(suite.transactions, suite.slips, CFG).collect()}
     for key, want in {("fuel_preauth", "t-fuel", "r-fuel"): 0.915920, ("partial_capture", "t-part", "r-part"): 0.997160, ("merchant_mangling", "t-mang", "r-mang"): 1.0, ("timezone_shift", "t-tz", "r-tz"): 0.999760, ("ambiguous", "t-a1", "r-a1"): 0.955}.items():
         assert scored[key].confidence == pytest.approx(want, abs=1e-6)
 
@@ -65,8 +65,8 @@ def test_blocked_join_equals_plain_conditions(spark):
     t = [("", i, f"t{i}", "m", "5541" if i % 3 == 0 else "", a, "GBP", base + timedelta(hours=h)) for i, (a, h) in enumerate([(100, 0), (4999, 1), (5000, 50), (10000, 100), (124000, 3), (-300, 2), (0, 0), (520, 47)])]
     r = [("", i, f"r{i}", "email", "m", "", a, "GBP", base + timedelta(hours=h)) for i, (a, h) in enumerate([(100, -48), (299, 168), (5100, 1), (5050, 40), (9700, 90), (100000, 5), (-250, 1), (0, 168), (720, 0), (12400, 100), (8200, 101)])]
     td = spark.createDataFrame(t, "scope string, ordinal bigint, transaction_id string, merchant string, mcc string, amount_minor bigint, currency string, occurred_at timestamp")
-    rd = spark.createDataFrame(r, "scope string, ordinal bigint, receipt_id string, source string, supplier string, raw_merchant_hint string, total_minor bigint, currency string, issued_at timestamp")
-    got = {(x.transaction_id, x.receipt_id) for x in candidate_pairs(td, rd, CFG).collect()}
+    rd = spark.createDataFrame(r, "scope string, ordinal bigint, slip_id string, source string, supplier string, raw_merchant_hint string, total_minor bigint, currency string, issued_at timestamp")
+    got = {(x.transaction_id, x.slip_id) for x in candidate_pairs(td, rd, CFG).collect()}
     want = set()
     for x in t:
         for y in r:
@@ -85,7 +85,7 @@ def test_greedy_equals_sequential_walk(spark):
     rng = random.Random(3)
     edges = [("", f"t{rng.randint(0, 15)}", f"r{rng.randint(0, 15)}", rng.choice([0.9, 0.91, 0.95])) for _ in range(120)]
     edges = list({e[1:3]: e for e in edges}.values())
-    got = {(r.transaction_id, r.receipt_id) for r in greedy_one_to_one(spark.createDataFrame(edges, "scope string, transaction_id string, receipt_id string, confidence double")).collect()}
+    got = {(r.transaction_id, r.slip_id) for r in greedy_one_to_one(spark.createDataFrame(edges, "scope string, transaction_id string, slip_id string, confidence double")).collect()}
     used, want = set(), set()
     for _, t, r, _ in sorted(edges, key=lambda e: (-e[3], e[1], e[2])):
         if t not in used and r not in used:
@@ -96,16 +96,16 @@ def test_greedy_equals_sequential_walk(spark):
 
 def test_empty_inputs(spark):
     suite = hand_written(spark)
-    result = match(suite.transactions.limit(0), suite.receipts.limit(0))
+    result = match(suite.transactions.limit(0), suite.slips.limit(0))
     assert result.matches.count() == 0 and result.conflicts.count() == 0
-    assert outcomes(result, suite.transactions.limit(0), suite.receipts.limit(0)).count() == 0
+    assert outcomes(result, suite.transactions.limit(0), suite.slips.limit(0)).count() == 0
 
 
 def test_greedy_follows_long_chains(spark):
     """A strict chain of preferences takes a round per link, more than any fixed number."""
     n = 140
     edges = [("", f"t{(i + 1) // 2:03}", f"r{i // 2:03}", 1 - i / 1000) for i in range(n)]
-    got = {(r.transaction_id, r.receipt_id) for r in greedy_one_to_one(spark.createDataFrame(edges, "scope string, transaction_id string, receipt_id string, confidence double").coalesce(1)).collect()}
+    got = {(r.transaction_id, r.slip_id) for r in greedy_one_to_one(spark.createDataFrame(edges, "scope string, transaction_id string, slip_id string, confidence double").coalesce(1)).collect()}
     assert got == {(t, r) for _, t, r, _ in edges[::2]}
 
 
@@ -114,7 +114,7 @@ def test_tolerance_query_filters_pairs(spark):
     from ledgerloom.plans import reference_queries as R
 
     d = "/root/testdata/sf0.001"
-    pairs = [(r.transaction_id, r.receipt_id, r.amount_minor, r.total_minor) for r in R._pairs(spark, d).collect()]
+    pairs = [(r.transaction_id, r.slip_id, r.amount_minor, r.total_minor) for r in R._pairs(spark, d).collect()]
     want = sorted((t, s) for t, s, a, b in pairs if abs(a - b) <= 50 or (max(a, b) and abs(a - b) / max(a, b) <= 0.02))
-    got = sorted((r.transaction_id, r.receipt_id) for r in R.QUERIES["f6_within_tolerance_blocked"](spark, d).collect())
+    got = sorted((r.transaction_id, r.slip_id) for r in R.QUERIES["f6_within_tolerance_blocked"](spark, d).collect())
     assert got == want and 0 < len(got) < len(pairs)

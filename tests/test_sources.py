@@ -45,18 +45,18 @@ def test_maildir(spark, tmp_path):
 
 def test_scrub_folder(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    for n in ("Receipt.eml", "receipt.EML"):
+    for n in ("Slip.eml", "slip.EML"):
         (tmp_path / "in" / n).write_bytes(b"From: a@screwfix.com\r\n\r\nHi John")
     rows = scrubbed(maildir.read_eml_folder(spark, str(tmp_path / "in")))
     assert sinks.write_fixtures(rows, str(tmp_path / "out")) == 2
-    assert {p.name for p in (tmp_path / "out" / "screwfix").iterdir()} == {"receipt.eml", "receipt-2.eml"}
+    assert {p.name for p in (tmp_path / "out" / "screwfix").iterdir()} == {"slip.eml", "slip-2.eml"}
 
 
 def test_scenarios(spark, tmp_path):
-    one = {"name": "s", "transactions": [{"id": "t", "merchant": "M", "amount_minor": 5, "currency": "GBP", "occurred_at": "2024-01-01T10:00:00+02:00"}], "receipts": [{"id": "r", "supplier": "M", "amount_minor": 5, "currency": "GBP", "issued_at": "2024-01-01T08:00:00Z", "itemised": True}], "labels": [{"transaction_id": "t", "receipt_id": "r"}]}
+    one = {"name": "s", "transactions": [{"id": "t", "merchant": "M", "amount_minor": 5, "currency": "GBP", "occurred_at": "2024-01-01T10:00:00+02:00"}], "slips": [{"id": "r", "supplier": "M", "amount_minor": 5, "currency": "GBP", "issued_at": "2024-01-01T08:00:00Z", "itemised": True}], "labels": [{"transaction_id": "t", "slip_id": "r"}]}
     (tmp_path / "s.json").write_text(json.dumps(one))
     s = scenarios.read_scenarios(spark, str(tmp_path / "s.json"))
-    t, r = scenarios.scenario_transactions(s).first(), scenarios.scenario_receipts(s).first()
+    t, r = scenarios.scenario_transactions(s).first(), scenarios.scenario_slips(s).first()
     assert (t.occurred_offset_sec, r.source, r.n_lines) == (7200, "email", 1) and scenarios.scenario_labels(s).count() == 1
     assert scenarios.load_blocklist(str(tmp_path / "none.json")).area_names == ()
 
