@@ -236,8 +236,8 @@ Bill {code}
 Reference {code} for {thing} {num}.
 {code} {thing} {state}
 Your {thing} purchase is at stage {d3}.
-A receipt numbered {d3} was issued for the {thing}.
-A third receipt, no {d3}, lists {thing}.
+A voucher numbered {d3} was issued for the {thing}.
+A third voucher, no {d3}, lists {thing}.
 The cost of {thing} stays until month {d2}.
 We have {d2} of {thing} left.
 The {thing} was not charged.
