@@ -36,15 +36,20 @@ def bucket_matches(txn: Column, slip: Column, rel: Column, cfg: MatchConfig) ->
     return F.abs(amount_bucket(txn, cfg) - amount_bucket(slip, cfg)) <= F.greatest(F.lit(fixed), moving)
 
 
-def log_bucket(amount: Column, cfg: MatchConfig) -> Column:
-    """0 below the amount where the absolute tolerance outweighs the relative one, then steps of five per cent."""
-    knee = cfg.loose_abs / cfg.loose_rel
-    return F.when(amount < knee, F.lit(0)).otherwise(1 + F.floor(F.log(F.greatest(amount, F.lit(1)) / knee) / math.log(1.05))).cast("int")
+def amount_cell(amount: Column, cfg: MatchConfig) -> Column:
+    """Cells of amounts, rising with them: refunds as wide as a bucket, then as wide as the absolute tolerance, then five per cent."""
+    knee = round(cfg.loose_abs / cfg.loose_rel)
+    small = -(-knee // cfg.loose_abs)
+    large = F.floor(F.log(F.greatest(amount, F.lit(1)) / F.lit(float(knee))) / math.log(1.05))
+    return F.when(amount < 0, F.floor(amount / cfg.bucket_minor)).when(amount < knee, F.floor(amount / cfg.loose_abs)).otherwise(small + large).cast("int")
 
 
-def log_bucket_reach(rel: float) -> int:
-    """How many buckets a relative tolerance may bridge."""
-    return max(1, math.ceil(-math.log(1 - rel) / math.log(1.05)))
+def amount_range(amount: Column, rel: Column, cfg: MatchConfig) -> tuple[Column, Column]:
+    """The amounts that may be within tolerance of this one; two refunds are as long as their buckets touch."""
+    slack = F.lit(cfg.loose_abs + 1)
+    low = F.when(amount < 0, amount - 2 * cfg.bucket_minor).otherwise(amount - F.greatest(slack, F.ceil(amount * rel) + 1))
+    high = F.when(amount < 0, amount + 2 * cfg.bucket_minor).otherwise(amount + F.greatest(slack, F.ceil(amount * rel / (1 - rel)) + 1))
+    return low, high
 
 
 def _decay(diff: Column, abs_tol: float, rel: float, larger: Column, depth: float) -> Column:
@@ -58,7 +63,8 @@ def amount_similarity(txn: Column, slip: Column, txn_currency: Column, slip_curr
     diff, larger = F.abs(txn - slip), F.greatest(txn, slip)
     ratio = _ratio(diff, larger)
     tip = (slip <= txn) & ((diff <= b.tip_abs) | (ratio <= b.tip_rel))
-    most_partial = F.greatest(F.lit(b.partial_abs), (F.lit(b.partial_rel) * larger).cast("bigint"))
+    # a fuel allowance above the partial one raises the limit of partial captures
+    most_partial = F.greatest(F.lit(b.partial_abs), (F.lit(max(b.partial_rel, b.fuel_rel)) * larger).cast("bigint"))
     partial = (txn >= slip) & (diff <= most_partial)
     partial_score = F.greatest(F.lit(0.0), 1 - diff / F.greatest(most_partial.cast("double"), F.lit(b.partial_rel) * larger) * 0.2)
     return (

@@ -95,8 +95,16 @@ def containment_resolver(descriptor: Column, supplier: Column, hint: Column) ->
 
 
 def default_resolver(descriptor: Column, supplier: Column, hint: Column) -> Column:
-    """Containment, token sets and Jaro-Winkler; the better of supplier and hint."""
-    return F.greatest(*[_pair_score(descriptor, c, jaro_winkler_column(descriptor, c)) for c in (supplier, hint)])
+    """Containment, token sets and Jaro-Winkler; the better of supplier and hint.
+
+    Names that overlap as far as can be are not handed to Python.
+    """
+
+    def score(other: Column) -> Column:
+        open_ = token_overlap(descriptor, other) < 1.0
+        return _pair_score(descriptor, other, jaro_winkler_column(F.when(open_, descriptor), F.when(open_, other)))
+
+    return F.greatest(score(supplier), score(hint))
 
 
 #: Resolvers that take normalised names; any other gets the names as they are.

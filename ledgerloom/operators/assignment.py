@@ -12,8 +12,8 @@ from ..workspace import settle
 
 TXN_REASON = "ambiguous transaction candidates within margin"
 SLIP_REASON = "ambiguous receipt candidates within margin"
-#: Written tables of chosen edges that are gathered into one.
-GATHER = 16
+#: Rounds that are run before a table is written, from the first table on; the last number goes on.
+ROUNDS_A_TABLE = (1, 2, 4)
 
 
 def rank_order() -> list[Column]:
@@ -60,32 +60,48 @@ def conflict_rows(scored: DataFrame, txns: DataFrame, slips: DataFrame) -> DataF
     return side("transaction", txns, "transaction_id", "slip_id", TXN_REASON).unionByName(side("slip", slips, "slip_id", "transaction_id", SLIP_REASON))
 
 
+OPEN, CHOSEN, TOLD = 0, 1, 2
+
+
+def _mutual_bests(edges: DataFrame) -> DataFrame:
+    """One round: edges that rank first at both ends become chosen, those that share an end with a chosen one go.
+
+    Two exchanges: at the transactions the losers to chosen edges go and the rest are
+    ranked, at the slips the first of both ranks are chosen and their rivals go.
+    """
+    at_t, at_s = Window.partitionBy("scope", "transaction_id"), Window.partitionBy("scope", "slip_id")
+    is_open = F.col("state") == OPEN
+    rows = edges.withColumn("taken", F.max("state").over(at_t)).where(~is_open | (F.col("taken") == OPEN))
+    rows = rows.withColumn("rank_t", F.row_number().over(at_t.orderBy("state", *rank_order())))
+    rows = rows.withColumn("rank_s", F.row_number().over(at_s.orderBy("state", *rank_order())))
+    rows = rows.withColumn("state", F.when(is_open & (F.col("rank_t") == 1) & (F.col("rank_s") == 1), CHOSEN).otherwise(F.col("state")))
+    return rows.withColumn("taken", F.max("state").over(at_s)).where((F.col("state") != OPEN) | (F.col("taken") == OPEN)).drop("taken", "rank_t", "rank_s")
+
+
 def greedy_one_to_one(candidates: DataFrame) -> DataFrame:
     """The greedy one-to-one choice by rank, in rounds of mutual bests.
 
     An edge that ranks first at both ends is in the greedy result whatever else
     happens; taking all such edges at once and removing their ends repeats until
     none is left.  Because the order is total the result equals the sequential
-    walk.  Each round removes at least the best edge of every component, so the
+    walk.  Each round chooses at least the best edge of every component, so the
     rounds end, usually soon; a strict chain of preferences takes one per link.
-    Lineage is cut with a written table per round.
     """
-    spark = candidates.sparkSession
-    left = settle(candidates)
-    taken = None
-    rounds = 0
+    parts: list[DataFrame] = []
+    now = candidates.withColumn("state", F.lit(OPEN))
     while True:
-        best_t = left.withColumn("__n", F.row_number().over(Window.partitionBy("scope", "transaction_id").orderBy(*rank_order()))).where("__n = 1").drop("__n")
-        best_r = left.select("scope", "transaction_id", "slip_id", "confidence").withColumn("__n", F.row_number().over(Window.partitionBy("scope", "slip_id").orderBy(*rank_order()))).where("__n = 1").select("scope", "transaction_id", "slip_id")
-        chosen = settle(best_t.join(best_r, ["scope", "transaction_id", "slip_id"]))
-        if chosen.isEmpty():
+        for _ in range(ROUNDS_A_TABLE[min(len(parts), len(ROUNDS_A_TABLE) - 1)]):
+            now = _mutual_bests(now)
+        now = settle(now)
+        parts.append(now.where(F.col("state") == CHOSEN).drop("state"))
+        if now.where(F.col("state") == OPEN).isEmpty():
             break
-        taken = chosen if taken is None else taken.unionByName(chosen)
-        rounds += 1
-        if rounds % GATHER == 0:
-            taken = settle(taken)
-        left = settle(left.join(chosen.select("scope", "transaction_id"), ["scope", "transaction_id"], "left_anti").join(chosen.select("scope", "slip_id"), ["scope", "slip_id"], "left_anti"), instead_of=left)
-    return taken if taken is not None else spark.createDataFrame([], candidates.schema)
+        # what was chosen takes part once more, to tell its transaction's other edges
+        now = now.where(F.col("state") != TOLD).withColumn("state", F.when(F.col("state") == CHOSEN, TOLD).otherwise(OPEN))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @dataclass

@@ -2,9 +2,10 @@
 
 Slips that name their transaction outright are paired first.  For the others a
 range condition on time and a band condition on amounts are turned into one
-equi-join: a transaction is copied to the days and the amount steps that its
+equi-join: a transaction is copied to the time blocks and the amount cells that its
 windows touch, a slip stays in one of each, so no pair arises twice and the
-exact conditions are left as residuals of a hash-partitioned join.
+exact conditions are left as residuals of a hash-partitioned join.  A block is as
+long as the window, so a transaction is in two, and a cell as wide as the tolerance.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from ..functions import amount as A
 from ..functions import merchant as M
 from ..functions import temporal as T
 
-DAY_US = 86_400_000_000
 
 
 def one_row_each(rows: DataFrame, key: str, order: str = "ordinal") -> DataFrame:
@@ -45,28 +45,25 @@ def leave_out(rows: DataFrame, taken: DataFrame, key: str) -> DataFrame:
     return rows.join(taken.select("scope", key).distinct(), ["scope", key], "left_anti")
 
 
-def _day(at: Column) -> Column:
-    return F.floor(F.unix_micros(at) / DAY_US)
-
-
 def candidate_pairs(txns: DataFrame, slips: DataFrame, cfg: MatchConfig) -> DataFrame:
     """Pairs of equal scope and currency within the time window, tolerance and bucket span."""
     t = txns.select("scope", "currency", "transaction_id", "merchant", "mcc", "amount_minor", "occurred_at").where("occurred_at is not null and amount_minor is not null")
     r = slips.select("scope", "currency", "slip_id", F.col("source").alias("slip_source"), "supplier", "raw_merchant_hint", "total_minor", "issued_at").where("issued_at is not null and total_minor is not null")
     at = F.unix_micros("occurred_at")
-    days = F.sequence(F.floor((at - cfg.max_lead_us) / DAY_US), F.floor((at + cfg.max_lag_us) / DAY_US))
-    step = A.log_bucket(F.col("amount_minor"), cfg)
-    reach = F.when(F.col("mcc") == "5541", A.log_bucket_reach(max(cfg.loose_rel, cfg.bands.fuel_rel))).otherwise(A.log_bucket_reach(cfg.loose_rel))
-    steps = F.sequence(F.greatest(step - reach, F.lit(0)), step + reach)
-    t = t.withColumn("day", F.explode(days)).withColumn("step", F.explode(steps))
-    r = r.withColumn("day", _day(F.col("issued_at"))).withColumn("step", A.log_bucket(F.col("total_minor"), cfg))
+    length = cfg.max_lead_us + cfg.max_lag_us
     rel = A.loose_relative(F.col("mcc"), cfg)
-    pairs = t.join(r, ["scope", "currency", "day", "step"])
-    return pairs.where(
+    low, high = A.amount_range(F.col("amount_minor"), rel, cfg)
+    block = lambda micros: F.floor(micros / F.lit(length))
+    t = t.withColumn("block", F.explode(F.sequence(block(at - cfg.max_lead_us), block(at + cfg.max_lag_us)))).withColumn("cell", F.explode(F.sequence(A.amount_cell(low, cfg), A.amount_cell(high, cfg))))
+    r = r.withColumn("block", block(F.unix_micros("issued_at"))).withColumn("cell", A.amount_cell(F.col("total_minor"), cfg))
+    pairs = t.join(r, ["scope", "currency", "block", "cell"])
+    near = pairs.where(
         T.within_window(F.col("occurred_at"), F.col("issued_at"), cfg)
         & A.within_tolerance(F.col("amount_minor"), F.col("total_minor"), cfg.loose_abs, rel)
         & A.bucket_matches(F.col("amount_minor"), F.col("total_minor"), rel, cfg)
-    ).drop("day", "step")
+    ).drop("block", "cell")
+    # coalescing to more partitions than there are only ends the join's generated method, which with the scores in it would be too long to be compiled
+    return near.coalesce(1_000_000)
 
 
 def scored_candidates(txns: DataFrame, slips: DataFrame, cfg: MatchConfig, resolver=M.default_resolver) -> DataFrame:

@@ -89,12 +89,17 @@ def _bodies_total() -> Column:
     return text.first_total(F.col("__text"), F.col("__visible"))
 
 
-def staged(messages: DataFrame) -> DataFrame:
-    """Texts that many fields are read from, computed once a message and carried as columns."""
-    rows = messages.withColumns({"__text": F.coalesce("body_text", F.lit("")), "__html": F.coalesce("body_html", F.lit(""))})
+def staged(messages: DataFrame, extra: tuple[Extractor, ...] = ()) -> DataFrame:
+    """Route and texts that many fields are read from, computed once a message and carried as columns.
+
+    Structured data and PDF files are read in Python, and only of messages whose route needs them.
+    """
+    rows = messages.withColumns({"extractor": route(extra), "__text": F.coalesce("body_text", F.lit("")), "__html": F.coalesce("body_html", F.lit(""))})
     rows = rows.withColumn("__visible", text.visible(F.col("__html")))
     rows = rows.withColumn("__body", text.merged_body(F.col("__text"), F.col("__html"), F.col("__visible")))
-    return rows.withColumn("__seen", text.visible(F.col("__body")))
+    rows = rows.withColumn("__seen", text.visible(F.col("__body")))
+    linked = F.when(F.col("extractor") == "generic", F.col("__html")).when(F.col("extractor") == "utility", F.col("__body"))
+    return rows.withColumns({"__schema": documents.json_ld_total(linked), "__pdfs": documents.pdf_texts(F.when(F.col("extractor") == "generic", F.col("attachments")))})
 
 
 def _amazon() -> Column:
@@ -132,7 +137,7 @@ def _utility() -> Column:
     s = _sender()
     supplier = F.when(F.contains(s, F.lit("edf")), "EDF").when(F.contains(s, F.lit("octopus")), "Octopus Energy").when(F.contains(s, F.lit("britishgas")), "British Gas").otherwise("Utility")
     body = _body()
-    schema, plain = documents.json_ld_total(body), text.body_total(body)
+    schema, plain = F.col("__schema"), text.body_total(body)
     ref = text.capture(body, ACCOUNT_REF)
     items = text.line_items(_seen(), with_vat=True)
     how = F.when(schema.isNotNull(), "schema_org").when(plain.isNotNull(), "html")
@@ -141,13 +146,13 @@ def _utility() -> Column:
 
 def _generic() -> Column:
     html, plain, seen = F.col("__html"), F.col("__text"), F.col("__visible")
-    schema, tabled = documents.json_ld_total(html), text.table_total(html)
+    schema, tabled = F.col("__schema"), text.table_total(html)
     from_html = F.coalesce(schema, tabled)
     empty = F.coalesce(from_html, F.lit(0)) == 0
     from_text = F.when(empty & (plain != ""), text.inline_total(plain))
     total = F.when(~empty, from_html).otherwise(F.coalesce(from_text, from_html))
     ref = text.capture(seen, text.ORDER_REF)
-    pdfs = documents.pdf_texts(F.col("attachments"))
+    pdfs = F.col("__pdfs")
     readable = F.filter(pdfs, lambda p: p["text"] != "")
     blank = F.transform(F.filter(pdfs, lambda p: p["text"] == ""), lambda p: p["filename"])
     pdf_totals = F.filter(F.transform(readable, lambda p: documents.pdf_total(p["text"])), lambda x: x.isNotNull() & (x != 0))
@@ -190,14 +195,13 @@ def classified(messages: DataFrame) -> DataFrame:
 def extract(messages: DataFrame, extra: tuple[Extractor, ...] = ()) -> DataFrame:
     """Extracted slips of classified messages; marketing and statements give none.
 
-    Every route is a filter of its own, so an expensive expression (structured data,
-    PDF) is planned for its messages only.
+    One pass: every message builds the struct of its own route.
     """
-    open_ = staged(messages.where(classify.should_extract(F.col("kind")))).withColumn("extractor", route(extra))
-    out = None
-    for e in (*extra, *BUILT_IN):
-        rows = open_.where(F.col("extractor") == e.name).select("ordinal", "message_id", "kind", "extractor", "issued_at", "issued_offset_sec", e.build().alias("f"))
-        out = rows if out is None else out.unionByName(rows)
+    open_ = staged(messages.where(classify.should_extract(F.col("kind"))), extra)
+    built = F.lit(None)
+    for e in reversed((*extra, *BUILT_IN)):
+        built = F.when(F.col("extractor") == e.name, e.build()).otherwise(built)
+    out = open_.select("ordinal", "message_id", "kind", "extractor", "issued_at", "issued_offset_sec", built.alias("f"))
     flat = out.select("ordinal", F.col("message_id").alias("source_message_id"), "kind", "extractor", "issued_at", "issued_offset_sec", "f.*")
     flat = flat.withColumn("grade", grade(F.col("given_grade"), F.col("supplier"), F.col("issued_at"), F.col("total_minor"), F.col("line_items"), F.col("vat_exempt"), F.col("vat_minor"), F.col("attachment_refs")))
     key = text.family_key(F.col("supplier"), F.col("order_ref"), F.col("issued_at"), F.col("issued_offset_sec"), F.col("total_minor"), F.col("currency"))

@@ -95,15 +95,17 @@ def attach_instants(rows: DataFrame, raw: str, offset: str, zone: str | None = N
         F.coalesce("date_order", F.lit("")).alias("__k_order"),
         F.col("utc_micros").alias(into),
     )
-    # null texts never match; null offsets and zones have stand-ins so that the join stays an equi-join
-    return marked.join(
+    # null offsets and zones have stand-ins so that the join stays an equi-join
+    found = marked.where(has_digit(F.col("__raw"))).join(
         book,
         (F.col("__raw") == F.col("__k_raw"))
         & (F.coalesce("__off", F.lit(-(2**31))) == F.col("__k_off"))
         & (F.coalesce("__zone", F.lit("")) == F.col("__k_zone"))
         & (F.coalesce("__order", F.lit("")) == F.col("__k_order")),
         "left",
-    ).drop("__raw", "__off", "__zone", "__order", "__k_raw", "__k_off", "__k_zone", "__k_order")
+    ).drop("__k_raw", "__k_off", "__k_zone", "__k_order")
+    rest = marked.where(~has_digit(F.col("__raw"))).withColumn(into, F.lit(None).cast("bigint"))
+    return found.unionByName(rest).drop("__raw", "__off", "__zone", "__order")
 
 
 def written_times(messages: DataFrame, bank_feed: DataFrame, feeds: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Messages delivered more than once: exactly one copy survives.
 
-One hash aggregation by identifier elects the copy: ``min_by`` over a struct of
-delivery time and tie-break.  Partial aggregation runs before the shuffle, so an
-identifier that holds a third of all rows arrives as one row per task.
+One aggregation by identifier elects the copy: ``min_by`` over a struct of delivery
+time and tie-break.  Spark runs it sorted, as it does for every buffer that holds a
+struct.  Partial aggregation comes before the shuffle, so an identifier that holds a
+third of all rows arrives as one row per task.
 """
 
 from __future__ import annotations

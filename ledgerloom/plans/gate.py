@@ -43,25 +43,25 @@ def evaluate(suite: Suite, cfg: MatchConfig, limits: GateThresholds) -> tuple[Da
     return settle(rows), actual
 
 
-def run_gate(suite: Suite, cfg: MatchConfig | None = None, limits: GateThresholds | None = None, repeat: bool = True) -> GateRun:
-    """Judge a suite; a second run under another number of partitions must agree."""
+def run_gate(suite: Suite, cfg: MatchConfig | None = None, limits: GateThresholds | None = None, repeats: int = 1) -> GateRun:
+    """Judge a suite; further runs, each under another number of partitions, must agree with the first."""
     cfg, limits = cfg or MatchConfig(), limits or GateThresholds()
     rows, actual = evaluate(suite, cfg, limits)
     same = True
-    if repeat:
-        spark = suite.transactions.sparkSession
-        before = spark.conf.get("spark.sql.shuffle.partitions")
-        spark.conf.set("spark.sql.shuffle.partitions", str(int(before) * 2 + 1))
-        try:
-            same = metrics.same_rows(actual, evaluate(suite, cfg, limits)[1])
-        finally:
-            spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark = suite.transactions.sparkSession
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for k in range(repeats):
+            spark.conf.set("spark.sql.shuffle.partitions", str(int(before) + 2 * k + 1))
+            same = same and metrics.same_rows(actual, evaluate(suite, cfg, limits)[1])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     total = metrics.overall(rows)
     return GateRun(rows, total, same, metrics.failure_reasons(total, rows, limits, same))
 
 
 def compare_configs(suite: Suite, base: MatchConfig, other: MatchConfig) -> tuple[GateRun, GateRun]:
-    return run_gate(suite, base, repeat=False), run_gate(suite, other, repeat=False)
+    return run_gate(suite, base, repeats=0), run_gate(suite, other, repeats=0)
 
 
 def report(run: GateRun, cfg: MatchConfig, limits: GateThresholds, seed: int, scale: int) -> dict:
@@ -88,7 +88,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.compare:
         for run in compare_configs(suite, cfg, replace(cfg, min_confidence=0.85)):
             run.overall.show(truncate=False)
-    run = run_gate(suite, cfg, limits)
+    run = run_gate(suite, cfg, limits, repeats=5)
     run.per_scope.select("scope", "matched", "conflicts", "recall", F.round("false_match_rate", 4).alias("fmr"), "passed").orderBy("scope").show(100, truncate=False)
     if args.json:
         with open(args.json, "w") as f:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,6 +126,10 @@ def _greedy_sql(rounds: int = 12) -> str:
 
 
 _GREEDY = _greedy_sql()
+#: So wide a margin that ambiguity is seen on slips too.
+WIDE = replace(CFG, ambiguity_margin=0.2, distinguish_amount=2.0, distinguish_merchant=2.0, distinguish_temporal_sec=10**7)
+#: A fuel allowance above that of partial captures.
+FUEL = replace(CFG, bands=replace(CFG.bands, partial_rel=0.1, fuel_rel=0.3))
 
 
 def _scored(spark: SparkSession, d: str, resolver=M.containment_resolver) -> DataFrame:
@@ -157,15 +163,9 @@ def f3_skip_taken(spark, d):
     return CA.leave_out(t, CA.exact_references(t, slips(spark, d)), "transaction_id").select("transaction_id")
 
 
-@query("f6_within_tolerance", f"WITH {_TXN}, {_REC} SELECT t.transaction_id, r.slip_id FROM txn t JOIN rec r ON t.currency = r.currency AND t.occurred_at = r.issued_at - INTERVAL 0 SECOND WHERE abs(amount_minor - total_minor) <= 50 OR (greatest(amount_minor, total_minor) <> 0 AND abs(amount_minor - total_minor)::DOUBLE / greatest(amount_minor, total_minor) <= 0.02)")
-def f6_within_tolerance(spark, d):
-    pairs = txns(spark, d).alias("t").join(slips(spark, d).alias("r"), (F.col("t.currency") == F.col("r.currency")) & (F.col("t.occurred_at") == F.col("r.issued_at")))
-    return pairs.where(A.within_tolerance(F.col("amount_minor"), F.col("total_minor"), CFG.abs_tolerance, F.lit(CFG.rel_tolerance))).select("transaction_id", "slip_id")
-
-
 @query("f6_within_tolerance_blocked", f"WITH {_TXN}, {_REC}, {_EXACT}, {_T0}, {_PAIR} SELECT transaction_id, slip_id FROM pair WHERE abs(amount_minor - total_minor) <= 50 OR (greatest(amount_minor, total_minor) <> 0 AND abs(amount_minor - total_minor)::DOUBLE / greatest(amount_minor, total_minor) <= 0.02)")
 def f6_within_tolerance_blocked(spark, d):
-    """The filter over the blocked pairs in the window; equal instants, as above, are rare."""
+    """The filter over the blocked pairs in the window."""
     return _pairs(spark, d).where(A.within_tolerance(F.col("amount_minor"), F.col("total_minor"), CFG.abs_tolerance, F.lit(CFG.rel_tolerance))).select("transaction_id", "slip_id")
 
 
@@ -251,6 +251,18 @@ def w1_ambiguous_slips(spark, d):
     return AS.ambiguous_keys(_scored(spark, d), "slip_id", CFG).select("slip_id")
 
 
+@query("w1_ambiguous_slips_wide", f"""{_BASE} SELECT slip_id FROM (SELECT *, row_number() OVER w n, lead(confidence) OVER w c2 FROM scored WHERE confidence >= 0.82
+  WINDOW w AS (PARTITION BY slip_id ORDER BY confidence DESC, transaction_id, slip_id)) WHERE n = 1 AND c2 IS NOT NULL AND confidence - c2 <= 0.2""")
+def w1_ambiguous_slips_wide(spark, d):
+    return AS.ambiguous_keys(_scored(spark, d), "slip_id", WIDE).select("slip_id")
+
+
+@query("h4_signal_map", f"{_BASE} SELECT transaction_id, slip_id, round(amount_signal, 6) AS amount, round(delta_sec, 6) AS delta FROM scored")
+def h4_signal_map(spark, d):
+    signals = _scored(spark, d).select("transaction_id", "slip_id", CA.signal_map().alias("m"))
+    return signals.select("transaction_id", "slip_id", F.round(F.col("m")["amount"], 6).alias("amount"), F.round(F.col("m")["temporal_delta_secs"], 6).alias("delta"))
+
+
 @query("a4_widened_slips", f"{_BASE}, {_CONFLICT} SELECT slip_id FROM cr")
 def a4_widened_slips(spark, d):
     s = settle(_scored(spark, d))
@@ -337,6 +349,15 @@ def n1_amount_bands(spark, d):
     return _pairs(spark, d).select("amount_minor", "total_minor", F.round(A.amount_similarity(F.col("amount_minor"), F.col("total_minor"), c, c, CFG), 6).alias("score")).distinct()
 
 
+_FUEL_AMOUNT = _AMOUNT.replace("greatest(2000, trunc(0.2 * big))", "greatest(2000, trunc(0.3 * big))").replace("0.2 * big)) * 0.2", "0.1 * big)) * 0.2")
+
+
+@query("n1_amount_bands_fuel", f"WITH {_TXN}, {_REC}, {_EXACT}, {_T0}, {_PAIR} SELECT DISTINCT amount_minor, total_minor, round({_FUEL_AMOUNT}, 6) AS score FROM (SELECT *, abs(amount_minor - total_minor)::DOUBLE diff, greatest(amount_minor, total_minor)::DOUBLE big FROM pair)")
+def n1_amount_bands_fuel(spark, d):
+    c = F.lit("GBP")
+    return _pairs(spark, d).select("amount_minor", "total_minor", F.round(A.amount_similarity(F.col("amount_minor"), F.col("total_minor"), c, c, FUEL), 6).alias("score")).distinct()
+
+
 @query("d2_temporal_decay", f"WITH {_TXN}, {_REC}, {_EXACT}, {_T0}, {_PAIR} SELECT transaction_id, slip_id, round(1 - abs({_GAP})::DOUBLE / (CASE WHEN {_GAP} < 0 THEN 172800000000 ELSE 604800000000 END) * 0.35, 6) AS score FROM pair")
 def d2_temporal_decay(spark, d):
     return _pairs(spark, d).select("transaction_id", "slip_id", F.round(T.temporal_similarity(F.col("occurred_at"), F.col("issued_at"), CFG), 6).alias("score"))
@@ -515,7 +536,7 @@ def x10_line_items(spark, d):
 
 @query("x11_merged_body", f"WITH b AS (SELECT delivery_id, coalesce(body_text, '') t, coalesce(body_html, '') h FROM mail_messages) SELECT delivery_id, md5(CASE WHEN t <> '' AND h <> '' THEN t || chr(10) || {_vis('h')} WHEN h <> '' THEN {_vis('h')} ELSE t END) AS digest FROM b")
 def x11_merged_body(spark, d):
-    return EX.staged(table(spark, d, "mail_messages")).select("delivery_id", F.md5("__body").alias("digest"))
+    return EX.staged(mails(spark, d)).select(F.col("ordinal").alias("delivery_id"), F.md5("__body").alias("digest"))
 
 
 @query("x12_supplier_from_sender", "WITH p AS (SELECT DISTINCT from_addr, regexp_replace(split_part(lower(from_addr), '@', -1), '>$', '') AS dom FROM mail_messages WHERE contains(from_addr, '@')), q AS (SELECT *, string_split(dom, '.') a FROM p) SELECT from_addr, CASE WHEN len(a) < 2 OR a[-2] = '' THEN dom ELSE upper(a[-2][1]) || a[-2][2:] END AS supplier FROM q")
@@ -715,12 +736,12 @@ def j12_noise_bounds(spark, d):
 
 @query("a7_scenario_gate", "SELECT * FROM (VALUES ('exact', 1::BIGINT, 0::BIGINT, true), ('tip_adjusted', 1, 0, true), ('timezone_shift', 1, 0, true), ('near_duplicate', 2, 0, true), ('settlement_delay', 1, 0, true), ('ambiguous', 0, 4, true), ('exact_ref', 1, 0, true), ('duplicate_receipt', 0, 3, true), ('unmatched_txn', 0, 0, true), ('unmatched_receipt', 0, 0, true), ('merchant_mangling', 1, 0, true), ('partial_capture', 1, 0, true), ('fuel_preauth', 1, 0, true), ('split_tender_refusal', 0, 0, true), ('refund_refusal', 0, 0, true), ('density_stress', 0, 20, true)) v(scope, matched, conflicts, passed)")
 def a7_scenario_gate(spark, d):
-    return run_gate(SY.hand_written(spark), CFG, GateThresholds(), repeat=False).per_scope.select("scope", "matched", "conflicts", "passed")
+    return run_gate(SY.hand_written(spark), CFG, GateThresholds(), repeats=0).per_scope.select("scope", "matched", "conflicts", "passed")
 
 
 @query("e1_gate_overall", "SELECT 9610::BIGINT AS matched, 427::BIGINT AS conflicts, 0.0::DOUBLE AS false_match_rate, round(9610 / 9823.0::DOUBLE, 6) AS recall, round(427 / 10026.0::DOUBLE, 6) AS conflict_rate, 1.0::DOUBLE AS conflict_correctness")
 def e1_gate_overall(spark, d):
-    run = run_gate(SY.hand_written(spark).union(SY.generated_suite(spark, 10_000)), CFG, GateThresholds(), repeat=False)
+    run = run_gate(SY.hand_written(spark).union(SY.generated_suite(spark, 10_000)), CFG, GateThresholds(), repeats=0)
     return run.overall.select("matched", "conflicts", "false_match_rate", F.round("recall", 6).alias("recall"), F.round("conflict_rate", 6).alias("conflict_rate"), "conflict_correctness")
 
 

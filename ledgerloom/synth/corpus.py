@@ -59,7 +59,7 @@ FORMS = {
     "both": Form("Order confirmation {id}", "<p>{ref}</p>" + _rows(_LINES[2]), "{ref}, in all £{total}"),
     "one line": Form("Order confirmation", _rows(("{item}", "£{total}"), _LINES[2])),
     "back table": Form("Refund confirmation", "<p>{ref}</p>" + _rows(("Refund total", "£{total}"))),
-    "back lines": Form("Return processed", text="{ref}\nYour money: £{total}\n"),
+    "back lines": Form("Return processed", text="{ref}\nRefund: £{total}\n"),
     "call": Form("Complete your purchase", "<p>Things you looked at are waiting.</p><p>unsubscribe</p>"),
     "news": Form("Week {id} at a glance", "<p>Our newsletter: a limited time offer every day.</p>"),
     "last day": Form("Sale ends soon", text="limited time offer\nunsubscribe\n"),

@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not jsc.sc().master().startswith("local"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that every executor sees")
         named = "file://" + os.path.join(tempfile.gettempdir(), "ledgerloom-work")
     if jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(named)

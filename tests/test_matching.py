@@ -41,7 +41,7 @@ def test_money_strings(spark):
 
 def test_hand_written_scenarios(spark):
     suite = hand_written(spark)
-    run = run_gate(suite, CFG, GateThresholds(), repeat=True)
+    run = run_gate(suite, CFG, GateThresholds(), repeats=1)
     got = {r.scope: (r.matched, r.conflicts, r.n_violation, r.passed) for r in run.per_scope.collect()}
     assert all(v[2] == 0 and v[3] for v in got.values()), got
     assert got["ambiguous"][:2] == (0, 4) and got["duplicate_receipt"][:2] == (0, 3) and got["density_stress"][:2] == (0, 20)
@@ -118,3 +118,36 @@ def test_tolerance_query_filters_pairs(spark):
     want = sorted((t, s) for t, s, a, b in pairs if abs(a - b) <= 50 or (max(a, b) and abs(a - b) / max(a, b) <= 0.02))
     got = sorted((r.transaction_id, r.slip_id) for r in R.QUERIES["f6_within_tolerance_blocked"](spark, d).collect())
     assert got == want and 0 < len(got) < len(pairs)
+
+
+def test_a_third_of_all_rows_at_one_price_and_refunds(spark):
+    """Candidates of a hot price, of small amounts and of refunds equal those of a plain double loop."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng, start = random.Random(3), datetime(2024, 3, 1)
+    amount = lambda: 499 if rng.random() < 0.34 else rng.choice([rng.randint(-3000, -1), rng.randint(0, 900), rng.randint(4000, 30_000)])
+    t = [("", n, f"t{n}", "bank", "Shop", rng.choice(["5541", "5399", None]), amount(), "GBP", start + timedelta(hours=rng.randint(0, 700))) for n in range(150)]
+    r = [("", n, f"s{n}", "email", "Shop", None, amount(), "GBP", start + timedelta(hours=rng.randint(0, 700))) for n in range(150)]
+    td = spark.createDataFrame(t, "scope string, ordinal bigint, transaction_id string, source string, merchant string, mcc string, amount_minor bigint, currency string, occurred_at timestamp")
+    rd = spark.createDataFrame(r, "scope string, ordinal bigint, slip_id string, source string, supplier string, raw_merchant_hint string, total_minor bigint, currency string, issued_at timestamp")
+    got = sorted((x.transaction_id, x.slip_id) for x in candidate_pairs(td, rd, CFG).collect())
+    want = []
+    bucket = lambda x: (abs(x) // 500) * (1 if x > 0 else -1)
+    for a in t:
+        rel = 0.2 if a[5] == "5541" else 0.04
+        span = max(1, int(abs(a[6] * rel / 500)) * (1 if a[6] > 0 else -1) + 1)
+        for b in r:
+            gap, diff, larger = b[8] - a[8], abs(a[6] - b[6]), max(a[6], b[6])
+            near = diff <= 200 or (diff == 0 if larger == 0 else diff / larger <= rel)
+            if timedelta(hours=-48) <= gap <= timedelta(hours=168) and near and abs(bucket(a[6]) - bucket(b[6])) <= span:
+                want.append((a[2], b[2]))
+    assert got == sorted(want) and len(want) > 1000
+
+
+def test_greedy_takes_a_long_chain(spark):
+    """A strict chain of preferences, longer than any number of rounds before a table is written."""
+    n = 25
+    edges = [("", f"t{k:03d}", f"s{k + d:03d}", 0.99 - (2 * k + d) * 0.001) for k in range(n) for d in (0, 1)]
+    df = spark.createDataFrame(edges, "scope string, transaction_id string, slip_id string, confidence double")
+    assert sorted((x.transaction_id, x.slip_id) for x in greedy_one_to_one(df).collect()) == [(f"t{k:03d}", f"s{k:03d}") for k in range(n)]
