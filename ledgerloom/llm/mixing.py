@@ -29,7 +29,7 @@ BUCKET_ROWS = 20_000
 
 
 class Network:
-    """Integer min-cost flow by successive shortest paths."""
+    """Integer min-cost flow by successive shortest paths, all paths of one distance at once."""
 
     def __init__(self, nodes: int):
         self.out: list[list[int]] = [[] for _ in range(nodes)]
@@ -45,37 +45,72 @@ class Network:
             self.cost.append(c)
         return len(self.to) - 2
 
+    def _distances(self, source: int) -> list[float]:
+        dist = [math.inf] * len(self.out)
+        waiting = [False] * len(self.out)
+        dist[source] = 0
+        queue = deque([source])
+        while queue:
+            x = queue.popleft()
+            waiting[x] = False
+            for e in self.out[x]:
+                y = self.to[e]
+                if self.room[e] and dist[x] + self.cost[e] < dist[y]:
+                    dist[y] = dist[x] + self.cost[e]
+                    if not waiting[y]:
+                        waiting[y] = True
+                        queue.append(y)
+        return dist
+
     def run(self, source: int, sink: int) -> int:
+        """The largest flow at least cost: for each distance all shortest paths at once, as a largest flow over their arcs."""
         total = 0
+        while (dist := self._distances(source))[sink] < math.inf:
+            while push := self._blocking(source, sink, dist):
+                total += push
+        return total
+
+    def _blocking(self, source: int, sink: int, dist: list[float]) -> int:
+        """Fill the arcs of shortest paths along their layers until no path of that many arcs is left."""
+        level = [-1] * len(self.out)
+        level[source] = 0
+        queue = deque([source])
+        while queue:
+            x = queue.popleft()
+            for e in self.out[x]:
+                y = self.to[e]
+                if self.room[e] and level[y] < 0 and dist[x] + self.cost[e] == dist[y]:
+                    level[y] = level[x] + 1
+                    queue.append(y)
+        if level[sink] < 0:
+            return 0
+        at = [0] * len(self.out)
+        total, path = 0, []
+        x = source
         while True:
-            dist = [math.inf] * len(self.out)
-            came = [-1] * len(self.out)
-            waiting = [False] * len(self.out)
-            dist[source] = 0
-            queue = deque([source])
-            while queue:
-                x = queue.popleft()
-                waiting[x] = False
-                for e in self.out[x]:
-                    y = self.to[e]
-                    if self.room[e] and dist[x] + self.cost[e] < dist[y]:
-                        dist[y] = dist[x] + self.cost[e]
-                        came[y] = e
-                        if not waiting[y]:
-                            waiting[y] = True
-                            queue.append(y)
-            if dist[sink] == math.inf:
-                return total
-            push, y = math.inf, sink
-            while y != source:
-                push = min(push, self.room[came[y]])
-                y = self.to[came[y] ^ 1]
-            y = sink
-            while y != source:
-                self.room[came[y]] -= push
-                self.room[came[y] ^ 1] += push
-                y = self.to[came[y] ^ 1]
-            total += push
+            if x == sink:
+                push = min(self.room[e] for e in path)
+                for e in path:
+                    self.room[e] -= push
+                    self.room[e ^ 1] += push
+                total += push
+                k = next(k for k, e in enumerate(path) if not self.room[e])
+                x = self.to[path[k] ^ 1]
+                del path[k:]
+                continue
+            while at[x] < len(self.out[x]):
+                e = self.out[x][at[x]]
+                y = self.to[e]
+                if self.room[e] and level[y] == level[x] + 1 and dist[x] + self.cost[e] == dist[y]:
+                    path.append(e)
+                    x = y
+                    break
+                at[x] += 1
+            else:
+                if not path:
+                    return total
+                x = self.to[path.pop() ^ 1]
+                at[x] += 1
 
 
 def route(patterns: dict[tuple[str, ...], int], weights: dict[str, tuple[float, int]], total: int | None = None) -> dict[tuple[tuple[str, ...], str], int]:
@@ -112,7 +147,7 @@ def route(patterns: dict[tuple[str, ...], int], weights: dict[str, tuple[float,
     if full:
         return flows
     best: dict = {}
-    while high - low > max(1, high // 10_000):
+    while high - low > 1:
         middle = (low + high) // 2
         full, flows = solve(middle)
         if full:
