@@ -148,7 +148,7 @@ def c9_extractors(spark: SparkSession, d: str) -> DataFrame:
     ])
 
 
-@query("e7_ingested_corpus", _values("kind, n, right, total", ("credit_note", 60, 60, -372372), ("purchase_receipt", 360, 340, 2317272)))
+@query("e7_ingested_corpus", _values("kind, n, n_right, total", ("credit_note", 60, 60, -372372), ("purchase_receipt", 360, 340, 2317272)))
 def e7_ingested_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Extracted rows of the labelled corpus by kind, and how many have the total they were made with.
 
@@ -156,7 +156,7 @@ def e7_ingested_corpus(spark: SparkSession, d: str) -> DataFrame:
     """
     corpus = settle(labelled_corpus(spark))
     got = ingest(corpus).extracted.join(corpus.select(F.col("message_id").alias("source_message_id"), "true_total"), "source_message_id")
-    return got.where("kind in ('credit_note', 'purchase_receipt')").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("total_minor")) == F.abs(F.col("true_total"))).alias("right"), F.sum("true_total").alias("total"))
+    return got.where("kind in ('credit_note', 'purchase_receipt')").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("total_minor")) == F.abs(F.col("true_total"))).alias("n_right"), F.sum("true_total").alias("total"))
 
 
 # ------------------------------------------------------------------------------ reports

@@ -79,57 +79,56 @@ class _Draft:
         )
 
 
+@dataclass(frozen=True)
+class Told:
+    """What one side of a scenario tells: a transaction, or a slip."""
+
+    name: str
+    amount: int
+    minutes: int = 0
+    more: tuple[tuple[str, object], ...] = ()
+
+
+def _told(name: str, amount: int, minutes: int = 0, **more) -> Told:
+    return Told(name, amount, minutes, tuple(more.items()))
+
+
+# Names of the scenarios and what each must come to; the codes are those that have keywords.
+SCENARIOS: tuple[tuple[str, str, tuple[Told, ...], tuple[Told, ...]], ...] = (
+    ("exact", "matched", (_told("BAKER ROW 12 YORK", 3170, mcc="5411"),), (_told("Baker Row", 3170, 95, lines=1),)),
+    ("tip_adjusted", "", (_told("WICKES", 8460, mcc="5251"),), (_told("Wickes", 8450, -20),)),
+    ("timezone_shift", "", (_told("AMAZON EU", 5120, mcc="5399", offset=-18_000),), (_told("Amazon", 5120, 30),)),
+    ("near_duplicate", "", (_told("ESSO FUEL", 7350, mcc="5541"), _told("ESSO FUEL", 7350, 6, mcc="5541")), (_told("Esso", 7350), _told("Esso", 7350, 6))),
+    ("settlement_delay", "", (_told("TOOLSTATION", 2980, mcc="5251", settled=BASE + timedelta(hours=70)),), (_told("Toolstation", 2980, 12),)),
+    ("ambiguous", "conflict", (_told("BP FILLING", 4100, mcc="5541"),) * 2, (_told("BP", 4100),) * 2),
+    ("exact_ref", "", (_told("SQ *KIOSK", 420, ref="till-7-118"),), (_told("Kiosk", 420, source="pos", ref="till-7-118"),)),
+    ("duplicate_receipt", "conflict", (_told("AMAZON EU", 2750, mcc="5399"),), (_told("Amazon", 2750),) * 2),
+    ("unmatched_txn", "unmatched", (_told("NOBODY KNOWS", 1840),), ()),
+    ("unmatched_receipt", "unmatched", (), (_told("Far Away Goods", 2630),)),
+    ("merchant_mangling", "matched", (_told("SUMUP*WICKES 77 LEEDS", 6110, mcc="5251"),), (_told("Wickes", 6110),)),
+    ("partial_capture", "matched", (_told("TOOLSTATION", 10_000, mcc="5251"),), (_told("Toolstation", 9_950, 5),)),
+    ("fuel_preauth", "matched", (_told("ESSO FUEL", 10_000, mcc="5541"),), (_told("Esso", 8_500, 10),)),
+    ("split_tender_refusal", "unmatched", (_told("WICKES", 9_200, mcc="5251"),), (_told("Wickes", 4_600),)),
+    ("refund_refusal", "unmatched", (_told("AMAZON EU", 3_300, mcc="5399"),), (_told("Amazon", -3_300),)),
+)
+
+
 def hand_written(spark: SparkSession, density: int = 10) -> Suite:
-    """Sixteen small scenarios, each with the outcomes it must have."""
+    """Sixteen small scenarios, each with the outcomes it must have; sides that are to meet are labelled in their order."""
     d = _Draft()
-    d.txn("exact", "t-exact", "TESCO STORES 3344 LONDN", 4523, mcc="5411")
-    d.rec("exact", "r-exact", "Tesco", 4523, 120, lines=1)
-    d.pair("exact", "t-exact", "r-exact", want="matched")
-    d.txn("tip_adjusted", "t-tip", "SCREWFIX", 10000, mcc="5251")
-    d.rec("tip_adjusted", "r-tip", "Screwfix", 9990, -15)
-    d.pair("tip_adjusted", "t-tip", "r-tip")
-    d.txn("timezone_shift", "t-tz", "AMAZON UK", 2499, mcc="5399", offset=-18000)
-    d.rec("timezone_shift", "r-tz", "Amazon", 2499, 30)
-    d.pair("timezone_shift", "t-tz", "r-tz")
-    for i in (1, 2):
-        d.txn("near_duplicate", f"t-nd{i}", "SHELL FUEL", 8000, 5 * (i - 1), mcc="5541")
-        d.rec("near_duplicate", f"r-nd{i}", "Shell", 8000, 5 * (i - 1))
-        d.pair("near_duplicate", f"t-nd{i}", f"r-nd{i}")
-    d.txn("settlement_delay", "t-settle", "TOOLSTATION", 6750, mcc="5251", settled=BASE + timedelta(hours=72))
-    d.rec("settlement_delay", "r-settle", "Toolstation", 6750, 10)
-    d.pair("settlement_delay", "t-settle", "r-settle")
-    for i in (1, 2):
-        d.txn("ambiguous", f"t-a{i}", "BP CONNECT", 5000, mcc="5541")
-        d.rec("ambiguous", f"r-a{i}", "BP", 5000)
-        d.pair("ambiguous", f"t-a{i}", f"r-a{i}", want="conflict")
-    d.txn("exact_ref", "t-pos", "SQ *CAFE", 350, ref="pos-ref-99")
-    d.rec("exact_ref", "r-pos", "Cafe", 350, source="pos", ref="pos-ref-99")
-    d.pair("exact_ref", "t-pos", "r-pos")
-    d.txn("duplicate_receipt", "t-dup", "AMAZON UK", 3200, mcc="5399")
-    d.rec("duplicate_receipt", "r-dup-1", "Amazon", 3200)
-    d.rec("duplicate_receipt", "r-dup-2", "Amazon", 3200)
-    d.pair("duplicate_receipt", "t-dup", "r-dup-1")
-    d.expect("duplicate_receipt", "conflict", ["t-dup"], ["r-dup-1", "r-dup-2"])
-    d.txn("unmatched_txn", "t-alone", "UNKNOWN MERCHANT", 1500)
-    d.expect("unmatched_txn", "unmatched", ["t-alone"], [])
-    d.rec("unmatched_receipt", "r-alone", "Lonely Supplier", 2200)
-    d.expect("unmatched_receipt", "unmatched", [], ["r-alone"])
-    d.txn("merchant_mangling", "t-mang", "SQ *SCREWFIX 4521 LONDON", 4500, mcc="5251")
-    d.rec("merchant_mangling", "r-mang", "Screwfix", 4500)
-    d.pair("merchant_mangling", "t-mang", "r-mang", want="matched")
-    d.txn("partial_capture", "t-part", "TOOLSTATION", 10000, mcc="5251")
-    d.rec("partial_capture", "r-part", "Toolstation", 9950, 5)
-    d.pair("partial_capture", "t-part", "r-part", want="matched")
-    d.txn("fuel_preauth", "t-fuel", "SHELL FUEL", 10000, mcc="5541")
-    d.rec("fuel_preauth", "r-fuel", "Shell", 8500, 10)
-    d.pair("fuel_preauth", "t-fuel", "r-fuel", want="matched")
-    d.txn("split_tender_refusal", "t-split", "SCREWFIX", 10000, mcc="5251")
-    d.rec("split_tender_refusal", "r-split", "Screwfix", 5000)
-    d.expect("split_tender_refusal", "unmatched", ["t-split"], ["r-split"])
-    d.txn("refund_refusal", "t-refund", "AMAZON UK", 4500, mcc="5399")
-    d.rec("refund_refusal", "r-refund", "Amazon", -4500)
-    d.expect("refund_refusal", "unmatched", ["t-refund"], ["r-refund"])
-    return d.suite(spark).union(identical_cluster(spark, density, "density_stress", "ds", "SCREWFIX 1234 LON", "Screwfix", "5251", 5000, 500))
+    for scope, want, txns, slips in SCENARIOS:
+        t_ids = [f"{scope}-t{n}" for n in range(1, len(txns) + 1)]
+        s_ids = [f"{scope}-s{n}" for n in range(1, len(slips) + 1)]
+        for tid, t in zip(t_ids, txns, strict=True):
+            d.txn(scope, tid, t.name, t.amount, t.minutes, **dict(t.more))
+        for sid, s in zip(s_ids, slips, strict=True):
+            d.rec(scope, sid, s.name, s.amount, s.minutes, **dict(s.more))
+        if want != "unmatched":
+            for tid, sid in zip(t_ids, s_ids, strict=False):
+                d.pair(scope, tid, sid)
+        if want:
+            d.expect(scope, want, t_ids, s_ids)
+    return d.suite(spark).union(identical_cluster(spark, density, "density_stress", "crowd", "WICKES 31 DEAL", "Wickes", "5251", 5000, 500))
 
 
 def _at(hours):

@@ -51,7 +51,7 @@ def test_hand_written_scenarios(spark):
 def test_golden_confidences(spark):
     suite = hand_written(spark)
     scored = {(r.scope, r.transaction_id, r.slip_id): r for r in scored_candidates(suite.transactions, suite.slips, CFG).collect()}
-    for key, want in {("fuel_preauth", "t-fuel", "r-fuel"): 0.915920, ("partial_capture", "t-part", "r-part"): 0.997160, ("merchant_mangling", "t-mang", "r-mang"): 1.0, ("timezone_shift", "t-tz", "r-tz"): 0.999760, ("ambiguous", "t-a1", "r-a1"): 0.955}.items():
+    for key, want in {("fuel_preauth", "fuel_preauth-t1", "fuel_preauth-s1"): 0.915920, ("partial_capture", "partial_capture-t1", "partial_capture-s1"): 0.997160, ("merchant_mangling", "merchant_mangling-t1", "merchant_mangling-s1"): 1.0, ("timezone_shift", "timezone_shift-t1", "timezone_shift-s1"): 0.999760, ("ambiguous", "ambiguous-t1", "ambiguous-s1"): 0.955}.items():
         assert scored[key].confidence == pytest.approx(want, abs=1e-6)
 
 
