@@ -254,3 +254,40 @@ def test_many_weak_rivals_weigh(spark):
     got = [(r.slip_id, r.confidence) for r in linkage.same_purchases(td, sd).collect()]
     likely, weak = (2.718281828 ** (linkage.PRIOR + x) for x in (1.3 + 4.0 + 3.4, 8.9 - 1.4 - 3.0))
     assert [s for s, _ in got] == ["s0"] and abs(got[0][1] - likely / (1 + likely + 10 * weak)) < 1e-3
+
+
+def test_marginals_of_a_hot_price(spark):
+    """A third of the edges at one price, where everything rivals everything, against messages iterated on dense tables."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    n = 24
+    odds = np.where(rng.random((n, n)) < 0.25, np.exp(rng.uniform(-4, 6, (n, n))), 0.0)
+    odds[:14, :14] = 20.0  # the hot price
+    edges = [(i, 100 + j, float(odds[i, j])) for i in range(n) for j in range(n) if odds[i, j]]
+    df = spark.createDataFrame(edges, "t bigint, s bigint, odds double")
+    got = {(r.t, r.s): r.confidence for r in linkage.propagate(df.unionByName(df.limit(50)), tolerance=1e-6).collect()}
+    ms = np.ones((n, n))
+    for _ in range(4000):
+        mt = 1 / (1 + (odds * ms).sum(1, keepdims=True) - odds * ms)
+        ms = 1 / (1 + (odds * mt).sum(0, keepdims=True) - odds * mt)
+    belief = odds * mt * ms
+    want = belief / (1 + belief)
+    assert len(got) == len(edges)
+    assert max(abs(got[t, s] - want[t, s - 100]) for t, s in got) < 1e-3
+    per_t = {}
+    for (t, _), c in got.items():
+        per_t[t] = per_t.get(t, 0) + c
+    assert max(per_t.values()) < 1.01
+
+
+def test_a_third_of_all_rows_at_one_firm_and_price(spark):
+    """Equal purchases at one firm: every slip meets every transaction of its window, and no id is in two pairs."""
+    start = datetime(2024, 5, 1)
+    t = [(n, f"t{n}", "Wexel Bakery" if n % 3 else f"Orrin Motors {n}", 499 if n % 3 else 1000 + 50 * n, "GBP", start + timedelta(hours=5 * n), None, None, start + timedelta(days=3)) for n in range(60)]
+    s = [(n, f"s{n}", "email", "Wexel Bakery" if n % 3 else "Orrin Motors", None, 499 if n % 3 else 1000 + 50 * n, "GBP", start + timedelta(hours=5 * n, minutes=6), None) for n in range(60)]
+    td = spark.createDataFrame(t, "ordinal bigint, transaction_id string, merchant string, amount_minor bigint, currency string, occurred_at timestamp, settled_at timestamp, card_tail string, loaded_at timestamp")
+    sd = spark.createDataFrame(s, "ordinal bigint, slip_id string, source string, supplier string, raw_merchant_hint string, total_minor bigint, currency string, issued_at timestamp, card_tail string")
+    got = linkage.same_purchases(td, sd).collect()
+    assert len({r.transaction_id for r in got}) == len(got) == len({r.slip_id for r in got}) >= 55
+    assert all(r.transaction_id[1:] == r.slip_id[1:] for r in got)
