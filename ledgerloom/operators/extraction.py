@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, documents, text
 from ..functions.amount import fuel_net
 from ..functions.grade import grade, vat_sum
+from ..workspace import settle
 
 # Patterns of references by merchant.
 AMAZON_ORDER = r"(?i)order\s*#\s*([A-Z0-9\-]{3,})"
@@ -195,13 +196,14 @@ def classified(messages: DataFrame) -> DataFrame:
 def extract(messages: DataFrame, extra: tuple[Extractor, ...] = ()) -> DataFrame:
     """Extracted slips of classified messages; marketing and statements give none.
 
-    One pass: every message builds the struct of its own route.
+    Routes and texts are worked out once and written; every route then reads its own
+    messages.  One expression for all routes would be too long a method to be compiled.
     """
-    open_ = staged(messages.where(classify.should_extract(F.col("kind"))), extra)
-    built = F.lit(None)
-    for e in reversed((*extra, *BUILT_IN)):
-        built = F.when(F.col("extractor") == e.name, e.build()).otherwise(built)
-    out = open_.select("ordinal", "message_id", "kind", "extractor", "issued_at", "issued_offset_sec", built.alias("f"))
+    open_ = settle(staged(messages.where(classify.should_extract(F.col("kind"))), extra))
+    out = None
+    for e in (*extra, *BUILT_IN):
+        rows = open_.where(F.col("extractor") == e.name).select("ordinal", "message_id", "kind", "extractor", "issued_at", "issued_offset_sec", e.build().alias("f"))
+        out = rows if out is None else out.unionByName(rows)
     flat = out.select("ordinal", F.col("message_id").alias("source_message_id"), "kind", "extractor", "issued_at", "issued_offset_sec", "f.*")
     flat = flat.withColumn("grade", grade(F.col("given_grade"), F.col("supplier"), F.col("issued_at"), F.col("total_minor"), F.col("line_items"), F.col("vat_exempt"), F.col("vat_minor"), F.col("attachment_refs")))
     key = text.family_key(F.col("supplier"), F.col("order_ref"), F.col("issued_at"), F.col("issued_offset_sec"), F.col("total_minor"), F.col("currency"))
