@@ -291,3 +291,62 @@ def test_a_third_of_all_rows_at_one_firm_and_price(spark):
     got = linkage.same_purchases(td, sd).collect()
     assert len({r.transaction_id for r in got}) == len(got) == len({r.slip_id for r in got}) >= 55
     assert all(r.transaction_id[1:] == r.slip_id[1:] for r in got)
+
+
+def moved_rows(spark):
+    """Rows written to shuffles so far."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def chained(n, seed):
+    """Edges of a long chain of overlapping windows, and their marginals from messages iterated on dense tables."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    odds = np.zeros((n, n))
+    for i in range(n):
+        for j in range(max(0, i - 4), min(n, i + 5)):
+            if rng.random() < 0.5:
+                odds[i, j] = np.exp(rng.uniform(-3, 5))
+    ms = np.ones((n, n))
+    for _ in range(3000):
+        mt = 1 / (1 + (odds * ms).sum(1, keepdims=True) - odds * ms)
+        ms = 1 / (1 + (odds * mt).sum(0, keepdims=True) - odds * mt)
+    belief = odds * mt * ms
+    at = [(int(i), int(j)) for i, j in zip(*odds.nonzero(), strict=True)]
+    return [(i, j, float(odds[i, j]), j) for i, j in at], {(i, j): belief[i, j] / (1 + belief[i, j]) for i, j in at}
+
+
+def test_borders_of_pieces_do_not_show(spark):
+    """One piece, some, and pieces of hardly more than one slip have the same marginals."""
+    edges, want = chained(60, 3)
+    df = spark.createDataFrame(edges, "t bigint, s bigint, odds double, place bigint")
+    for piece in (1000, 40, 2):
+        got = {(r.t, r.s): r.confidence for r in linkage.propagate(df.unionByName(df.limit(30)), tolerance=1e-4, piece=piece).collect()}
+        assert got.keys() == want.keys(), piece
+        assert max(abs(got[e] - want[e]) for e in want) < 1e-4, piece
+
+
+def test_messages_do_not_move_all_edges_every_round(spark):
+    edges, want = chained(300, 4)
+    df = spark.createDataFrame(edges, "t bigint, s bigint, odds double, place bigint")
+    before = moved_rows(spark)
+    got = {(r.t, r.s): r.confidence for r in linkage.propagate(df).collect()}
+    assert moved_rows(spark) - before <= 4 * len(edges)
+    assert max(abs(got[e] - want[e]) for e in want) < linkage.TOLERANCE
+
+
+def test_rows_move_once_for_all_their_keys(spark):
+    """Eight words, a tail and an amount each: a row moves for its blocks and steps, not for its keys."""
+    words = "Moldasen Wexel Tarnalake Drumislake Velowick Gravenholt Quorndon Sombreland"
+    t = [(n, f"t{n}", words, 1000 + n, "GBP", T + timedelta(hours=n), None, "1", T, "x") for n in range(200)]
+    s = [(n, f"s{n}", "email", words, None, 1000 + n, "GBP", T + timedelta(hours=n, minutes=5), "1") for n in range(200)]
+    td, sd = linkage.settle(linkage.transactions(spark.createDataFrame(t, TX))), linkage.settle(linkage.documents_of_purchase(spark.createDataFrame(s, SL)))
+    before = moved_rows(spark)
+    with linkage.meeting(spark):
+        pairs = linkage.settle(linkage.candidates(td, sd).select("t", "s"))
+    assert moved_rows(spark) - before <= 200 * 2 + 200 * 3
+    assert {(n, n) for n in range(200)} <= {tuple(r) for r in pairs.collect()}
