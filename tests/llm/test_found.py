@@ -350,3 +350,52 @@ def test_rows_move_once_for_all_their_keys(spark):
         pairs = linkage.settle(linkage.candidates(td, sd).select("t", "s"))
     assert moved_rows(spark) - before <= 200 * 2 + 200 * 3
     assert {(n, n) for n in range(200)} <= {tuple(r) for r in pairs.collect()}
+
+
+def test_pairs_come_once_for_all_their_words(spark):
+    """Eight words in common make a pair once, and a floor leaves out what no other name can lift to it."""
+    words = "Moldasen Wexel Tarnalake Drumislake Velowick Gravenholt Quorndon Sombreland"
+    t = [(n, f"t{n}", words, 5000 + 40 * n, "GBP", T + timedelta(hours=n), None, None if n % 2 else "1", T, "x") for n in range(30)]
+    s = [(n, f"s{n}", "email", words, None, 5007 + 40 * n, "GBP", T + timedelta(hours=n, minutes=5), "2") for n in range(30)]
+    td, sd = linkage.transactions(spark.createDataFrame(t, TX)), linkage.documents_of_purchase(spark.createDataFrame(s, SL))
+    every = linkage.candidates(td, sd).select("t", "s", "base").collect()
+    close = {(i, j) for i in range(30) for j in range(30) if -12 <= j - i + 5 / 60 <= 36}
+    assert len(every) == len(close) and {(r.t, r.s) for r in every} == close
+    kept = {(r.t, r.s) for r in linkage.candidates(td, sd, linkage.FLOOR).collect()}
+    assert kept == {(r.t, r.s) for r in every if r.base + linkage.NAME_ODDS[0] >= linkage.FLOOR} and 0 < len(kept) < len(every)
+
+
+def test_pairs_do_not_depend_on_how_many_rows_are_looked_at_together(monkeypatch):
+    """Places that end within a batch, and one with far more rows than are looked at together."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    rows = []
+    for place, n in ((-5, 4), (-1, 40), (3, 0), (8, 6)):
+        for slip in (True, False):
+            rows += [{"place": place, "slip": slip, "id": len(rows) + k, "cur": 7, "b": 1, "money": 1000 + rng.choice([0, 1, 500, 60]), "at": linkage.BLOCK_H * 3600 + rng.randrange(400_000), "slack": 0, "tail": rng.choice([None, 11, 12]), "g0": -3, "g1": 9, "h0": None, "h1": None, "word": 5, "names": rng.choice([[], [21], [21, 22]])} for k in range(n + (not slip))]
+    schema = pa.schema([("place", pa.int64()), ("slip", pa.bool_()), ("id", pa.int64()), ("cur", pa.int32()), ("b", pa.int64()), ("money", pa.int64()), ("at", pa.int64()), ("slack", pa.int32()), ("tail", pa.int64()), ("g0", pa.int64()), ("g1", pa.int64()), ("h0", pa.int64()), ("h1", pa.int64()), ("word", pa.int32()), ("names", pa.list_(pa.int64()))])
+    batches = pa.Table.from_pylist(rows, schema).to_batches(max_chunksize=3)
+    t, s = [r for r in rows if not r["slip"]], [r for r in rows if r["slip"]]
+    want = set()
+    for a in t:
+        for b in s:
+            gap, d = (b["at"] - a["at"]) / 3600, a["money"] - b["money"]
+            tails = a["tail"] is not None and a["tail"] == b["tail"]
+            named = set(a["names"]) & set(b["names"]) and -12 <= gap <= 36
+            if a["place"] == b["place"] and abs(d) <= 0.2 * max(a["money"], b["money"]) and -25 <= gap <= 169 and (d in linkage.NEAR_MINOR or tails or named):
+                want.add((a["id"], b["id"]))
+    for meet, pairs in ((1, 1), (7, 3), (10_000, 10_000)):
+        monkeypatch.setattr(linkage, "MEET", meet)
+        monkeypatch.setattr(linkage, "PAIRS", pairs)
+        got = {(r["t"], r["s"]): r["name"] for part in linkage._meet(-1e9)(iter(batches)) for r in part.to_pylist()}
+        assert got.keys() == want and len(want) > 500, (meet, pairs)
+        assert all(abs(v - linkage.NAME_ODDS[0]) < 1e-6 for v in got.values())
+
+
+def test_signatures_are_whole_beside_missing_names(spark):
+    """All bits of a signature count, whichever rows share its batch."""
+    names = [f"{a} {b}" for a in ("Quorndon", "Velowick", "Wexel", "Drumislake", "Tarnalake") for b in ("Hotel", "Electrical", "Fuels", "Bakery")]
+    s = [(n, f"s{n}", "email", names[n // 2] if n % 2 else None, None if n % 2 else names[n // 2], 1000, "GBP", T, None) for n in range(2 * len(names))]
+    for r in linkage.documents_of_purchase(spark.createDataFrame(s, SL).coalesce(1)).collect():
+        assert ((r.s0, r.s1) if r.s % 2 else (r.h0, r.h1)) == linkage.name_features(names[r.s // 2])[:2]
