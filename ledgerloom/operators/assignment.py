@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,21 +105,41 @@ def greedy_one_to_one(candidates: DataFrame) -> DataFrame:
     return out
 
 
-@dataclass
 class MatchResult:
-    matches: DataFrame
-    conflicts: DataFrame
-    unmatched_transactions: DataFrame
-    unmatched_receipts: DataFrame
+    """What match gives; the rows of conflicts are only worked out when they are asked for."""
+
+    def __init__(self, matches: DataFrame, conflicts: Callable[[], DataFrame], unmatched_transactions: DataFrame, unmatched_receipts: DataFrame):
+        self.matches, self.unmatched_transactions, self.unmatched_receipts = matches, unmatched_transactions, unmatched_receipts
+        self._conflicts = conflicts
+
+    @cached_property
+    def conflicts(self) -> DataFrame:
+        return settle(self._conflicts())
 
     def matched_only(self) -> DataFrame:
         return self.matches.where("outcome = 'matched'")
 
 
-def resolve(scored: DataFrame, cfg: MatchConfig) -> tuple[DataFrame, DataFrame]:
-    """Matches and conflicts of scored candidates; conflicts are set aside before assignment."""
+def set_aside(strong: DataFrame, competing: Callable[[DataFrame], DataFrame], cfg: MatchConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates left to assign, transactions and slips in conflict).
+
+    ``strong`` has the candidates of at least the least confidence, and ``competing``
+    gives all candidates of ambiguous transactions.
+    """
+    txns = settle(ambiguous_keys(strong, "transaction_id", cfg))
+    slips = settle(widened_slips(competing(txns), txns, ambiguous_keys(strong, "slip_id", cfg)))
+    free = strong.join(txns, ["scope", "transaction_id"], "left_anti").join(slips, ["scope", "slip_id"], "left_anti")
+    return free, txns, slips
+
+
+def assigned(scored: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """Matches of scored candidates; conflicts are set aside before assignment."""
+    scored = settle(scored)
+    return greedy_one_to_one(set_aside(scored.where(F.col("confidence") >= cfg.min_confidence), lambda _: scored, cfg)[0])
+
+
+def conflicting(scored: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """Conflicts of scored candidates; nothing is assigned for them."""
     scored = settle(scored)
-    txns = settle(ambiguous_keys(scored, "transaction_id", cfg))
-    slips = settle(widened_slips(scored, txns, ambiguous_keys(scored, "slip_id", cfg)))
-    free = scored.where(F.col("confidence") >= cfg.min_confidence).join(txns, ["scope", "transaction_id"], "left_anti").join(slips, ["scope", "slip_id"], "left_anti")
-    return greedy_one_to_one(free), conflict_rows(scored, txns, slips)
+    _, txns, slips = set_aside(scored.where(F.col("confidence") >= cfg.min_confidence), lambda _: scored, cfg)
+    return conflict_rows(scored, txns, slips)

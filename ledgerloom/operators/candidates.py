@@ -17,7 +17,7 @@ from ..config import MatchConfig
 from ..functions import amount as A
 from ..functions import merchant as M
 from ..functions import temporal as T
-
+from . import meeting
 
 
 def one_row_each(rows: DataFrame, key: str, order: str = "ordinal") -> DataFrame:
@@ -66,8 +66,10 @@ def candidate_pairs(txns: DataFrame, slips: DataFrame, cfg: MatchConfig) -> Data
     return near.coalesce(1_000_000)
 
 
-def scored_candidates(txns: DataFrame, slips: DataFrame, cfg: MatchConfig, resolver=M.default_resolver) -> DataFrame:
-    """Candidates above the merchant floor with their signals and confidence."""
+def scored_candidates(txns: DataFrame, slips: DataFrame, cfg: MatchConfig, resolver=M.default_resolver, least: float = 0.0) -> DataFrame:
+    """Candidates above the merchant floor with their signals and a confidence of at least ``least``."""
+    if resolver is M.default_resolver or (resolver is M.containment_resolver and 0 < cfg.min_merchant <= M.CONTAINED):
+        return meeting.scored(txns, slips, cfg, resolver is M.containment_resolver, least)
     pairs = M.with_merchant_score(candidate_pairs(txns, slips, cfg), resolver, "merchant_signal")
     if cfg.min_merchant > 0:
         pairs = pairs.where(F.col("merchant_signal") >= cfg.min_merchant)
@@ -78,7 +80,7 @@ def scored_candidates(txns: DataFrame, slips: DataFrame, cfg: MatchConfig, resol
         T.delta_seconds(F.col("occurred_at"), F.col("issued_at")).alias("delta_sec"), "merchant_signal",
         M.mcc_corroboration(F.col("mcc"), F.col("supplier"), F.col("raw_merchant_hint")).alias("mcc_signal"),
     )
-    return signals.withColumn("confidence", confidence(cfg)).where("confidence > 0").drop("slip_source")
+    return signals.withColumn("confidence", confidence(cfg)).where((F.col("confidence") > 0) & (F.col("confidence") >= least)).drop("slip_source")
 
 
 def confidence(cfg: MatchConfig) -> Column:

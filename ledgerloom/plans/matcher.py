@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import MatchConfig
 from ..functions.merchant import default_resolver
-from ..operators.assignment import MatchResult, resolve
+from ..operators.assignment import MatchResult, conflict_rows, greedy_one_to_one, set_aside
 from ..operators.candidates import exact_references, leave_out, scored_candidates, signal_map
 from ..workspace import settle
 
@@ -37,17 +37,24 @@ def match(txns: DataFrame, slips: DataFrame, cfg: MatchConfig | None = None, res
     t, r = _shaped(txns, _TXN), _shaped(slips, _SLIP)
     exact = settle(exact_references(t, r))
     rest_t, rest_r = leave_out(t, exact, "transaction_id"), leave_out(r, exact, "slip_id")
-    chosen, conflicts = resolve(scored_candidates(rest_t, rest_r, cfg, resolver), cfg)
+    strong = settle(scored_candidates(rest_t, rest_r, cfg, resolver, cfg.min_confidence))
+    # weaker candidates only count where there is a conflict, and are not kept elsewhere
+    free, txns_aside, slips_aside = set_aside(strong, lambda ids: scored_candidates(rest_t.join(ids, ["scope", "transaction_id"], "left_semi"), rest_r, cfg, resolver), cfg)
+
+    chosen = greedy_one_to_one(free)
+
+    def conflicts() -> DataFrame:
+        return conflict_rows(scored_candidates(rest_t, rest_r, cfg, resolver), txns_aside, slips_aside)
+
     sure = exact.select("scope", "transaction_id", "slip_id", F.lit(1.0).alias("confidence"), F.lit("exact_ref").alias("method"), F.create_map(F.lit("exact_ref"), F.lit(1.0)).alias("signals"))
     scored = chosen.select("scope", "transaction_id", "slip_id", "confidence", F.lit("scored").alias("method"), signal_map().alias("signals"))
     matches = sure.unionByName(scored).withColumn("outcome", F.lit("matched"))
-    conflicts = settle(conflicts)
-    gone = lambda side, key: matches.select("scope", key).unionByName(conflicts.where(F.col("side") == side).select("scope", F.col("id").alias(key)))
+    gone = lambda aside, key: matches.select("scope", key).unionByName(aside.select("scope", key))
     return MatchResult(
         matches,
         conflicts,
-        leave_out(t, gone("transaction", "transaction_id"), "transaction_id").select("scope", "ordinal", "transaction_id"),
-        leave_out(r, gone("slip", "slip_id"), "slip_id").select("scope", "ordinal", "slip_id"),
+        leave_out(t, gone(txns_aside, "transaction_id"), "transaction_id").select("scope", "ordinal", "transaction_id"),
+        leave_out(r, gone(slips_aside, "slip_id"), "slip_id").select("scope", "ordinal", "slip_id"),
     )
 
 
