@@ -120,26 +120,31 @@ class MatchResult:
         return self.matches.where("outcome = 'matched'")
 
 
-def set_aside(strong: DataFrame, competing: Callable[[DataFrame], DataFrame], cfg: MatchConfig) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidates left to assign, transactions and slips in conflict).
+def set_aside(tops: DataFrame, competing: Callable[[DataFrame], DataFrame], cfg: MatchConfig) -> tuple[DataFrame, DataFrame]:
+    """Transactions and slips in conflict.
 
-    ``strong`` has the candidates of at least the least confidence, and ``competing``
+    ``tops`` has at least the two first candidates of every id, and ``competing``
     gives all candidates of ambiguous transactions.
     """
-    txns = settle(ambiguous_keys(strong, "transaction_id", cfg))
-    slips = settle(widened_slips(competing(txns), txns, ambiguous_keys(strong, "slip_id", cfg)))
-    free = strong.join(txns, ["scope", "transaction_id"], "left_anti").join(slips, ["scope", "slip_id"], "left_anti")
-    return free, txns, slips
+    txns = settle(ambiguous_keys(tops, "transaction_id", cfg))
+    slips = settle(widened_slips(competing(txns), txns, ambiguous_keys(tops, "slip_id", cfg)))
+    tops.sparkSession._jvm.System.gc()  # shuffle files of what is settled go with the driver's garbage
+    return txns, slips
+
+
+def left_over(strong: DataFrame, txns: DataFrame, slips: DataFrame) -> DataFrame:
+    """Candidates without those in conflict."""
+    return strong.join(txns, ["scope", "transaction_id"], "left_anti").join(slips, ["scope", "slip_id"], "left_anti")
 
 
 def assigned(scored: DataFrame, cfg: MatchConfig) -> DataFrame:
     """Matches of scored candidates; conflicts are set aside before assignment."""
     scored = settle(scored)
-    return greedy_one_to_one(set_aside(scored.where(F.col("confidence") >= cfg.min_confidence), lambda _: scored, cfg)[0])
+    strong = scored.where(F.col("confidence") >= cfg.min_confidence)
+    return greedy_one_to_one(left_over(strong, *set_aside(strong, lambda _: scored, cfg)))
 
 
 def conflicting(scored: DataFrame, cfg: MatchConfig) -> DataFrame:
     """Conflicts of scored candidates; nothing is assigned for them."""
     scored = settle(scored)
-    _, txns, slips = set_aside(scored.where(F.col("confidence") >= cfg.min_confidence), lambda _: scored, cfg)
-    return conflict_rows(scored, txns, slips)
+    return conflict_rows(scored, *set_aside(scored.where(F.col("confidence") >= cfg.min_confidence), lambda _: scored, cfg))

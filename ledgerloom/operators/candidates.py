@@ -66,10 +66,10 @@ def candidate_pairs(txns: DataFrame, slips: DataFrame, cfg: MatchConfig) -> Data
     return near.coalesce(1_000_000)
 
 
-def scored_candidates(txns: DataFrame, slips: DataFrame, cfg: MatchConfig, resolver=M.default_resolver, least: float = 0.0) -> DataFrame:
-    """Candidates above the merchant floor with their signals and a confidence of at least ``least``."""
+def scored_candidates(txns: DataFrame, slips: DataFrame, cfg: MatchConfig, resolver=M.default_resolver, least: float = 0.0, tops: bool = False) -> DataFrame:
+    """Candidates above the merchant floor with their signals and a confidence of at least ``least``; with ``tops`` those will do that come first or second at either end."""
     if resolver is M.default_resolver or (resolver is M.containment_resolver and 0 < cfg.min_merchant <= M.CONTAINED):
-        return meeting.scored(txns, slips, cfg, resolver is M.containment_resolver, least)
+        return meeting.scored(txns, slips, cfg, resolver is M.containment_resolver, least, tops)
     pairs = M.with_merchant_score(candidate_pairs(txns, slips, cfg), resolver, "merchant_signal")
     if cfg.min_merchant > 0:
         pairs = pairs.where(F.col("merchant_signal") >= cfg.min_merchant)

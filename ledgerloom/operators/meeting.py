@@ -229,10 +229,45 @@ def _by_key(t: dict, s: dict, cfg: MatchConfig) -> Iterator[tuple[np.ndarray, np
         yield i[near], j[near], t["worth"][entry[near]]
 
 
-def scored(txns: DataFrame, slips: DataFrame, cfg: MatchConfig, by_name: bool, least: float = 0.0) -> DataFrame:
-    """Candidates above the merchant floor with confidence above 0 and of at least ``least``, with their signals."""
+def _first_two(i: np.ndarray, j: np.ndarray, sure: np.ndarray, t_rank: np.ndarray, s_rank: np.ndarray) -> np.ndarray:
+    """Marks the rows that are among the two first of their transaction or of their slip, in the order of candidates."""
+    order, keep = np.lexsort((s_rank[j], t_rank[i], -sure)), np.zeros(len(i), bool)
+    for key in (i[order], j[order]):
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        keep[order[by[np.append([True, True], key[2:] != key[:-2])[: len(key)]]]] = True
+    return keep
+
+
+def scored(txns: DataFrame, slips: DataFrame, cfg: MatchConfig, by_name: bool, least: float = 0.0, tops: bool = False) -> DataFrame:
+    """Candidates above the merchant floor with confidence above 0 and of at least ``least``, with their signals.
+
+    With ``tops`` only some of them, among which are the two first of every
+    transaction and of every slip.
+    """
 
     def pairs(t: dict, s: dict) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
+        ranks = [np.argsort(pc.sort_indices(side["id"]).to_numpy()) for side in (t, s)] if tops else ()
+
+        def firsts() -> tuple:
+            rows = tuple(np.concatenate(x) for x in zip(*waiting, strict=True))
+            keep = _first_two(rows[0], rows[1], rows[-1], *ranks)
+            return tuple(x[keep] for x in rows)
+
+        for rows in every(t, s):
+            if tops:
+                waiting.append(rows)
+                waiting = [firsts()] if sum(len(x[0]) for x in waiting) > PAIRS else waiting
+            else:
+                yield from written(t, s, *rows)
+        if waiting:
+            yield from written(t, s, *firsts())
+
+    def written(t: dict, s: dict, i: np.ndarray, j: np.ndarray, *signals: np.ndarray) -> Iterator[pa.RecordBatch]:
+        return _batches([t["scope"].take(i), t["id"].take(i), s["id"].take(j), *signals], SIGNALS)
+
+    def every(t: dict, s: dict) -> Iterator[tuple]:
         if by_name:
             found = list(_by_key(t, s, cfg))
             i, j, worth = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
@@ -263,7 +298,7 @@ def scored(txns: DataFrame, slips: DataFrame, cfg: MatchConfig, by_name: bool, l
             keep = (merchant >= cfg.min_merchant) & (sure > 0) & (sure >= least)
             if keep.any():
                 i, j, gap, amount, time, merchant, mcc, sure = (x[keep] for x in (i, j, gap, amount, time, merchant, mcc, sure))
-                yield from _batches([t["scope"].take(i), t["id"].take(i), s["id"].take(j), amount, time, np.abs(gap) / 1e6, merchant, mcc, sure], SIGNALS)
+                yield i, j, amount, time, np.abs(gap) / 1e6, merchant, mcc, sure
 
     return _rows(txns, slips, cfg, by_name, True).mapInArrow(_met(pairs, not by_name), SIGNALS)
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MatchConfig
-from ..functions.merchant import default_resolver
-from ..operators.assignment import MatchResult, conflict_rows, greedy_one_to_one, set_aside
+from ..functions.merchant import containment_resolver, default_resolver
+from ..operators.assignment import MatchResult, conflict_rows, greedy_one_to_one, left_over, set_aside
 from ..operators.candidates import exact_references, leave_out, scored_candidates, signal_map
 from ..workspace import settle
 
@@ -37,14 +37,20 @@ def match(txns: DataFrame, slips: DataFrame, cfg: MatchConfig | None = None, res
     t, r = _shaped(txns, _TXN), _shaped(slips, _SLIP)
     exact = settle(exact_references(t, r))
     rest_t, rest_r = leave_out(t, exact, "transaction_id"), leave_out(r, exact, "slip_id")
-    strong = settle(scored_candidates(rest_t, rest_r, cfg, resolver, cfg.min_confidence))
-    # weaker candidates only count where there is a conflict, and are not kept elsewhere
-    free, txns_aside, slips_aside = set_aside(strong, lambda ids: scored_candidates(rest_t.join(ids, ["scope", "transaction_id"], "left_semi"), rest_r, cfg, resolver), cfg)
-
+    if resolver is containment_resolver:
+        whole = settle(scored_candidates(rest_t, rest_r, cfg, resolver))
+        strong = whole.where(F.col("confidence") >= cfg.min_confidence)
+        aside = set_aside(strong, lambda _: whole, cfg)
+        free = left_over(strong, *aside)
+    else:
+        # where names may be alike candidates are many: what comes first is kept for conflicts, and only what conflicts leave for assignment
+        tops = scored_candidates(rest_t, rest_r, cfg, resolver, cfg.min_confidence, tops=True).drop("temporal_signal", "mcc_signal")
+        aside = set_aside(settle(tops), lambda ids: scored_candidates(rest_t.join(ids, ["scope", "transaction_id"], "left_semi"), rest_r, cfg, resolver), cfg)
+        free = scored_candidates(leave_out(rest_t, aside[0], "transaction_id"), leave_out(rest_r, aside[1], "slip_id"), cfg, resolver, cfg.min_confidence)
     chosen = greedy_one_to_one(free)
 
     def conflicts() -> DataFrame:
-        return conflict_rows(scored_candidates(rest_t, rest_r, cfg, resolver), txns_aside, slips_aside)
+        return conflict_rows(scored_candidates(rest_t, rest_r, cfg, resolver), *aside)
 
     sure = exact.select("scope", "transaction_id", "slip_id", F.lit(1.0).alias("confidence"), F.lit("exact_ref").alias("method"), F.create_map(F.lit("exact_ref"), F.lit(1.0)).alias("signals"))
     scored = chosen.select("scope", "transaction_id", "slip_id", "confidence", F.lit("scored").alias("method"), signal_map().alias("signals"))
@@ -53,8 +59,8 @@ def match(txns: DataFrame, slips: DataFrame, cfg: MatchConfig | None = None, res
     return MatchResult(
         matches,
         conflicts,
-        leave_out(t, gone(txns_aside, "transaction_id"), "transaction_id").select("scope", "ordinal", "transaction_id"),
-        leave_out(r, gone(slips_aside, "slip_id"), "slip_id").select("scope", "ordinal", "slip_id"),
+        leave_out(t, gone(aside[0], "transaction_id"), "transaction_id").select("scope", "ordinal", "transaction_id"),
+        leave_out(r, gone(aside[1], "slip_id"), "slip_id").select("scope", "ordinal", "slip_id"),
     )
 
 
